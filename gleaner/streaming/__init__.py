@@ -1,0 +1 @@
+"""Empty on purpose: the work covered here is batch only, it has no streams."""
