@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.catalog.registry import table
+from gleaner.operators.skew import spread
 
 # Training rows: the first line of a document is its query, its lines are the positives and its
 # sentences the negatives.
@@ -15,8 +16,13 @@ training AS (
   FROM documents)"""
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, over all cores even where the file is one block: their texts are costly to work on."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("title"),
         F.split("text", "\n")[0].alias("query"),
@@ -106,7 +112,7 @@ SPECIAL = ("the", "le", "die", "el")
 
 
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(
+    words = documents(spark, sf_dir).select(
         "doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token")
     )
     weight = (F.char_length("token") - 3).cast("double") / (F.col("pos") + 1).cast("double")

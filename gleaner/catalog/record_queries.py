@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.catalog.inputs import TRAINING_SQL, training_rows
+from gleaner.catalog.inputs import TRAINING_SQL, documents, training_rows
 from gleaner.catalog.registry import query, table
 from gleaner.functions import text as tx
 from gleaner.operators import hierarchy, ordering, records, training
@@ -78,7 +78,8 @@ _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 
 
 def _strip_sql(sql: str) -> str:
-    return f"regexp_replace(regexp_replace({sql}, '^[{_WS}]+', ''), '[{_WS}]+$', '')"
+    ws = r"\x1c-\x1f" + _WS
+    return f"regexp_replace(regexp_replace({sql}, '^[{ws}]+', ''), '[{ws}]+$', '')"
 
 
 def _clean_sql(column: str) -> str:
@@ -111,7 +112,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(case == 4, F.concat(F.lit("10. 「"), text, F.lit("」,  ")))
         .otherwise(F.concat(text, F.lit(". ")))
     )
-    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    return documents(spark, sf_dir).select("doc_id", raw.alias("raw"))
 
 
 @query("clean_text", f"WITH {_RAW_SQL} SELECT doc_id, {_clean_sql('raw')} AS clean FROM raw")
@@ -152,7 +153,7 @@ def _statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.to_json(F.struct(*base, F.transform(lines, clause).alias(hierarchy.CLAUSES)))
     bare = F.to_json(F.struct(*base, F.struct(items(lines).alias(hierarchy.ITEMS)).alias(hierarchy.CLAUSES)))
     doc = F.when(id % 3 == 0, listed).when(id % 3 == 1, bare).otherwise(F.to_json(F.struct(*base)))
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("law_id"), id.alias("seq"), doc.alias("doc"))
+    return documents(spark, sf_dir).select(F.col("source").alias("law_id"), id.alias("seq"), doc.alias("doc"))
 
 
 _STATUTE_SQL = f"""

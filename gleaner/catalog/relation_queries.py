@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.catalog.inputs import DECISIONS_SQL, TRAINING_SQL, decisions, laws, training_rows
+from gleaner.catalog.inputs import DECISIONS_SQL, TRAINING_SQL, decisions, documents, laws, training_rows
 from gleaner.catalog.registry import query, table
 from gleaner.functions import text as tx
 from gleaner.operators import labels, metrics, negatives, records, sampling
@@ -220,7 +220,7 @@ def hashing_sql(texts: str, name: str, dim: int = 64) -> str:
 SELECT tid AS doc_id, CAST(slot AS INTEGER) AS slot, round(x::DOUBLE, 6) + 0.0 AS x FROM v_cells""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     vectors = embed_texts(docs, "text", instruction="fact:", instruction_format="{} {}", key="doc_id")
     cells = vectors.select("doc_id", F.posexplode("vec").alias("slot", "x"))
     return cells.select("doc_id", "slot", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))

@@ -10,6 +10,8 @@ from gleaner.catalog.inputs import (
 from gleaner.catalog.registry import query, table
 from gleaner.functions.vectors import l2_normalize as normalized
 from gleaner.operators import attention, losses, scores
+from gleaner.session import new_path
+from gleaner.sources.tables import table_roundtrip
 
 TEMPERATURE = 0.02
 
@@ -104,6 +106,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     pairs = own_pairs(docs, "doc_id").join(docs.withColumnRenamed("doc_id", "p_id"), "p_id", "left_semi")
     weights = scores.lexical_weights(term_weights(spark, sf_dir), SPECIAL)
+    weights = table_roundtrip(weights, new_path(spark, "weights"))  # both sides of the score read it
     found = scores.score_lexical(weights, weights, pairs, temperature=TEMPERATURE)
     return found.select("q_id", "p_id", F.round("lexical", 6).alias("lexical"))
 

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gleaner.operators.skew import MOST_HOT_KEYS
 
 BLOCK_BYTES = 32 << 20  # one block of one side, as doubles
-SLAB_BYTES = 64 << 20  # block products are taken in slabs of this size
+SLAB_BYTES = 8 << 20  # block products are taken in slabs that stay in cache
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:
@@ -55,17 +55,28 @@ def slabs(n_left: int, n_right: int):
     return (slice(at, at + step) for at in range(0, n_left, step))
 
 
-def cross_blocks(left: DataFrame, right: DataFrame, lb: Column, rb: Column, n_lb: int, n_rb: int, kernel, schema):
-    """Every left block meets every right block in one cell; kernel(left, right) -> table."""
-    cells = n_lb * n_rb
-    session = left.sparkSession
-    tasks = min(cells, max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * parallelism(left)))
-    key = ["_lb", "_rb"]
-    l = left.withColumn("_lb", lb).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_rb - 1))))
-    r = detached(right).withColumn("_rb", rb).withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(n_lb - 1))))
-    # A fixed number of partitions: a cell is small in bytes but heavy in work, so none may be merged away.
-    l, r = l.repartition(tasks, *key), r.repartition(tasks, *key)
-    return l.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(kernel, schema)
+MOST_TASKS = 20_000
+
+
+def cross_blocks(
+    left: DataFrame, right: DataFrame, lb: Column, rb: Column, n_lb: int, n_rb: int, kernel, schema
+) -> DataFrame:
+    """Every left block meets every right block in one cell; kernel(left, right) -> table.
+
+    A cell is small in bytes but heavy in work, so each is its own task: the cell number is the partition.
+    """
+    tasks = min(n_lb * n_rb, MOST_TASKS)
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    l = left.withColumn("_lb", lb).withColumn("_rb", every(n_rb))
+    r = detached(right).withColumn("_rb", rb).withColumn("_lb", every(n_lb))
+    l, r = (
+        df.withColumn("_cell", F.col("_lb") * n_rb + F.col("_rb")).drop("_lb", "_rb").repartitionById(tasks, "_cell")
+        for df in (l, r)
+    )
+    return l.groupBy("_cell").cogroup(r.groupBy("_cell")).applyInArrow(kernel, schema)
 
 
 def _blocks_per_batch(df: DataFrame, batch: str, rows: int, name: str) -> DataFrame:

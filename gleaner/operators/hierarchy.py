@@ -30,8 +30,10 @@ def _item_rows(paragraph, items: Column) -> Column:
     return F.coalesce(rows, F.array())
 
 
-def flatten_hierarchy(docs: DataFrame, law_id: str, seq: str, doc: str = "doc") -> DataFrame:
-    """One row per article, clause and item, with cleaned content.
+def flatten_hierarchy(
+    docs: DataFrame, law_id: str, seq: str, doc: str = "doc", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per article, clause and item, with cleaned content; keep names columns to carry along.
 
     doc is the JSON text of one article. Its clause field is a list of clauses, each with an optional
     list of items, or an object that holds items only; those get paragraph 0. All levels of a document
@@ -51,27 +53,27 @@ def flatten_hierarchy(docs: DataFrame, law_id: str, seq: str, doc: str = "doc")
     own = F.array(_row(0, 0, _field(v, CONTENT)))
     branch = F.coalesce(F.nullif(_field(v, BRANCH), F.lit("")).cast("int"), F.lit(1))
     return (
-        docs.select(law_id, seq, F.parse_json(doc).alias("_doc"))
+        docs.select(law_id, seq, *keep, F.parse_json(doc).alias("_doc"))
         .select(
             law_id,
             seq,
+            *keep,
             heading.alias("preamble"),
             _field(v, NUMBER).cast("int").alias("article"),
             branch.alias("article_branch"),
             F.explode(F.when(heading == 1, own).otherwise(F.concat(own, below))).alias("_row"),
         )
-        .select(law_id, seq, "preamble", "article", "article_branch", "_row.*")
+        .select(law_id, seq, *keep, "preamble", "article", "article_branch", "_row.*")
         .withColumn("content", tx.clean_text("content"))
     )
 
 
 def clause_table(docs: DataFrame, law_id: str, seq: str, doc: str = "doc") -> DataFrame:
     """flatten_hierarchy plus the part and chapter each row stands under."""
-    rows = flatten_hierarchy(docs, law_id, seq, doc)
-    # Headings occur on article level only, so the state is carried over articles, not over clauses.
-    articles = rows.where("paragraph = 0 and subparagraph = 0").select(law_id, seq, "content")
-    headed = carry_headings(articles, law_id, seq).drop("content")
-    return rows.join(headed, [law_id, seq])
+    # Headings stand on article level, so the state is carried over documents before they are taken apart.
+    own = tx.clean_text(_field(F.parse_json(doc), CONTENT)).alias("_own")
+    headed = carry_headings(docs.select(law_id, seq, doc, own), law_id, seq, "_own")
+    return flatten_hierarchy(headed, law_id, seq, doc, keep=("part", "chapter"))
 
 
 def drop_headings(df: DataFrame) -> DataFrame:

@@ -67,6 +67,14 @@ def skew_join(
     return l.join(r, on + ["_ls", "_rs"], how).drop("_ls", "_rs")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer partitions than cores is dealt over all cores; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, *keys)
+
+
 def as_columns(order_by: Sequence[str | Column] | str) -> list[Column]:
     if isinstance(order_by, str):
         order_by = [order_by]
