@@ -122,7 +122,7 @@ def batch_cells(
         )
 
     key = ["_cell", "_lb", "_rb"]
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), parallelism(left))
+    tasks = min(2 * buckets, MOST_TASKS)
     l = placed(left, "l", "r").repartition(tasks, *key)
     r = placed(detached(right), "r", "l").repartition(tasks, *key)
     names = [f.name for f in schema.fields]

@@ -71,7 +71,7 @@ def flatten_hierarchy(
 def clause_table(docs: DataFrame, law_id: str, seq: str, doc: str = "doc") -> DataFrame:
     """flatten_hierarchy plus the part and chapter each row stands under."""
     # Headings stand on article level, so the state is carried over documents before they are taken apart.
-    own = tx.clean_text(_field(F.parse_json(doc), CONTENT)).alias("_own")
+    own = tx.clean_text(F.get_json_object(doc, f"$['{CONTENT}']")).alias("_own")
     headed = carry_headings(docs.select(law_id, seq, doc, own), law_id, seq, "_own")
     return flatten_hierarchy(headed, law_id, seq, doc, keep=("part", "chapter"))
 

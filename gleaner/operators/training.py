@@ -28,12 +28,12 @@ def training_groups(
     of the same picks come along, and a score that is missing or no number is an error.
     """
     wanted = group_size - 1
-    n_pos, n_neg = F.size("pos"), F.size("neg")
+    n_pos, n_neg = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(1)) for c in ("pos", "neg"))
     repeats = F.when(n_neg < wanted, F.ceil(F.lit(wanted) / n_neg)).otherwise(F.lit(1)).cast("int")
     slots = F.sequence(F.lit(0), n_neg * repeats - 1)
     one = _by_draw(F.sequence(F.lit(0), n_pos - 1), seed, F.lit("pos"), key)[0]
     many = F.slice(_by_draw(slots, seed, F.lit("neg"), key), 1, wanted)
-    empty = (F.coalesce(n_pos, F.lit(0)) <= 0) | (F.coalesce(n_neg, F.lit(0)) <= 0)
+    empty = (F.coalesce(F.size("pos"), F.lit(0)) <= 0) | (F.coalesce(F.size("neg"), F.lit(0)) <= 0)
     refused = F.raise_error(F.concat(F.lit("no positives or no negatives in row "), F.col(key).cast("string")))
     picked = (
         df.withColumn("_one", F.when(empty, refused.cast("int")).otherwise(one))
