@@ -6,12 +6,16 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.catalog.inputs import MODELS, QRELS_SQL, TRAINING_SQL, hits_sql, qrels, training_rows, vectors
+from gleaner.catalog.inputs import (
+    MODELS, QRELS_SQL, TRAINING_SQL, decisions, hits_sql, laws, qrels, training_rows, vectors,
+)
 from gleaner.catalog.registry import query, table
-from gleaner.catalog.relation_queries import hashing_sql
+from gleaner.catalog.relation_queries import TEST_SET_SQL, hashing_sql
 from gleaner.operators import metrics, negatives, sampling
 from gleaner.operators.knn import knn_topk
+from gleaner.plans.evaluation import evaluate
 from gleaner.plans.mining import mine_hard_negatives
+from gleaner.plans.testset import build_test_set
 
 DEPTH = 100
 
@@ -192,7 +196,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # All metrics at 10 and 50 over the hits and judgements of the queries in both.
-_METRICS_SQL = f"""
+METRICS_SQL = f"""
 judged AS (SELECT h.*, coalesce(r.relevance, 0.0) AS rel,
                   row_number() OVER (PARTITION BY model, h.qid ORDER BY score DESC, h.docid DESC) AS r
            FROM hits h LEFT JOIN qrels r ON r.qid = h.qid AND r.docid = h.docid
@@ -218,7 +222,7 @@ def _means(names) -> str:
 
 @query(
     "compare_models",
-    f"WITH {QRELS_SQL}, {hits_sql(MODELS)}, {_METRICS_SQL} SELECT model, {_means(metrics.METRICS)} FROM per_query GROUP BY model",
+    f"WITH {QRELS_SQL}, {hits_sql(MODELS)}, {METRICS_SQL} SELECT model, {_means(metrics.METRICS)} FROM per_query GROUP BY model",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = reduce(DataFrame.unionByName, [hits(spark, sf_dir, model) for model in MODELS])
@@ -226,7 +230,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metric(name: str) -> None:
-    sql = f'WITH {QRELS_SQL}, {hits_sql({"d32": 32})}, {_METRICS_SQL} SELECT {_means([name])} FROM per_query'
+    sql = f'WITH {QRELS_SQL}, {hits_sql({"d32": 32})}, {METRICS_SQL} SELECT {_means([name])} FROM per_query'
 
     @query(f"metric_{name}", sql)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,12 +242,21 @@ for _name in metrics.METRICS:
     _metric(_name)
 
 
-@query("test_set_loop", None)
+# Test set from labelled texts, search in it, and metrics: the whole evaluation flow.
+@query(
+    "evaluate_test_set",
+    f"""WITH {TEST_SET_SQL},
+asked AS (SELECT CAST(id AS VARCHAR) AS tid, text FROM laws WHERE label IN (SELECT label FROM drawn)),
+passages AS (SELECT doc AS tid, fact AS text FROM numbered),
+qrels AS (SELECT CAST(id AS VARCHAR) AS qid, doc AS docid, 1.0::DOUBLE AS relevance FROM numbered JOIN laws USING (label)),
+{hashing_sql("asked", "q")}, {hashing_sql("passages", "c")},
+scored AS (
+  SELECT q.tid AS qid, c.tid AS docid, round(list_inner_product(q.vec::DOUBLE[], c.vec::DOUBLE[]), 10) AS score FROM q, c),
+hits AS (
+  SELECT 'hashing' AS model, * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) <= 100),
+{METRICS_SQL} SELECT model, {_means(metrics.METRICS)} FROM per_query GROUP BY model""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test set from labelled texts, search in it, and metrics: the whole evaluation flow."""
-    from gleaner.catalog.inputs import decisions, laws
-    from gleaner.plans.evaluation import evaluate
-    from gleaner.plans.testset import build_test_set
-
     queries, corpus, judged = build_test_set(decisions(spark, sf_dir), laws(spark, sf_dir), "src", 10)
     return evaluate({"hashing": None}, queries, corpus, judged)

@@ -137,7 +137,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.cap_rows(events, "event_type", "event_id", 1500)
 
 
-_TEST_SET_SQL = f"""{_FAMILY_SQL},
+TEST_SET_SQL = f"""{_FAMILY_SQL},
 {_LAWS_SQL},
 drawn AS (
   SELECT key, fact, label FROM family
@@ -149,7 +149,7 @@ numbered AS (
 
 @query(
     "build_test_set",
-    f"""WITH {_TEST_SET_SQL}
+    f"""WITH {TEST_SET_SQL}
 SELECT 'query' AS kind, CAST(id AS VARCHAR) AS id, text, '' AS docid, 0 AS relevance FROM laws
 WHERE label IN (SELECT label FROM drawn)
 UNION ALL SELECT 'corpus', doc, fact, '', 0 FROM numbered

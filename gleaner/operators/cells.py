@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleaner.operators.skew import MOST_HOT_KEYS
 
-BLOCK_BYTES = 32 << 20  # one block of one side, as doubles
+BLOCK_BYTES = 64 << 20  # one block of one side, as doubles
 SLAB_BYTES = 8 << 20  # block products are taken in slabs that stay in cache
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.operators.skew import skew_join
+from gleaner.operators.skew import left_join_hot_right, skew_join
 
 
 def count_labels_multi(df: DataFrame, col: str, sep: str = ",") -> DataFrame:
@@ -60,4 +60,4 @@ def label_difference(a: DataFrame, b: DataFrame, label: str = "label") -> DataFr
 def missing_labels(test: DataFrame, train: DataFrame, dim: DataFrame, label: str = "label") -> DataFrame:
     """Test labels the training subset lacks, with their content in the full table."""
     full = dim.select(F.col("title").alias(label), "id", "content")
-    return label_difference(test, train, label).join(full, [label], "left")
+    return left_join_hot_right(label_difference(test, train, label), full, [label], ["id"])

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gleaner.operators.skew import skew_join
+
 METRICS = ("ndcg", "map", "recall", "precision", "mrr")
 KS = (10, 50)
 
@@ -135,6 +137,6 @@ def qrels_map(qrels: DataFrame, order: str | None = None, most: int = 100_000) -
     large = judged.groupBy("qid").count().where(F.col("count") > most)
     large = large.select("qid", F.ceil(F.col("count") / most).alias("_parts"))
     part = F.pmod(F.xxhash64("docid"), F.coalesce("_parts", F.lit(1))).cast("int")
-    entries = judged.join(large, "qid", "left").withColumn("part", part)
+    entries = skew_join(judged, large, ["qid"], "left", ["docid"]).withColumn("part", part)
     as_map = F.map_from_entries(F.collect_list(F.struct("docid", "relevance")))
     return entries.groupBy("qid", "part").agg(as_map.alias("judgements"))

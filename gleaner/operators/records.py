@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleaner.functions.text import instruction_text, render_prompt, respace_title
 from gleaner.functions.vectors import max_abs_diff
+from gleaner.operators.skew import left_join_hot_right
 
 RESPONSE_SCHEMA = "id long, title string, query string, pos array<string>"
 
@@ -18,16 +20,12 @@ def map_rows(df: DataFrame, columns: dict[str, Column], remove: list[str] | None
 
 def lift_query(df: DataFrame, law: str) -> DataFrame:
     """Old-format rows {id, query: {title, content}} to flat ones with a respaced title."""
-    from gleaner.functions.text import respace_title
-
     flat = {"title": respace_title(F.col("query.title"), law), "content": F.col("query.content")}
     return map_rows(df, flat, ["query"])
 
 
 def render_prompts(df: DataFrame, template: str, k: int) -> DataFrame:
     """(id, instructions, prompt): what a generator is asked for every query row."""
-    from gleaner.functions.text import instruction_text, render_prompt
-
     return df.select(
         "id", F.lit(instruction_text(template, k)).alias("instructions"),
         render_prompt("id", "title", "content").alias("prompt"),
@@ -42,7 +40,7 @@ def merge_generated(queries: DataFrame, responses: DataFrame) -> DataFrame:
     parsed = responses.select(
         F.col("request_id").alias("id"), F.from_json("response", RESPONSE_SCHEMA).alias("_r")
     )
-    joined = queries.join(parsed, "id", "left")
+    joined = left_join_hot_right(queries.select("id", "title", "content"), parsed, ["id"], ["_r"])
     ok = F.col("_r.pos").isNotNull()
     return joined.select(
         "id",

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleaner.functions.draws import SEED, draw
 
-# Up to this many rows per group Spark cuts a ranked window before the shuffle
-# (default of spark.sql.optimizer.windowGroupLimitThreshold).
-RANK_LIMIT = 1000
+# Up to this setting Spark cuts a ranked window before the shuffle.
+RANK_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 _BUCKETS_HEX = 3  # 16^3 buckets per group beyond that
 
 
@@ -17,7 +16,7 @@ def sample_per_group(
 ) -> DataFrame:
     """k rows per group without replacement: those with the smallest draw. Smaller groups are kept whole."""
     drawn = df.withColumn("_draw", draw(seed, F.lit(salt), key))
-    if k <= RANK_LIMIT:
+    if k <= int(df.sparkSession.conf.get(RANK_SETTING)):
         order = Window.partitionBy(group).orderBy("_draw", key)
         ranked = drawn.withColumn("_rank", F.row_number().over(order))
         return ranked.where(F.col("_rank") <= k).drop("_draw", "_rank")

@@ -73,7 +73,7 @@ def score_maxsim(
 ) -> DataFrame:
     """Mean over the query's tokens of the best inner product with any passage token.
 
-    The first token (position 0) of either side is left out. Token products are reduced to their maximum
+    The first token (position 0) of either side is left out; a pair that then lacks tokens scores NULL. Token products are reduced to their maximum
     in the task that makes them; only one row per (pair, query token) is shuffled on.
     """
     qt = _renamed(q_tok, q_id=id, _pos=pos, _qv=vec).where("_pos > 0")
@@ -84,7 +84,8 @@ def score_maxsim(
         left, pt, ["p_id"], "inner", ["q_id", "_pos"], ["_ppos"], sized_by=pairs, hot_rows=HOT_PAIRS
     )
     best = both.groupBy(*PAIR, "_pos").agg(F.max(dot("_qv", "_pv")).alias("_best"))
-    return best.groupBy(*PAIR).agg((F.avg("_best") / temperature).alias("maxsim"))
+    means = best.groupBy(*PAIR).agg((F.avg("_best") / temperature).alias("maxsim"))
+    return pairs.join(means, PAIR, "left")
 
 
 def score_ensemble(

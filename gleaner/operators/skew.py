@@ -39,6 +39,7 @@ def skew_join(
     the right side's rows of that key are repeated once per share. With right_spread (inner join only)
     the right side's hot keys are dealt the same way. Without hot keys it is a plain join. sized_by counts
     the left keys in another table, where that is cheaper; hot_on takes hotness from part of the key.
+    left_join_hot_right does a left join whose right side is the hot one.
     """
     on, hot_on = list(on), list(hot_on or on)
     if right_spread and how != "inner":
@@ -67,6 +68,18 @@ def skew_join(
     return l.join(r, on + ["_ls", "_rs"], how).drop("_ls", "_rs")
 
 
+def left_join_hot_right(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], hot_rows: int | None = None
+) -> DataFrame:
+    """Left join for a right side with hot keys; the left side has few rows per key."""
+    on = list(on)
+    if not hot_keys(right, on, hot_rows):
+        return left.join(right, on, "left")
+    matched = skew_join(right, left, on, "inner", spread, hot_rows=hot_rows)
+    unmatched = left.join(right.select(*on).distinct(), on, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A scan with fewer partitions than cores is dealt over all cores; a larger one is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

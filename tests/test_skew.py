@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import attention, cells, losses, metrics, sampling, scores
 from gleaner.operators.aggregates import log_sum_exp
 from gleaner.operators.knn import block_counts, knn_topk
-from gleaner.operators.skew import hot_keys, skew_join
+from gleaner.operators.skew import hot_keys, left_join_hot_right, skew_join
 
 
 def rows_of(df, *columns):
@@ -39,6 +39,12 @@ def test_skew_join_deals_both_sides(spark, hot):
     assert rows_of(dealt, "id", "rid") == rows_of(hot.join(right, ["k"]), "id", "rid")
 
 
+def test_left_join_with_a_hot_right_side(spark, hot):
+    left = spark.createDataFrame([("hot", 1), ("1", 2), ("nowhere", 3), (None, 4)], "k string, v int")
+    dealt = left_join_hot_right(left, hot, ["k"], ["id"], hot_rows=20)
+    assert rows_of(dealt, "k", "v", "id") == rows_of(left.join(hot, ["k"], "left"), "k", "v", "id")
+
+
 def test_hot_keys_lists_only_hot_ones(hot):
     assert [r["_shares"] for r in hot_keys(hot, ["k"], 100)] == [2]
 
@@ -47,11 +53,11 @@ def test_large_samples_equal_the_ranked_ones(spark):
     df = spark.range(20000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").otherwise((F.col("id") % 2).cast("string")).alias("g"))
     k = 3000
     large = sampling.sample_per_group(df, "g", "id", k)
-    before, sampling.RANK_LIMIT = sampling.RANK_LIMIT, 10**9
+    spark.conf.set(sampling.RANK_SETTING, "1000000")
     try:
         ranked = sampling.sample_per_group(df, "g", "id", k)
     finally:
-        sampling.RANK_LIMIT = before
+        spark.conf.unset(sampling.RANK_SETTING)
     assert rows_of(large, "g", "id") == rows_of(ranked, "g", "id")
     assert large.groupBy("g").count().where("count <> 3000").count() == 0
 
