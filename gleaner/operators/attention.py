@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gleaner.operators.aggregates import log_sum_exp, vector_mean, vector_sum
-from gleaner.operators.cells import batch_cells, block_rows, matrix, slabs, vector_dim
+from gleaner.operators.cells import batch_block_rows, batch_cells, matrix, slabs, vector_dim
 
 
 def pool_cls(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", vec: str = "vec") -> DataFrame:
@@ -46,7 +46,7 @@ def batch_lse(
 
     Cells hand back one number per left row, so the score matrix of a batch is never written out.
     """
-    rows = rows or block_rows(vector_dim(left, l_vec))
+    rows = rows or batch_block_rows(vector_dim(left, l_vec))
     schema = T.StructType([_id_field(left, batch), _id_field(left, id_col), T.StructField("_lse", T.DoubleType())])
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
@@ -85,7 +85,9 @@ def _weighted_sums(
         vectors = pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))
         return pa.table({batch: lt.column(batch), id_col: lt.column(id_col), out: vectors})
 
-    cells = batch_cells(left, right, batch, id_col, kernel, schema, rows)
+    # One side carries normalisers; the other has the same rows without them, so it is the one to count.
+    plain = right if lse_on_left else left
+    cells = batch_cells(left, right, batch, id_col, kernel, schema, rows, sized_by=plain.select(batch))
     return vector_sum(cells, [batch, id_col], out, dim)
 
 
@@ -94,7 +96,7 @@ def category_vectors(
     rows: int | None = None,
 ) -> DataFrame:
     """category_i = sum_j W[i,j] e_j, W the softmax of E E^T over its first index, inside each batch."""
-    rows = rows or block_rows(vector_dim(df, vec))
+    rows = rows or batch_block_rows(vector_dim(df, vec))
     base = df.select(batch, id_col, vec)
     # The products are symmetric, so a column's normaliser is the row's of the same id.
     lse = batch_lse(base, base, batch, id_col, vec, vec, 1.0, rows)
@@ -111,7 +113,7 @@ def self_attention_vectors(
     if dim % heads:
         raise ValueError(f"{dim} elements do not split in {heads} heads")
     depth = dim // heads
-    rows = rows or block_rows(depth)
+    rows = rows or batch_block_rows(depth)
     head = F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("_head")
     sliced = df.select(batch, id_col, q, k, v, head)
     for name in (q, k, v):

@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gleaner.operators.skew import MOST_HOT_KEYS
 
 BLOCK_BYTES = 64 << 20  # one block of one side, as doubles
+BATCH_ROWS = 8192  # rows of one batch per block: the work of a cell is the square of it
 SLAB_BYTES = 8 << 20  # block products are taken in slabs that stay in cache
 
 
@@ -30,6 +31,10 @@ def block_rows(dim: int) -> int:
     return max(256, BLOCK_BYTES // (8 * max(dim, 1)))
 
 
+def batch_block_rows(dim: int) -> int:
+    return min(BATCH_ROWS, block_rows(dim))
+
+
 def parallelism(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
@@ -79,9 +84,18 @@ def cross_blocks(
     return l.groupBy("_cell").cogroup(r.groupBy("_cell")).applyInArrow(kernel, schema)
 
 
-def _blocks_per_batch(df: DataFrame, batch: str, rows: int, name: str) -> DataFrame:
-    sizes = df.groupBy(batch).count().where(F.col("count") > rows)
-    return sizes.select(batch, F.ceil(F.col("count") / rows).cast("int").alias(name))
+def _hot_batches(left: DataFrame, right: DataFrame, batch: str, rows: int) -> DataFrame:
+    """(batch, _nl, _nr): blocks per side of the batches with more than `rows` rows on a side."""
+    def marked(df: DataFrame, l: int, r: int) -> DataFrame:
+        return df.select(F.col(batch).alias(batch), F.lit(l).alias("_l"), F.lit(r).alias("_r"))
+
+    sizes = marked(left, 1, 0).union(marked(right, 0, 1)).groupBy(batch).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+
+    def blocks(side: str) -> Column:
+        return F.greatest(F.ceil(F.col(side) / rows), F.lit(1)).cast("int")
+
+    hot = sizes.where((F.col("_l") > rows) | (F.col("_r") > rows))
+    return hot.select(batch, blocks("_l").alias("_nl"), blocks("_r").alias("_nr"))
 
 
 def batch_cells(
@@ -92,20 +106,23 @@ def batch_cells(
     kernel: Callable[[pa.Table, pa.Table], pa.Table],
     schema: T.StructType,
     rows: int,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Blocked products inside batches: kernel(left, right) sees rows of one batch, in blocks.
 
+    sized_by holds the batch column of the rows of either side, where counting the sides themselves
+    would repeat costly work.
+
     Small batches share a cell. A batch with more than `rows` rows on a side is cut in blocks by the
     hash of its ids, and each pair of its blocks is a cell, so no task takes a whole hot batch.
     """
     session = left.sparkSession
-    sizes = _blocks_per_batch(left, batch, rows, "_nl").join(
-        _blocks_per_batch(right, batch, rows, "_nr"), batch, "full"
-    )
+    l_rows, r_rows = (sized_by, sized_by) if sized_by is not None else (left, right)
+    sizes = _hot_batches(l_rows, r_rows, batch, rows)
     hot = sizes.limit(MOST_HOT_KEYS + 1).collect()
     if len(hot) <= MOST_HOT_KEYS:  # size checked: broadcast; beyond that a shuffled join
         sizes = F.broadcast(session.createDataFrame(hot, sizes.schema))
-    n_rows = left.count() + right.count()
+    n_rows = l_rows.count() + r_rows.count()
     buckets = max(parallelism(left), math.ceil(n_rows / (2 * rows)))
 
     def placed(df: DataFrame, own: str, other: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gleaner.functions.vectors import dot
@@ -11,7 +13,9 @@ from gleaner.operators.skew import HOT_ROWS, skew_join
 
 PAIR = ["q_id", "p_id"]
 TEMPERATURE = 1.0
-HOT_PAIRS = HOT_ROWS // 100  # pairs of one passage that a task may take, each with all its query tokens
+TOKEN_BLOCK = 512  # token vectors in one row
+MAP_TOKENS = 20_000  # tokens in one map, about
+HOT_PAIRS = HOT_ROWS // 100  # pairs of one document that a task may take, each with its token vectors
 
 
 def _renamed(df: DataFrame, **names: str) -> DataFrame:
@@ -49,22 +53,64 @@ def lexical_weights(
     return kept.groupBy(doc, token).agg(F.max(F.greatest(F.col(weight), F.lit(0.0))).alias(weight))
 
 
+def _token_maps(weights: DataFrame, side: str, parts: int) -> DataFrame:
+    """(<side>_id, _part, _<side>w): every document's weights as maps, a huge one's in parts by token hash."""
+    part = F.pmod(F.xxhash64("_t"), F.lit(parts)).cast("int").alias("_part")
+    entries = F.collect_list(F.struct("_t", "_w"))
+    return weights.groupBy(F.col("_id").alias(f"{side}_id"), part).agg(F.map_from_entries(entries).alias(f"_{side}w"))
+
+
 def score_lexical(
     q: DataFrame, p: DataFrame, pairs: DataFrame, id: str = "doc_id", token: str = "token",
     weight: str = "weight", temperature: float = TEMPERATURE,
 ) -> DataFrame:
     """Sum over shared tokens of the product of both weights; 0 for a pair that shares none.
 
-    Work starts from the pairs, so a token all documents share costs no more than any other.
+    A token stands once per document, as lexical_weights leaves it. Work starts from the pairs, so a token
+    all documents share costs no more than any other. A pair meets both documents' maps in one row; where
+    the largest vocabulary is beyond MAP_TOKENS all maps are cut in parts by token hash.
     """
     pairs = pairs.select(*PAIR)
-    qw, pw = _renamed(q, q_id=id, _t=token, _qw=weight), _renamed(p, p_id=id, _t=token, _pw=weight)
-    left = skew_join(pairs, qw, ["q_id"], "inner", ["p_id"], ["_t"])
-    # A (passage, token) key is as hot as its passage is among the pairs.
-    both = skew_join(left, pw, ["p_id", "_t"], "inner", ["q_id"], sized_by=pairs, hot_on=["p_id"])
-    shared = both.groupBy(*PAIR).agg(F.sum(F.col("_qw") * F.col("_pw")).alias("_sum"))
-    score = F.coalesce("_sum", F.lit(0.0)) / temperature
-    return pairs.join(shared, PAIR, "left").select(*PAIR, score.alias("lexical"))
+    qw, pw = _renamed(q, _id=id, _t=token, _w=weight), _renamed(p, _id=id, _t=token, _w=weight)
+    most = max(w.groupBy("_id").count().agg(F.max("count")).first()[0] or 1 for w in ([qw] if q is p else [qw, pw]))
+    parts = -(-most // MAP_TOKENS)
+    sided = skew_join(pairs, _token_maps(qw, "q", parts), ["q_id"], "left", ["p_id"])
+    # A (passage, part) key is as hot as its passage is among the pairs.
+    sided = skew_join(
+        sided, _token_maps(pw, "p", parts), ["p_id", "_part"], "left", ["q_id"], sized_by=pairs, hot_on=["p_id"]
+    )
+    products = F.map_values(F.map_zip_with("_qw", "_pw", lambda t, a, b: F.coalesce(a * b, F.lit(0.0))))
+    shared = F.coalesce(F.aggregate(products, F.lit(0.0), lambda total, x: total + x), F.lit(0.0))
+    score = shared / temperature
+    if parts == 1:
+        return sided.select(*PAIR, score.alias("lexical"))
+    return sided.groupBy(*PAIR).agg(F.sum(score).alias("lexical"))
+
+
+def _token_blocks(tokens: DataFrame, side: str) -> DataFrame:
+    """(<side>_id, _<side>c, _<side>v): the vectors of up to TOKEN_BLOCK tokens of a document, end to end."""
+    block = F.floor(F.col("_pos") / TOKEN_BLOCK).alias(f"_{side}c")
+    in_order = F.array_sort(F.collect_list(F.struct("_pos", "_vec")))
+    vectors = F.flatten(F.transform(in_order, lambda s: s["_vec"]))
+    return tokens.groupBy(F.col("_id").alias(f"{side}_id"), block).agg(
+        vectors.alias(f"_{side}v"), F.count(F.lit(1)).alias(f"_{side}n")
+    )
+
+
+def _best_products(q: pa.Array, n: pa.Array, p: pa.Array) -> pa.Array:
+    """Per row: for each of n query vectors the largest inner product with any passage vector."""
+    q_at, p_at = q.offsets.to_numpy(), p.offsets.to_numpy()
+    q_all = q.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    p_all = p.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    out = []
+    for i, count in enumerate(n.to_pylist()):
+        qm, pm = q_all[q_at[i] : q_at[i + 1]], p_all[p_at[i] : p_at[i + 1]]
+        if not len(qm) or not len(pm):
+            out.append(None)
+            continue
+        qm = qm.reshape(count, -1)
+        out.append((qm @ pm.reshape(-1, qm.shape[1]).T).max(axis=1))
+    return pa.array(out, pa.list_(pa.float64()))
 
 
 def score_maxsim(
@@ -73,19 +119,25 @@ def score_maxsim(
 ) -> DataFrame:
     """Mean over the query's tokens of the best inner product with any passage token.
 
-    The first token (position 0) of either side is left out; a pair that then lacks tokens scores NULL. Token products are reduced to their maximum
-    in the task that makes them; only one row per (pair, query token) is shuffled on.
+    The first token (position 0) of either side is left out; a pair that then lacks tokens scores NULL.
+    A pair meets the token vectors of both documents in one row and one small matrix product. Documents
+    with more than TOKEN_BLOCK tokens come in blocks, whose maxima are merged.
     """
-    qt = _renamed(q_tok, q_id=id, _pos=pos, _qv=vec).where("_pos > 0")
-    pt = _renamed(p_tok, p_id=id, _ppos=pos, _pv=vec).where("_ppos > 0")
     pairs = pairs.select(*PAIR)
-    left = skew_join(pairs, qt, ["q_id"], "inner", ["p_id"], ["_pos"])
-    both = skew_join(
-        left, pt, ["p_id"], "inner", ["q_id", "_pos"], ["_ppos"], sized_by=pairs, hot_rows=HOT_PAIRS
+    qt, pt = (_renamed(t, _id=id, _pos=pos, _vec=vec).where("_pos > 0") for t in (q_tok, p_tok))
+    longest = max(t.agg(F.max("_pos")).first()[0] or 0 for t in (qt, pt))
+    sided = skew_join(pairs, _token_blocks(qt, "q"), ["q_id"], "left", ["p_id"], hot_rows=HOT_PAIRS)
+    sided = skew_join(
+        sided, _token_blocks(pt, "p"), ["p_id"], "left", ["q_id"], sized_by=pairs, hot_rows=HOT_PAIRS
     )
-    best = both.groupBy(*PAIR, "_pos").agg(F.max(dot("_qv", "_pv")).alias("_best"))
-    means = best.groupBy(*PAIR).agg((F.avg("_best") / temperature).alias("maxsim"))
-    return pairs.join(means, PAIR, "left")
+    best_products = F.arrow_udf(_best_products, "array<double>")
+    best = sided.select(*PAIR, "_qc", best_products("_qv", "_qn", "_pv").alias("_best"))
+    if longest < TOKEN_BLOCK:  # one block per document
+        total = F.aggregate("_best", F.lit(0.0), lambda a, x: a + x)
+        return best.select(*PAIR, (total / F.size("_best") / temperature).alias("maxsim"))
+    tokens = best.select(*PAIR, "_qc", F.posexplode_outer("_best").alias("_at", "_best"))
+    merged = tokens.groupBy(*PAIR, "_qc", "_at").agg(F.max("_best").alias("_best"))
+    return merged.groupBy(*PAIR).agg((F.avg("_best") / temperature).alias("maxsim"))
 
 
 def score_ensemble(

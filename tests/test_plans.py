@@ -56,7 +56,7 @@ def test_dense_ids_window_holds_partition_sizes_only(spark):
 
 PYTHON = {
     "embed_texts", "knn_topk", "knn_best_passage", "rank_range", "mine_hard_negatives", "join_qrels", "compare_models",
-    "category_vectors", "self_attention_vectors", "score_attention", "in_batch_loss", "evaluate_test_set",
+    "score_maxsim", "score_ensemble", "blend_losses", "category_vectors", "self_attention_vectors", "score_attention", "in_batch_loss", "evaluate_test_set",
     *(f"metric_{m}" for m in ("ndcg", "map", "recall", "precision", "mrr")),
 }
 

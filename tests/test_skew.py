@@ -202,6 +202,9 @@ def test_scores_with_hot_documents(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 5)
     monkeypatch.setattr(scores, "HOT_PAIRS", 5)
     assert all_scores() == plain
+    monkeypatch.setattr(scores, "TOKEN_BLOCK", 4)
+    monkeypatch.setattr(scores, "MAP_TOKENS", 3)
+    assert all_scores() == plain
     assert len(plain[0]) == pairs.count()
 
 

@@ -182,6 +182,8 @@ def test_maxsim_keeps_negative_maxima(spark):
     p = spark.createDataFrame([(5, 0, [9.0]), (5, 1, [-1.0]), (5, 2, [-3.0])], "doc_id long, pos int, vec array<float>")
     pairs = spark.createDataFrame([(1, 5)], "q_id long, p_id long")
     assert scores.score_maxsim(q, p, pairs, temperature=0.5).first()["maxsim"] == pytest.approx(((-1 - 2) / 2) / 0.5)
+    lacking = scores.score_maxsim(q.where("pos = 0"), p, pairs).first()
+    assert (lacking["q_id"], lacking["p_id"], lacking["maxsim"]) == (1, 5, None)
 
 
 def test_blends(spark):
