@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleaner.catalog.inputs import (
     MODELS, QRELS_SQL, TRAINING_SQL, decisions, hits_sql, laws, qrels, training_rows, vectors,
 )
-from gleaner.catalog.registry import query, table
+from gleaner.catalog.registry import query
 from gleaner.catalog.relation_queries import TEST_SET_SQL, hashing_sql
 from gleaner.operators import metrics, negatives, sampling
 from gleaner.operators.knn import knn_topk
@@ -172,7 +172,7 @@ picked AS (
   SELECT id, text_id FROM ranked ANTI JOIN known USING (id, text_id) WHERE rank > 10
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY md5('42:neg:' || id || ':' || text_id), text_id) <= 15),
 {_backfill_sql("picked", "corpus")}
-SELECT t.id, len(pos) AS n_pos, n_neg, m.neg AS neg FROM training t JOIN (
+SELECT t.id, CAST(len(pos) AS INTEGER) AS n_pos, n_neg, m.neg AS neg FROM training t JOIN (
   SELECT f.id, count(*) AS n_neg, md5(string_agg(text, '|' ORDER BY place)) AS neg
   FROM filled f JOIN corpus USING (text_id) GROUP BY f.id) m USING (id)""",
 )

@@ -24,7 +24,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "read_training_dirs",
     f"""WITH {TRAINING_SQL}
-SELECT id, title, query, len(pos) AS n_pos, len(neg) AS n_neg FROM training
+SELECT id, title, query, CAST(len(pos) AS INTEGER) AS n_pos, CAST(len(neg) AS INTEGER) AS n_neg FROM training
 UNION ALL SELECT item_id, NULL, text, NULL, NULL FROM benchmark""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "score_columns_policy",
     f"""WITH {TRAINING_SQL}
-SELECT id, query, len(pos) AS n_pos, len(neg) AS n_neg FROM training""",
+SELECT id, query, CAST(len(pos) AS INTEGER) AS n_pos, CAST(len(neg) AS INTEGER) AS n_neg FROM training""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training_rows(spark, sf_dir).select("id", "query", F.size("pos").alias("n_pos"), F.size("neg").alias("n_neg"))
@@ -285,7 +285,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "map_rows",
-    "SELECT conv_id, turn, upper(role) AS role, length(text) AS n FROM conversations",
+    "SELECT conv_id, turn, upper(role) AS role, CAST(length(text) AS INTEGER) AS n FROM conversations",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.map_rows(
@@ -390,8 +390,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "split_positives",
     f"""WITH {TRAINING_SQL}
-SELECT id, 'train' AS part, len(pos[1:10]) AS n, array_to_string(pos[1:10], '|') AS pos FROM training
-UNION ALL SELECT id, 'heldout', len(pos[11:]), array_to_string(pos[11:], '|') FROM training""",
+SELECT id, 'train' AS part, CAST(len(pos[1:10]) AS INTEGER) AS n, array_to_string(pos[1:10], '|') AS pos FROM training
+UNION ALL SELECT id, 'heldout', CAST(len(pos[11:]) AS INTEGER), array_to_string(pos[11:], '|') FROM training""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = zip(("train", "heldout"), records.split_positives(training_rows(spark, sf_dir)))
@@ -405,7 +405,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "check_list_sizes",
     f"""WITH {TRAINING_SQL}
-SELECT id, len(pos) AS size, (SELECT len(pos) FROM training ORDER BY id LIMIT 1) AS expected
+SELECT id, CAST(len(pos) AS INTEGER) AS size, CAST((SELECT len(pos) FROM training ORDER BY id LIMIT 1) AS INTEGER) AS expected
 FROM training WHERE len(pos) <> (SELECT len(pos) FROM training ORDER BY id LIMIT 1)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,7 +415,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "to_retrieval_tables",
     f"""WITH {TRAINING_SQL}
-SELECT CAST(id AS VARCHAR) AS qid, CAST(id AS VARCHAR) AS docid, 1 AS relevance, query, len(pos) AS n_texts
+SELECT CAST(id AS VARCHAR) AS qid, CAST(id AS VARCHAR) AS docid, 1 AS relevance, query, CAST(len(pos) AS INTEGER) AS n_texts
 FROM training""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,9 +479,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     "max_token_len",
     f"""WITH {TRAINING_SQL},
 passages AS (SELECT unnest(list_concat(pos, neg)) AS t FROM training)
-SELECT (SELECT max(len(list_filter(string_split_regex(query, '[\\t-\\r ]+'), lambda w: w <> ''))) FROM training)
+SELECT (SELECT CAST(max(len(list_filter(string_split_regex(query, '[\\t-\\r ]+'), lambda w: w <> ''))) AS INTEGER) FROM training)
          AS query_max_len,
-       (SELECT max(len(list_filter(string_split_regex(t, '[\\t-\\r ]+'), lambda w: w <> ''))) FROM passages)
+       (SELECT CAST(max(len(list_filter(string_split_regex(t, '[\\t-\\r ]+'), lambda w: w <> ''))) AS INTEGER) FROM passages)
          AS passage_max_len""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.functions.draws import SEED, draw
+from gleaner.functions.draws import draw
 from gleaner.functions.text import first_label, only_family
 from gleaner.operators.labels import collect_by_class, lookup_required
 from gleaner.operators.ordering import dense_ids
