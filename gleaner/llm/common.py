@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gleaner.session import new_path
 
@@ -52,6 +52,21 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def running_sum(df: DataFrame, order: list[Column], value: Column, out: str, scratch: Scratch) -> DataFrame:
+    """df with the sum of value over all rows before each row in the given order, which should be total.
+
+    Rows are put in order by a range shuffle and written; sums run inside each range partition, and only
+    one total for each of these is summed up in one task and broadcast.
+    """
+    ranged = scratch.keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return ranged.join(F.broadcast(totals), "_part").withColumn(out, total.cast("long")).drop("_part", "_before")
+
+
 def word_count(text: Column) -> Column:
     """Number of words, natively. Null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.fingerprints import document_fingerprints
+from gleaner.llm.mixing import mix_sources
 from gleaner.llm.packing import pack_documents
+from gleaner.llm.paragraph_dedup import paragraph_removals
+from gleaner.llm.quality_classifier import quality_scores
+from gleaner.llm.quality_rules import quality_rules
 from gleaner.llm.simhash import simhash_groups
+from gleaner.llm.suffix_dedup import remove_repeats
 from gleaner.llm.token_counts import token_counts
 from gleaner.llm.training_order import write_training_order
 from gleaner.session import new_path
@@ -29,11 +35,49 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_removals(documents(spark, sf_dir))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_scores(documents(spark, sf_dir), labels).drop("text_hash")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(documents(spark, sf_dir))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_training_order, op2_simhash, op3_packing, op8_token_counts)
+    f.__name__: f
+    for f in (
+        op1_training_order,
+        op2_simhash,
+        op3_packing,
+        op4_paragraphs,
+        op5_quality_classifier,
+        op6_fingerprints,
+        op7_quality_rules,
+        op8_token_counts,
+        op9_suffix_dedup,
+        op10_mixing,
+    )
 }
+#: The operators hash, train or pack in ways that SQL can't express; tests hold them against brute force.
 ORACLES: dict[str, str] = {}

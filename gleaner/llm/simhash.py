@@ -133,7 +133,9 @@ def close_edges(distinct: DataFrame, scratch: Scratch, radius: int = 2) -> DataF
     return arrow_pass(left.join(right, ["p", "q"]).select("a", "b"), compare, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+def simhash_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3
+) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document.
 
     Documents are linked when their fingerprints differ in at most radius bits; component_id is the smallest
@@ -145,15 +147,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     into the comparison. A hot fingerprint meets its single group row in the last join, which adaptive
     execution splits.
     """
-    fps, named, _ = _grouped(docs, id_col, text_col, radius)
+    fps, named, _ = _grouped(docs, id_col, text_col, radius, width)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, radius: int, width: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their fingerprints; fingerprints with their component_id; the row that stands for each component."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.keep(fingerprints(docs, id_col, text_col))
+    fps = scratch.keep(fingerprints(docs, id_col, text_col, width))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     groups = scratch.keep(fps.groupBy("fp").agg(first.alias("least")))
     edges = scratch.keep(close_edges(groups.select("fp"), scratch, radius))
@@ -165,13 +169,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[
     return fps, named, stands.select("least.*")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+def simhash_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3
+) -> DataFrame:
     """One row of docs, all columns, for each component: the one with the smallest doc_id.
 
     Of several rows with that doc_id the one with the smallest text hash stays, and of repeated rows one. A
     component without any doc_id keeps one row.
     """
-    stands = _grouped(docs, id_col, text_col, radius)[2]
+    stands = _grouped(docs, id_col, text_col, radius, width)[2]
     stands = stands.select(F.col("doc_id").alias("_keep"), F.col("text_hash").alias("_keep_hash"))
     text_hash = F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(F.struct("*").alias(ROW), F.col(id_col).cast("long").alias("_id"), text_hash.alias("_hash"))
