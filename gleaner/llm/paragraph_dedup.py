@@ -4,127 +4,71 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from gleaner.llm.common import ROW, Scratch, arrow_pass, signed, spans, within
+from gleaner.llm.collisions import colliding, tied
 from gleaner.llm.components import components
+from gleaner.llm.shingles import SIMILARITY, WIDTH, bands, identities, shingles, similar, tune_bands, word_hashes
 
-WIDTH = 5  # words in a shingle
-SIMILARITY = 0.8
-RECALL = 0.99  # of pairs just at the similarity
-ROWS = 2  # hashes in a band
 MIN_RUN = 20  # words that the repeated paragraphs of a run must have in all
-BLOCK = 256  # paragraphs of one band value that are compared in a task with as many others
-SEED = 42
 
-#: Paragraphs end with the line or with a sentence in it, so that a passage put into the midst of another line
-#: still has paragraphs of its own.
-_PARAGRAPH = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\r\f\v])|(?=\n)|\Z)[ \t\r\f\v]*\n*", re.DOTALL)
+#: A sentence ends with its line or after its full stop, white space included.
+_SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\r\f\v])|(?=\n)|\Z)[ \t\r\f\v]*\n*", re.DOTALL)
 
 
-def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
-    """The least number of bands that finds pairs at the similarity with the recall."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
-
-
-def paragraphs(text: str) -> list[str]:
-    """The text cut into paragraphs; joined they are the text again."""
-    return [p for p in _PARAGRAPH.findall(text) if p]
-
-
-def _word_hashes(parts: list[str], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each part); words are lower-cased in A-Z."""
-    split = [p.encode("utf-8", "surrogatepass").lower().split() for p in parts]
-    digest = xxhash.xxh64_intdigest
-    if len(known) > 500_000:
-        known.clear()
-    found = []
-    for words in split:
-        for w in words:
-            if (h := known.get(w)) is None:
-                h = known[w] = digest(w, SEED)
-            found.append(h)
-    return np.array(found, dtype=np.uint64), np.array([len(w) for w in split], dtype=np.int64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _chain(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the width words at each place, in order."""
-    with np.errstate(over="ignore"):
-        out = np.zeros(max(0, len(hashes) - width + 1), dtype=np.uint64)
-        for i in range(width):
-            out = _mix(out + np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - width + 1 + i])
-    return out
-
-
-def _shingles(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes, how many of each paragraph); a paragraph of fewer words than WIDTH has none."""
-    counts = np.maximum(sizes - WIDTH + 1, 0)
-    starts = np.repeat(spans(sizes)[:-1], counts) + within(counts)
-    return (_chain(hashes, WIDTH)[starts] if len(starts) else np.zeros(0, np.uint64)), counts
-
-
-def _identities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One hash of each paragraph's whole words, in order."""
-    with np.errstate(over="ignore"):
-        placed = _mix(hashes + _mix(within(sizes).astype(np.uint64)))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(placed, dtype=np.uint64)])
-        ends = spans(sizes)
-        return _mix(total[ends[1:]] - total[ends[:-1]] + sizes.astype(np.uint64))
-
-
-def _signatures(shingles: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
-    """MinHash signatures, a row for each paragraph; counts are all positive."""
-    starts = spans(counts)[:-1]
-    keys = _mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.stack([np.minimum.reduceat(_mix(shingles ^ k), starts) for k in keys], axis=1)
+def sentences(text: str) -> list[str]:
+    """The text cut into sentences; joined they are the text again."""
+    return [p for p in _SENTENCE.findall(text) if p]
 
 
 def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, place, par, words, bands): every paragraph of at least WIDTH words.
+    """(doc_id, text_hash, place, span, par, bands): the paragraphs of every text, of at least WIDTH words.
 
-    par is a 64-bit hash of the words; bands has a hash for each MinHash band. Paragraphs whose shingles
-    are too few to reach the similarity with any other number of them have no bands: only equal ones match.
+    A paragraph is a line, and each sentence of a line too, so that a passage put into the midst of another
+    line still has paragraphs of its own. place is its first sentence, span the number of them, par a 64-bit
+    hash of its words. Lines have bands, a hash for each MinHash band; sentences within a line have none and
+    match as equals, as do lines whose shingles are too few to reach the similarity with another number.
     """
     n_bands = tune_bands()
     least = math.ceil(SIMILARITY / (1 - SIMILARITY))  # of n and n + 1 shingles, n / (n + 1) must reach it
     known: dict[bytes, int] = {}
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = [paragraphs(t or "") for t in batch.column(2).to_pylist()]
+        parts = [sentences(t or "") for t in batch.column(2).to_pylist()]
         per_text = np.array([len(p) for p in parts], dtype=np.int64)
-        hashes, sizes = _word_hashes([p for ps in parts for p in ps], known)
+        flat = [p for ps in parts for p in ps]
         number, place = np.repeat(np.arange(len(parts)), per_text), within(per_text)
-        par = _identities(hashes, sizes)
-        shingles, counts = _shingles(hashes, sizes)
+        hashes, sizes = word_hashes(flat, known)
+        # A line ends after a sentence with a line feed, and with the text.
+        last = np.array([p.endswith("\n") for p in flat], dtype=bool)
+        last[np.cumsum(per_text)[per_text > 0] - 1] = True
+        ends = np.flatnonzero(last) + 1
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        words = spans(sizes)
+        line_sizes = words[ends] - words[starts]
+        found, counts = shingles(hashes, line_sizes)
         banded = counts >= least
-        signature = np.zeros((0, n_bands * ROWS), np.uint64)
-        if banded.any():
-            signature = _signatures(shingles[np.repeat(banded, counts)], counts[banded], n_bands * ROWS)
-        values = signature.reshape(-1, n_bands, ROWS)
-        with np.errstate(over="ignore"):
-            bands = np.full(values.shape[:2], 1, dtype=np.uint64) * np.arange(1, n_bands + 1, dtype=np.uint64)
-            for i in range(ROWS):
-                bands = _mix(bands * np.uint64(31) + values[:, :, i])
-        kept = counts > 0
-        lengths = np.where(banded, n_bands, 0)[kept]
-        lists = pa.ListArray.from_arrays(pa.array(spans(lengths).astype(np.int32)), pa.array(signed(bands.ravel())))
-        owners = [batch.column(i).take(pa.array(number[kept])) for i in range(2)]
-        columns = [*owners, pa.array(place[kept]), pa.array(signed(par[kept])), pa.array(sizes[kept]), lists]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "place", "par", "words", "bands"])
-
-    schema = "doc_id long, text_hash long, place long, par long, words long, bands array<long>"
+        values = bands(found[np.repeat(banded, counts)], counts[banded], n_bands)
+        # Sentences that are not lines by themselves, then lines; a line counts as one paragraph of its words.
+        alone = np.zeros(len(flat), dtype=bool)
+        alone[starts[ends - starts == 1]] = True
+        inner = np.flatnonzero(~alone & (sizes >= WIDTH))
+        whole = np.flatnonzero(line_sizes >= WIDTH)
+        owner = number[np.concatenate([inner, starts[whole]])]
+        par = np.concatenate([identities(hashes, sizes)[inner], identities(hashes, line_sizes)[whole]])
+        first = place[np.concatenate([inner, starts[whole]])]
+        span = np.concatenate([np.ones(len(inner), dtype=np.int64), (ends - starts)[whole]])
+        lengths = np.concatenate([np.zeros(len(inner), dtype=np.int64), np.where(banded, n_bands, 0)[whole]])
+        lists = pa.ListArray.from_arrays(pa.array(spans(lengths).astype(np.int32)), pa.array(signed(values.ravel())))
+        owners = [batch.column(i).take(pa.array(owner)) for i in range(2)]
+        columns = [*owners, pa.array(first), pa.array(span), pa.array(signed(par)), lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "place", "span", "par", "bands"])
+
+    schema = "doc_id long, text_hash long, place long, span long, par long, bands array<long>"
     return arrow_pass(_rows(docs, id_col, text_col), cut, schema)
 
 
@@ -135,54 +79,19 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
-
-
-def _ties(first: list[tuple], second: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Edges that join what similar pairs between two lists of (par, shingle set) join.
-
-    Breadth-first: a paragraph that was reached is held against those of both lists not reached yet, so a
-    list of near-copies costs about one comparison each, and no pair is left out that could join more.
-    """
-    both = {p: s for p, s in first} | {p: s for p, s in second}
-    firsts, seconds = {p for p, _ in first}, {p for p, _ in second}
-    left = set(both)
-    while left:
-        queue = [left.pop()]
-        while queue:
-            a = queue.pop()
-            partners = (left & seconds if a in firsts else set()) | (left & firsts if a in seconds else set())
-            for b in partners:
-                small, large = sorted((len(both[a]), len(both[b])))
-                if small >= SIMILARITY * large and _jaccard(both[a], both[b]) >= SIMILARITY:
-                    yield a, b
-                    left.discard(b)
-                    queue.append(b)
-
-
 def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """Edges (u, v) between different paragraphs of at least the similarity that share a band.
+    """Edges (u, v) between different lines of at least the similarity that share a band.
 
-    Paragraphs that share a band value are compared in blocks: each task gets two blocks of about BLOCK
-    paragraphs, however many share the value, and hands back at most one edge for each paragraph. Band values
-    with the same paragraphs in them are compared once.
+    Lines that share a band value are compared in blocks, however many share it.
     """
     different = table.where(F.size("bands") > 0).groupBy("par").agg(
-        F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_hash", "place")).alias("one")
+        F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_hash", "place", "span")).alias("one")
     )
-    banded = scratch.keep(different.select("par", "one", F.explode("bands").alias("band")))
-    shared = banded.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("par").cast("decimal(38,0)")).alias("total"),
-        F.bit_xor(F.xxhash64("par")).alias("check"),
-    ).where("n > 1")
-    shared = shared.groupBy("n", "total", "check").agg(F.min("band").alias("band"))
-    members = scratch.keep(banded.join(shared.select("band", "n"), "band"))
-    scratch.drop(banded)
+    different = scratch.keep(different)
+    members = colliding(different.select("par", "one", F.explode("bands").alias("band")), scratch)
     # The shingles of those paragraphs that collide, read again from their first places.
     wanted = members.select("par", "one.*").distinct().groupBy("doc_id", "text_hash")
-    wanted = wanted.agg(F.collect_list(F.struct("place", "par")).alias("wanted"))
+    wanted = wanted.agg(F.collect_list(F.struct("place", "span", "par")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     texts = _rows(docs, id_col, text_col)
     same = texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])
@@ -190,53 +99,23 @@ def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_c
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
         pars, sets = [], []
         for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            cut = paragraphs(text)
-            hashes, sizes = _word_hashes([cut[w["place"]] for w in listed], {})
-            shingles, counts = _shingles(hashes, sizes)
+            cut = sentences(text)
+            lines = ["".join(cut[w["place"] : w["place"] + w["span"]]) for w in listed]
+            found, counts = shingles(*word_hashes(lines, {}))
             ends = spans(counts)
             pars += [w["par"] for w in listed]
-            sets += [np.unique(shingles[a:b]) for a, b in zip(ends, ends[1:])]
+            sets += [np.unique(found[a:b]) for a, b in zip(ends, ends[1:])]
         offsets = pa.array(spans(np.array([len(s) for s in sets])).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(sets))))
         return pa.RecordBatch.from_arrays([pa.array(pars), lists], ["par", "shingles"])
 
     fetched = arrow_pass(texts.join(wanted, same).select("text", "wanted"), fetch, "par long, shingles array<long>")
     fetched = scratch.keep(fetched.dropDuplicates(["par"]))
-    shares = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.select("band", "par", shares.alias("shares")).withColumn(
-        "block", F.pmod(F.xxhash64("par", F.lit(1)), F.col("shares").cast("long")).cast("int")
-    )
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    task = [F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")]
-    dealt = dealt.select("band", *task, (F.col("block") <= F.col("other")).alias("first"), "par").join(fetched, "par")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lists = None, ([], [])
-        for batch in batches:
-            bands, ps, qs, firsts, pars, sets = batch.columns
-            edges = []
-            for band, p, q, first, par, found in zip(*(c.to_pylist() for c in (bands, ps, qs, firsts, pars)), sets):
-                if (band, p, q) != key:
-                    edges += _ties(*lists)
-                    key, lists = (band, p, q), ([], [])
-                entry = (par, found.values.to_numpy())
-                if first:
-                    lists[0].append(entry)
-                if p == q or not first:
-                    lists[1].append(entry)
-            yield edge_batch(edges)
-        yield edge_batch(list(_ties(*lists)))
-
-    def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-        u, v = ([e[i] for e in edges] for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    tasks = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-    return tasks.mapInArrow(compare, "u long, v long")
+    return tied(members, fetched, lambda found: found.values.to_numpy(), similar)
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Scratch]:
-    """(doc_id, text_hash, places array): the paragraphs to be removed, as candidates before runs are looked at.
+    """(doc_id, text_hash, places array of (place, span)): the paragraphs that may go, before runs are looked at.
 
     Equal and similar paragraphs form clusters; the first occurrence, by doc_id (null last), text hash and
     place, stays and all others may go.
@@ -245,32 +124,35 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = scratch.keep(paragraph_table(docs, id_col, text_col))
     edges = scratch.keep(similar_paragraphs(docs, table, scratch, id_col, text_col))
     roots = components(edges, scratch).withColumnsRenamed({"node": "par"})
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "place")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "place", "span")
     one = table.groupBy("par").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("n"))
     one = one.join(roots, "par", "left").withColumn("root", F.coalesce("root", "par"))
     stays = one.groupBy("root").agg(F.min("one").alias("stays"), F.sum("n").alias("n")).where("n > 1")
     several = scratch.keep(one.select("par", "root").join(stays, "root").select("par", "stays"))
-    out = table.select("doc_id", "text_hash", "place", "words", "par").join(several, "par").where(order != F.col("stays"))
-    out = out.select("doc_id", "text_hash", "place", "words").distinct()
-    return out.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("places")), scratch
-
-
-def _removed(parts: list[str], places: list[dict]) -> set[int]:
-    """The places of paragraphs that go: those in runs with MIN_RUN words in all. Paragraphs of fewer words
-    than a shingle are passed over inside a run, and go with it."""
-    may = {p["place"]: p["words"] for p in places}
+    out = table.select("doc_id", "text_hash", "place", "span", "par").join(several, "par").where(order != F.col("stays"))
+    out = out.select("doc_id", "text_hash", "place", "span").distinct()
+    places = F.collect_list(F.struct("place", "span")).alias("places")
+    return out.groupBy("doc_id", "text_hash").agg(places), scratch
+
+
+def _removed(parts: list[str], places: list) -> set[int]:
+    """The sentences that go: those of repeated paragraphs in runs with MIN_RUN words in all. Sentences of
+    fewer words than a shingle are passed over inside a run, and go with it."""
+    may = {i for p in places for i in range(p["place"], p["place"] + p["span"])}
+    if not may:
+        return may
+    sizes = [len(p.encode("utf-8", "surrogatepass").split()) for p in parts]
     gone: set[int] = set()
     run: list[int] = []
-    words, last = 0, -1
-    for place in sorted(may):
-        between = range(last + 1, place)
-        if not run or any(len(parts[i].split()) >= WIDTH for i in between):
+    words = 0
+    for i in sorted(may):
+        between = range(run[-1] + 1, i) if run else ()
+        if any(sizes[j] >= WIDTH for j in between):
             if words >= MIN_RUN:
                 gone.update(run)
-            run, words = [], 0
-            between = ()
-        run += [*between, place]
-        words, last = words + may[place], place
+            run, words, between = [], 0, ()
+        run += [*between, i]
+        words += sizes[i]
     if words >= MIN_RUN:
         gone.update(run)
     return gone
@@ -288,10 +170,11 @@ def _with_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def paragraph_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_paragraphs, n_removed, removed_words, kept_text) of every row of docs.
+    """(doc_id, n_sentences, n_removed, removed_words, kept_text) of every row of docs.
 
-    A removed paragraph is equal or similar (Jaccard of five-word shingles of at least 0.8, over any number of
-    steps) to one that stays elsewhere, and stands in a run of such paragraphs of at least MIN_RUN words.
+    A removed sentence is equal to one that stays elsewhere, or lies in a line that is equal or similar to one
+    that does (Jaccard of five-word shingles of at least 0.8, over any number of steps), and stands in a run
+    of such sentences of at least MIN_RUN words.
     Null and empty texts have no paragraphs and keep an empty text. Rows that repeat doc_id and text count as
     one text, so they lose the same paragraphs and none through one another. Null doc_ids come last in order.
     An empty table gives no rows.
@@ -302,14 +185,14 @@ def paragraph_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            parts = paragraphs(text or "")
+            parts = sentences(text or "")
             gone = _removed(parts, places or [])
             words = sum(len(parts[i].encode("utf-8", "surrogatepass").split()) for i in gone)
             out.append((len(parts), len(gone), words, "".join(p for i, p in enumerate(parts) if i not in gone)))
-        names = ["doc_id", "n_paragraphs", "n_removed", "removed_words", "kept_text"]
+        names = ["doc_id", "n_sentences", "n_removed", "removed_words", "kept_text"]
         return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*out))], names)
 
-    schema = "doc_id long, n_paragraphs long, n_removed long, removed_words long, kept_text string"
+    schema = "doc_id long, n_sentences long, n_removed long, removed_words long, kept_text string"
     return arrow_pass(rows, cut, schema)
 
 
@@ -325,7 +208,7 @@ def remove_repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col
         out = []
         for t, p in zip(text, places):
             if t is not None and p is not None:
-                parts = paragraphs(t)
+                parts = sentences(t)
                 gone = _removed(parts, list(p))
                 t = "".join(x for i, x in enumerate(parts) if i not in gone)
             out.append(t)

@@ -9,12 +9,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleaner.llm.common import ROW, Scratch, arrow_pass, id_and_text, signed
+from gleaner.llm.collisions import colliding, tied
+from gleaner.llm.common import ROW, Scratch, arrow_pass, id_and_text, signed, spans
 from gleaner.llm.components import components
+from gleaner.llm.shingles import bands, identities, shingles, similar, tune_bands, word_hashes
 
 SEED = 42
 LANES = 4  # a fingerprint is tiled by the bit counts of so many equal parts of it
 TILE = 1024  # fingerprints in a tile: 8 KB
+FAR = 20  # bits that fingerprints of texts with a similarity of 0.8 may differ in: 10 on average, 3 deviations more
 _BLOCK = 255  # rows whose bits can be added up in one byte
 
 
@@ -45,15 +48,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, text_hash, fp long) of every row; null and blank texts have fingerprint 0."""
+    """(doc_id, fp long) of every row; null and blank texts have fingerprint 0."""
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
-        names = ["doc_id", "text_hash", "fp"]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed(fps))], names)
+        fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(fps))], ["doc_id", "fp"])
 
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return arrow_pass(rows, digest, "doc_id long, text_hash long, fp long")
+    return arrow_pass(id_and_text(docs, id_col, text_col), digest, "doc_id long, fp long")
 
 
 def _cell(fp: Column) -> Column:
@@ -147,37 +148,90 @@ def simhash_groups(
     into the comparison. A hot fingerprint meets its single group row in the last join, which adaptive
     execution splits.
     """
-    fps, named, _ = _grouped(docs, id_col, text_col, radius, width)
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def _grouped(
-    docs: DataFrame, id_col: str, text_col: str, radius: int, width: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their fingerprints; fingerprints with their component_id; the row that stands for each component."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, id_col, text_col, width))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    groups = scratch.keep(fps.groupBy("fp").agg(first.alias("least")))
+    groups = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = scratch.keep(close_edges(groups.select("fp"), scratch, radius))
     roots = components(edges, scratch)
     rooted = groups.join(roots, groups["fp"] == roots["node"], "left")
     rooted = scratch.keep(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    stands = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    named = rooted.select("fp", "root").join(stands, "root").select("fp", F.col("least.doc_id").alias("component_id"))
-    return fps, named, stands.select("least.*")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(ids, "root").select("fp", "component_id")
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return fps.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3
-) -> DataFrame:
-    """One row of docs, all columns, for each component: the one with the smallest doc_id.
+def _copies_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, par, fp, bands): identity, fingerprint and MinHash bands of whole texts by five words."""
+    n_bands = tune_bands()
+    known: dict[bytes, int] = {}
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, sizes = word_hashes([t or "" for t in batch.column(2).to_pylist()], known)
+        found, counts = shingles(hashes, sizes)
+        ends = spans(counts)
+        fps = np.array([_bit_majority(found[a:b]) for a, b in zip(ends, ends[1:])], dtype=np.uint64)
+        some = counts > 0
+        values = bands(found, counts[some], n_bands)
+        lengths = np.where(some, n_bands, 0)
+        lists = pa.ListArray.from_arrays(pa.array(spans(lengths).astype(np.int32)), pa.array(signed(values.ravel())))
+        columns = [*batch.columns[:2], pa.array(signed(identities(hashes, sizes))), pa.array(signed(fps)), lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "par", "fp", "bands"])
+
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return arrow_pass(rows, make, "doc_id long, text_hash long, par long, fp long, bands array<long>")
 
-    Of several rows with that doc_id the one with the smallest text hash stays, and of repeated rows one. A
-    component without any doc_id keeps one row.
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash) of the row that stands for each group of documents that are the same or nearly so.
+
+    Documents are linked when the Jaccard similarity of their five-word shingles is at least 0.8. Fingerprints
+    of such pairs lie up to FAR bits apart, where bit counts of tiles rule nothing out and where unrelated
+    pairs of a large table are found too. So tiles are blocks of documents that share a MinHash band; in them
+    fingerprints are compared by exclusive-or and bit count, and pairs within FAR bits by their shingles.
+    Texts with the same words are one from the start, so copies cost nothing, and texts of fewer than five
+    words are linked only to these.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    table = scratch.keep(_copies_table(docs, id_col, text_col))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one")
+    texts = scratch.keep(table.groupBy("par").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), first))
+    members = colliding(texts.select("par", F.explode("bands").alias("band")), scratch)
+    wanted = texts.join(members.select("par").distinct(), "par", "left_semi").select("par", "fp", "one")
+    wanted = wanted.select(F.col("par"), F.col("fp"), F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"]) & (rows["text_hash"] == wanted["_hash"]))
+
+    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, counts = shingles(*word_hashes([t or "" for t in batch.column(2).to_pylist()], {}))
+        ends = spans(counts)
+        sets = [np.unique(found[a:b]) for a, b in zip(ends, ends[1:])]
+        offsets = pa.array(spans(np.array([len(x) for x in sets])).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(sets))))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], lists], ["par", "fp", "shingles"])
+
+    fetched = arrow_pass(rows.select("par", "fp", "text"), fetch, "par long, fp long, shingles array<long>")
+    fetched = scratch.keep(fetched.dropDuplicates(["par"]))
+
+    def take(fp, found) -> tuple[int, np.ndarray]:
+        return fp.as_py() % (1 << 64), found.values.to_numpy()
+
+    def alike(a: tuple, b: tuple) -> bool:
+        return (a[0] ^ b[0]).bit_count() <= FAR and similar(a[1], b[1])
+
+    edges = scratch.keep(tied(members, fetched, take, alike))
+    roots = components(edges, scratch).withColumnsRenamed({"node": "par"})
+    rooted = texts.select("par", "one").join(roots, "par", "left").withColumn("root", F.coalesce("root", "par"))
+    return rooted.groupBy("root").agg(F.min("one").alias("one")).select("one.doc_id", "one.text_hash")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with one row of each group of near_copies: the one with the smallest doc_id.
+
+    Of several rows with that doc_id the one with the smallest text hash stays, and of repeated rows one. Rows
+    without doc_id come last; a group of such rows alone keeps one. Texts without words are one group.
     """
-    stands = _grouped(docs, id_col, text_col, radius, width)[2]
+    stands = near_copies(docs, id_col, text_col)
     stands = stands.select(F.col("doc_id").alias("_keep"), F.col("text_hash").alias("_keep_hash"))
     text_hash = F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(F.struct("*").alias(ROW), F.col(id_col).cast("long").alias("_id"), text_hash.alias("_hash"))
