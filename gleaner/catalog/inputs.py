@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.catalog.registry import table
 from gleaner.operators.skew import spread
@@ -141,16 +143,29 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Runs: the vectors cut to 16, 32 or all 64 elements stand for three encoders.
-MODELS = {"d16": 16, "d32": 32, "d64": 64}
+# Runs: three models that search with whole vectors, the passages' elements as they are, in reverse order, or
+# with every second sign turned.
+MODELS = {
+    "plain": "{}",
+    "reversed": "list_reverse({})",
+    "flipped": "list_transform({}, lambda x, i: CASE WHEN i % 2 = 0 THEN -x ELSE x END)",
+}
+
+
+def model_vector(model: str, vec: str) -> Column:
+    if model == "reversed":
+        return F.reverse(vec)
+    if model == "flipped":
+        return F.transform(vec, lambda x, i: F.when(i % 2 == 1, -x).otherwise(x))
+    return F.col(vec)
 
 
-def hits_sql(models: dict[str, int]) -> str:
+def hits_sql(models: Iterable[str]) -> str:
     parts = [
         f"""SELECT '{name}' AS model, q.vec_id AS q, c.vec_id AS c,
-         round(list_inner_product(q.embedding[1:{dim}]::DOUBLE[], c.embedding[1:{dim}]::DOUBLE[]), 10) AS score
+         round(list_inner_product(q.embedding::DOUBLE[], {MODELS[name].format("c.embedding")}::DOUBLE[]), 10) AS score
   FROM embeddings q, embeddings c"""
-        for name, dim in models.items()
+        for name in models
     ]
     return f"""
 scored AS ({' UNION ALL '.join(parts)}),

@@ -7,29 +7,30 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.catalog.inputs import (
-    MODELS, QRELS_SQL, TRAINING_SQL, decisions, hits_sql, laws, qrels, training_rows, vectors,
+    MODELS, QRELS_SQL, TRAINING_SQL, decisions, hits_sql, laws, model_vector, qrels, training_rows, vectors,
 )
 from gleaner.catalog.registry import query
 from gleaner.catalog.relation_queries import TEST_SET_SQL, hashing_sql
 from gleaner.operators import metrics, negatives, sampling
 from gleaner.operators.knn import knn_topk
-from gleaner.plans.evaluation import evaluate
-from gleaner.plans.mining import mine_hard_negatives
+from gleaner.plans.evaluation import Model, evaluate
+from gleaner.plans.mining import mine_hard_negatives, mine_negative_ids
 from gleaner.plans.testset import build_test_set
+from gleaner.session import new_path
+from gleaner.sources.tables import table_roundtrip
 
 DEPTH = 100
 
 
-def self_search(spark: SparkSession, sf_dir: str, k: int, dim: int = 64) -> DataFrame:
-    """Every vector as a query over all vectors, on the first dim elements."""
-    cut = F.slice("vec", 1, dim)
-    q = vectors(spark, sf_dir).select(F.col("id").alias("q_id"), cut.alias("q_vec"))
-    c = vectors(spark, sf_dir).select(F.col("id").alias("c_id"), cut.alias("c_vec"))
-    return knn_topk(q, c, k, dim=dim)
+def self_search(spark: SparkSession, sf_dir: str, k: int, model: str = "plain") -> DataFrame:
+    """Every vector as a query over all vectors, as the model has them."""
+    q = vectors(spark, sf_dir).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+    c = vectors(spark, sf_dir).select(F.col("id").alias("c_id"), model_vector(model, "vec").alias("c_vec"))
+    return knn_topk(q, c, k, dim=64)
 
 
 def hits(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
-    found = self_search(spark, sf_dir, DEPTH, MODELS[model])
+    found = self_search(spark, sf_dir, DEPTH, model)
     return found.select(
         F.lit(model).alias("model"), F.col("q_id").cast("string").alias("qid"),
         F.col("c_id").cast("string").alias("docid"), "score",
@@ -115,22 +116,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _backfill_sql(have: str, corpus: str) -> str:
     """From rows in `training`, picks in `have` (id, text_id) and `corpus` (text_id)."""
     return f"""
-pool AS (
-  SELECT list(text_id ORDER BY d, text_id) AS pool FROM (
-    SELECT text_id, md5('42:pool:' || text_id) AS d FROM {corpus} ORDER BY d, text_id
-    LIMIT (SELECT greatest(1024, 15 + max(len(pos)) + 1) FROM training))),
+numbered AS (SELECT text_id, row_number() OVER (ORDER BY md5('42:pool:' || text_id), text_id) - 1 AS spot FROM {corpus}),
+size AS (SELECT count(*) AS n FROM numbered),
+steps AS (
+  SELECT list(step ORDER BY i) AS steps FROM (
+    SELECT i, 1 + i * 7919 % n AS step FROM size, (SELECT unnest(range(3200)) AS i)
+    WHERE gcd(1 + i * 7919 % n, n) = 1 ORDER BY i LIMIT (SELECT least(64, n) FROM size))),
 held AS (
-  SELECT t.id, list_concat(list_transform(pos, lambda p: md5(p)), [md5(query)]) AS known,
+  SELECT t.id, list_distinct(list_concat(list_transform(pos, lambda p: md5(p)), [md5(query)], coalesce(h.have, []::VARCHAR[]))) AS passed,
          coalesce(h.have, []::VARCHAR[]) AS have,
-         CAST(('0x' || substr(md5('42:fill:' || t.id), 1, 8))::BIGINT % len(pool) AS INTEGER) AS off, pool
+         ('0x' || substr(md5('42:fill:' || t.id), 1, 15))::BIGINT % n AS start,
+         steps[('0x' || substr(md5('42:step:' || t.id), 1, 15))::BIGINT % len(steps) + 1] AS step, n
   FROM training t LEFT JOIN (SELECT id, list(text_id ORDER BY text_id) AS have FROM {have} GROUP BY id) h ON h.id = t.id
-  CROSS JOIN pool),
-slots AS (
-  SELECT id, have, unnest(list_concat(pool[off + 1:], pool[1:off])) AS text_id,
-         generate_subscripts(pool, 1) AS n, known FROM held),
+  CROSS JOIN size CROSS JOIN steps),
+looks AS (
+  SELECT id, passed, len(have) AS had, j, (start + j * step) % n AS spot FROM (
+    SELECT *, unnest(range(least(len(passed) + 15 - len(have), n))) AS j FROM held WHERE len(have) < 15)),
 free AS (
-  SELECT id, text_id, len(have) AS had, row_number() OVER (PARTITION BY id ORDER BY n) AS r FROM slots
-  WHERE NOT list_contains(known, text_id) AND NOT list_contains(have, text_id)),
+  SELECT id, text_id, had, row_number() OVER (PARTITION BY id ORDER BY j) AS r FROM looks JOIN numbered USING (spot)
+  WHERE NOT list_contains(passed, text_id)),
 filled AS (
   SELECT id, CAST(had + r - 1 AS INTEGER) AS place, text_id FROM free WHERE r <= 15 - had
   UNION ALL
@@ -184,14 +188,43 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "mine_with_instructions",
+    f"""WITH {TRAINING_SQL},
+corpus AS (SELECT DISTINCT md5(text) AS text_id, text FROM (SELECT unnest(pos) AS text FROM training)),
+asked AS (SELECT id AS tid, 'Find the law: ' || query AS text FROM training),
+passages AS (SELECT text_id AS tid, 'law: ' || text AS text FROM corpus),
+{hashing_sql("asked", "q")}, {hashing_sql("passages", "c")},
+scored AS (
+  SELECT q.tid AS id, c.tid AS text_id, round(list_inner_product(q.vec::DOUBLE[], c.vec::DOUBLE[]), 10) AS score FROM q, c),
+ranked AS (
+  SELECT id, text_id, row_number() OVER (PARTITION BY id ORDER BY score DESC, text_id) AS rank FROM scored
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, text_id) <= 30),
+known AS (
+  SELECT id, md5(unnest(pos)) AS text_id FROM training UNION SELECT id, md5(query) FROM training),
+picked AS (
+  SELECT id, text_id FROM ranked ANTI JOIN known USING (id, text_id) WHERE rank > 2
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY md5('42:neg:' || id || ':' || text_id), text_id) <= 15),
+{_backfill_sql("picked", "corpus")}
+SELECT id, place, text_id FROM filled""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = training_rows(spark, sf_dir).drop("neg")
+    corpus = table_roundtrip(negatives.distinct_texts(rows), new_path(spark, "corpus"))
+    return mine_negative_ids(
+        rows, corpus, lo=2, hi=30, query_instruction="Find the law:", query_format="{} {}",
+        passage_instruction="law", passage_format="{}: {}",
+    )
+
+
 @query(
     "join_qrels",
-    f"""WITH {QRELS_SQL}, {hits_sql({"d32": 32})}
+    f"""WITH {QRELS_SQL}, {hits_sql(["reversed"])}
 SELECT qid, docid, round(score, 6) AS score, coalesce(relevance, 0.0) AS relevance
 FROM hits LEFT JOIN qrels USING (qid, docid)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = metrics.join_qrels(hits(spark, sf_dir, "d32"), qrels(spark, sf_dir), "place")
+    joined = metrics.join_qrels(hits(spark, sf_dir, "reversed"), qrels(spark, sf_dir), "place")
     return joined.select("qid", "docid", F.round("score", 6).alias("score"), "relevance")
 
 
@@ -226,16 +259,16 @@ def _means(names) -> str:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = reduce(DataFrame.unionByName, [hits(spark, sf_dir, model) for model in MODELS])
-    return metrics.compare_models(runs, qrels(spark, sf_dir), order="place")
+    return metrics.compare_models(runs, qrels(spark, sf_dir), order="place", unique=True)
 
 
 def _metric(name: str) -> None:
-    sql = f'WITH {QRELS_SQL}, {hits_sql({"d32": 32})}, {METRICS_SQL} SELECT {_means([name])} FROM per_query'
+    sql = f'WITH {QRELS_SQL}, {hits_sql(["reversed"])}, {METRICS_SQL} SELECT {_means([name])} FROM per_query'
 
     @query(f"metric_{name}", sql)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         judged = metrics.unique_qrels(qrels(spark, sf_dir), "place")
-        return getattr(metrics, f"metric_{name}")(hits(spark, sf_dir, "d32"), judged)
+        return getattr(metrics, f"metric_{name}")(hits(spark, sf_dir, "reversed"), judged)
 
 
 for _name in metrics.METRICS:
@@ -260,3 +293,26 @@ hits AS (
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, corpus, judged = build_test_set(decisions(spark, sf_dir), laws(spark, sf_dir), "src", 10)
     return evaluate({"hashing": None}, queries, corpus, judged)
+
+
+# Two models over the same test set: one plain, one with an instruction before the queries only.
+@query(
+    "evaluate_two_encoders",
+    f"""WITH {TEST_SET_SQL},
+asked AS (SELECT CAST(id AS VARCHAR) AS tid, text FROM laws WHERE label IN (SELECT label FROM drawn)),
+told AS (SELECT tid, 'of the and ' || text AS text FROM asked),
+passages AS (SELECT doc AS tid, fact AS text FROM numbered),
+qrels AS (SELECT CAST(id AS VARCHAR) AS qid, doc AS docid, 1.0::DOUBLE AS relevance FROM numbered JOIN laws USING (label)),
+{hashing_sql("asked", "q")}, {hashing_sql("told", "t")}, {hashing_sql("passages", "c")},
+scored AS (
+  SELECT 'plain' AS model, q.tid AS qid, c.tid AS docid, round(list_inner_product(q.vec::DOUBLE[], c.vec::DOUBLE[]), 10) AS score FROM q, c
+  UNION ALL
+  SELECT 'told', t.tid, c.tid, round(list_inner_product(t.vec::DOUBLE[], c.vec::DOUBLE[]), 10) FROM t, c),
+hits AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY model, qid ORDER BY score DESC, docid) <= 100),
+{METRICS_SQL} SELECT model, {_means(metrics.METRICS)} FROM per_query GROUP BY model""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, corpus, judged = build_test_set(decisions(spark, sf_dir), laws(spark, sf_dir), "src", 10)
+    told = Model(query_instruction="of the and", query_format="{} {}")
+    return evaluate({"plain": None, "told": told}, queries, corpus, judged)

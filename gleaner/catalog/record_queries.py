@@ -8,6 +8,7 @@ from gleaner.catalog.inputs import TRAINING_SQL, documents, training_rows
 from gleaner.catalog.registry import query, table
 from gleaner.functions import text as tx
 from gleaner.operators import hierarchy, ordering, records, training
+from gleaner.plans.loading import load_training_rows
 from gleaner.session import new_path
 from gleaner.sources import tables as src
 
@@ -38,15 +39,42 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("id", "title", "query", n_pos, n_neg)
 
 
+def _scored(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("pos_scores", F.transform("pos", lambda t, i: (i + 1).cast("double")))
+    return rows.withColumn("neg_scores", F.transform("neg", lambda t, i: i / F.lit(2.0)))
+
+
 @query(
     "score_columns_policy",
     f"""WITH {TRAINING_SQL}
-SELECT id, query, CAST(len(pos) AS INTEGER) AS n_pos, CAST(len(neg) AS INTEGER) AS n_neg FROM training""",
+SELECT id, query, CAST(len(pos) AS INTEGER) AS n_pos, CAST(len(neg) AS INTEGER) AS n_neg,
+       CAST(len(pos) * (len(pos) + 1) // 2 AS DOUBLE) AS pos_total FROM training""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training_rows(spark, sf_dir).select("id", "query", F.size("pos").alias("n_pos"), F.size("neg").alias("n_neg"))
-    scored = rows.withColumn("pos_scores", F.array(F.lit(1.0))).withColumn("neg_scores", F.array(F.lit(0.0)))
-    return src.score_columns_policy(src.score_columns_policy(scored, distill=True), distill=False)
+    path = new_path(spark, "scored")
+    _scored(training_rows(spark, sf_dir)).write.json(path)
+    read = src.score_columns_policy(src.read_training_dirs(spark, [path]), distill=True, file_col="file")
+    total = F.aggregate("pos_scores", F.lit(0.0), lambda a, x: a + x).alias("pos_total")
+    return read.select("id", "query", F.size("pos").alias("n_pos"), F.size("neg").alias("n_neg"), total)
+
+
+@query(
+    "load_training_rows",
+    f"""WITH {TRAINING_SQL}
+SELECT id, title, query, CAST(len(pos) AS INTEGER) AS n_pos, CAST(len(neg) AS INTEGER) AS n_neg FROM training
+UNION ALL SELECT item_id, NULL, text, 1, 1 FROM benchmark""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_path(spark, "loaded")
+    # One folder with scores, one without; none of the files is over the cap.
+    _scored(training_rows(spark, sf_dir)).write.json(f"{root}/a")
+    text = F.array("text")
+    plain = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("id"), F.col("text").alias("query"), text.alias("pos"), text.alias("neg")
+    )
+    plain.write.json(f"{root}/b")
+    rows = load_training_rows(spark, [f"{root}/a", f"{root}/b"])
+    return rows.select("id", "title", "query", F.size("pos").alias("n_pos"), F.size("neg").alias("n_neg"))
 
 
 @query("candidate_pool", "SELECT DISTINCT text FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents)")
@@ -62,15 +90,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
 
 
-@query(
-    "table_roundtrip",
-    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_returnflag FROM lineitem",
-)
+@query("table_roundtrip", "SELECT * FROM lineitem")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"
-    )
-    return src.table_roundtrip(lines, new_path(spark, "table"))
+    return src.table_roundtrip(table(spark, sf_dir, "lineitem"), new_path(spark, "table"))
 
 
 # The Unicode white space and digits the patterns mean, spelled out for RE2.
@@ -137,7 +159,7 @@ def _statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
         id.cast("string").alias(hierarchy.NUMBER),
         branch.alias(hierarchy.BRANCH),
         key.alias(hierarchy.KEY),
-        F.coalesce(heading, lines[0]).alias(hierarchy.CONTENT),
+        F.coalesce(heading, F.when(id % 3 == 2, F.col("text")).otherwise(lines[0])).alias(hierarchy.CONTENT),
     ]
 
     def items(texts):
@@ -161,7 +183,7 @@ statutes AS (
   SELECT source AS law_id, doc_id AS seq, CAST(doc_id % 20 = 0 AS INTEGER) AS preamble,
          CASE WHEN doc_id % 40 = 0 THEN '제' || (doc_id // 40 + 1) || '편 총칙'
               WHEN doc_id % 20 = 0 THEN '제' || (doc_id // 40 + 1) || '장 형'
-              ELSE string_split(text, chr(10))[1] END AS own,
+              WHEN doc_id % 3 = 2 THEN text ELSE string_split(text, chr(10))[1] END AS own,
          CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS article_branch,
          string_split(text, chr(10)) AS lines
   FROM documents),
@@ -219,7 +241,7 @@ SELECT row_number() OVER (ORDER BY law_id, seq, paragraph, subparagraph) - 1 AS
 FROM clause_rows WHERE preamble = 0 AND NOT content LIKE '%삭제'""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clauses = hierarchy.clause_table(_statutes(spark, sf_dir), "law_id", "seq")
+    clauses = hierarchy.flatten_hierarchy(_statutes(spark, sf_dir), "law_id", "seq")
     return hierarchy.query_table(clauses, "형법", "law_id", "seq")
 
 
@@ -331,7 +353,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "signup", number).alias("part"),
         F.when(F.col("event_type") == "purchase", number).alias("chapter"),
     )
-    return ordering.carry_headings(marked, "user_id", "event_id", content=None, chunk=1000)
+    return ordering.carry_headings(marked, "user_id", "event_id", content=None)
 
 
 @query(
@@ -514,9 +536,7 @@ FROM scored JOIN one USING (id) JOIN many USING (id)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training_rows(spark, sf_dir)
-    rows = rows.withColumn("pos_scores", F.transform("pos", lambda t, i: (i + 1).cast("double")))
-    rows = rows.withColumn("neg_scores", F.transform("neg", lambda t, i: i / F.lit(2.0)))
-    groups = training.training_groups(rows, distill=True)
+    groups = training.training_groups(_scored(rows), distill=True)
     doubled = F.transform("teacher_scores", lambda s: (s * 2).cast("int").cast("string"))
     return groups.select(
         "id", "query", F.array_join("passages", "|").alias("passages"), F.array_join(doubled, "|").alias("doubled_scores")

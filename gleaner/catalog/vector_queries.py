@@ -184,12 +184,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attention_scores(spark, sf_dir).select("q_id", "p_id", _r6("attention", "attention"))
 
 
-# The four scores of pairs of pseudo-documents: dense over their first vectors, lexical over label
-# weights, maxsim over all, attention over first vectors against themselves.
+# The scores of pairs of pseudo-documents: dense over their first vectors, lexical over label weights, maxsim
+# over all, attention with the query's first vector attended over the first vectors of its batch (every fifth
+# document), category with both sides' category vectors of the same batches.
 _FIRST_SQL = f"""{_MAXSIM_SQL},
-firsts AS (SELECT doc_id, vec FROM tokens WHERE pos = 0),
+firsts AS (SELECT doc_id, doc_id % 5 AS batch, vec::DOUBLE[] AS vec FROM tokens WHERE pos = 0),
 dense AS (
-  SELECT q_id, p_id, list_inner_product(q.vec::DOUBLE[], p.vec::DOUBLE[]) / {TEMPERATURE} AS dense
+  SELECT q_id, p_id, list_inner_product(q.vec, p.vec) / {TEMPERATURE} AS dense
   FROM tok_pairs JOIN firsts q ON q.doc_id = q_id JOIN firsts p ON p.doc_id = p_id),
 bags AS (
   SELECT DISTINCT vec_id // 10 AS doc_id, label AS token, CAST(label + 1 AS DOUBLE) / 10 AS weight FROM embeddings),
@@ -197,32 +198,62 @@ lex AS (
   SELECT q_id, p_id, coalesce(sum(q.weight * p.weight), 0.0) / {TEMPERATURE} AS lexical
   FROM tok_pairs LEFT JOIN bags q ON q.doc_id = q_id LEFT JOIN bags p ON p.doc_id = p_id AND p.token = q.token
   GROUP BY q_id, p_id),
+fprod AS (
+  SELECT a.doc_id AS i, b.doc_id AS j, list_inner_product(a.vec, b.vec) AS s, b.vec AS e
+  FROM firsts a JOIN firsts b ON a.batch = b.batch),
+fweighted AS (
+  SELECT i, j, e, exp(s / 8.0) / sum(exp(s / 8.0)) OVER (PARTITION BY i) AS wa, exp(s) / sum(exp(s)) OVER (PARTITION BY j) AS wc
+  FROM fprod),
+fcells AS (SELECT i, wa, wc, unnest(e) AS x, generate_subscripts(e, 1) AS n FROM fweighted),
+fsums AS (SELECT i, n, sum(wa * x) AS a, sum(wc * x) AS c FROM fcells GROUP BY i, n),
+fvecs AS (SELECT i AS doc_id, list(a ORDER BY n) AS attended, list(c ORDER BY n) AS category FROM fsums GROUP BY i),
+more AS (
+  SELECT q_id, p_id, list_inner_product(q.attended, f.vec) / {TEMPERATURE} AS attention,
+         list_inner_product(q.category, p.category) / {TEMPERATURE} AS category
+  FROM tok_pairs JOIN fvecs q ON q.doc_id = q_id JOIN fvecs p ON p.doc_id = p_id JOIN firsts f ON f.doc_id = p_id),
 ensemble AS (
-  SELECT q_id, p_id, dense, lexical, maxsim, dense + 0.3 * lexical + maxsim + 0.3 * dense AS ensemble
-  FROM dense JOIN lex USING (q_id, p_id) JOIN maxsim USING (q_id, p_id))"""
+  SELECT q_id, p_id, dense, lexical, maxsim, attention, category,
+         dense + 0.3 * lexical + maxsim + 0.3 * attention AS ensemble
+  FROM dense JOIN lex USING (q_id, p_id) JOIN maxsim USING (q_id, p_id) JOIN more USING (q_id, p_id))"""
 
 
-def _all_scores(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    tokens = token_vectors(spark, sf_dir)
-    firsts = attention.pool_cls(tokens).withColumnRenamed("doc_id", "id")
-    docs = tokens.select("doc_id").distinct()
-    pairs = own_pairs(docs, "doc_id").join(docs.withColumnRenamed("doc_id", "p_id"), "p_id", "left_semi")
+def _firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, batch, vec, attended, category) of every pseudo-document, written: several scores read it."""
+    firsts = token_vectors(spark, sf_dir).where("pos = 0").select(F.col("doc_id").alias("id"), "vec")
+    firsts = firsts.withColumn("batch", F.col("id") % 5)
+    heads = firsts.select("id", "batch", *[F.col("vec").alias(c) for c in "qkv"])
+    attended = attention.self_attention_vectors(heads, "batch")
+    category = attention.category_vectors(firsts, "batch")
+    found = firsts.join(attended, ["batch", "id"]).join(category, ["batch", "id"])
+    return table_roundtrip(found, new_path(spark, "firsts"))
+
+
+def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / 10).alias("doc_id"), F.col("label").cast("string").alias("token"),
         ((F.col("label") + 1) / 10.0).alias("weight"),
     )
-    bags = scores.lexical_weights(raw)
+    return scores.lexical_weights(raw)
+
+
+def _all_scores(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The parts of the ensemble, and the category scores."""
+    tokens, firsts, bags = token_vectors(spark, sf_dir), _firsts(spark, sf_dir), _bags(spark, sf_dir)
+    docs = tokens.select("doc_id").distinct()
+    pairs = own_pairs(docs, "doc_id").join(docs.withColumnRenamed("doc_id", "p_id"), "p_id", "left_semi")
+    pairs = table_roundtrip(pairs, new_path(spark, "pairs"))
+    category = scores.score_dense(firsts, firsts, pairs, vec="category", temperature=TEMPERATURE, name="category")
     return {
         "dense": scores.score_dense(firsts, firsts, pairs, temperature=TEMPERATURE),
         "lexical": scores.score_lexical(bags, bags, pairs, temperature=TEMPERATURE),
         "maxsim": scores.score_maxsim(tokens, tokens, pairs, temperature=TEMPERATURE),
-        "attention": scores.score_attention(firsts, firsts, pairs, q_vec="vec", temperature=TEMPERATURE),
-    }
+        "attention": scores.score_attention(firsts, firsts, pairs, temperature=TEMPERATURE),
+    }, category
 
 
 @query("score_ensemble", f"WITH {_FIRST_SQL} SELECT q_id, p_id, round(ensemble, 6) + 0.0 AS ensemble FROM ensemble")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scores.score_ensemble(**_all_scores(spark, sf_dir))
+    found = scores.score_ensemble(**_all_scores(spark, sf_dir)[0])
     return found.select("q_id", "p_id", _r6("ensemble", "ensemble"))
 
 
@@ -310,30 +341,29 @@ def _loss_sql(name: str) -> str:
     FROM (SELECT q_id, p_id, {name}, max({name}) OVER (PARTITION BY q_id) AS m FROM ensemble) GROUP BY q_id))"""
 
 
+_LOSSES = ("dense", "lexical", "maxsim", "attention", "category", "ensemble")
+
+
 @query(
     "blend_losses",
-    f"""WITH {_FIRST_SQL}, {', '.join(_loss_sql(n) for n in ('dense', 'lexical', 'maxsim', 'ensemble'))}
+    f"""WITH {_FIRST_SQL}, {', '.join(_loss_sql(n) for n in _LOSSES)}
 SELECT round((dense + ensemble + 0.1 * lexical + maxsim) / 4, 6) AS base,
-       round((dense + ensemble + 0.1 * lexical + maxsim + 0.1 * dense) / 5, 6) AS attention,
-       round((dense + ensemble + 0.1 * lexical + maxsim + dense) / 5, 6) AS category,
-       round(((dense + ensemble + 0.1 * lexical + maxsim + 0.1 * dense) / 5
-              + (dense + 0.1 * lexical + maxsim + 0.1 * dense) / 4) / 2, 6) AS distilled
-FROM dense_loss, lexical_loss, maxsim_loss, ensemble_loss""",
+       round((dense + ensemble + 0.1 * lexical + maxsim + 0.1 * attention) / 5, 6) AS attention,
+       round((dense + ensemble + 0.1 * lexical + maxsim + category) / 5, 6) AS category,
+       round(((dense + ensemble + 0.1 * lexical + maxsim + 0.1 * attention) / 5
+              + (dense + 0.1 * lexical + maxsim + 0.1 * attention) / 4) / 2, 6) AS distilled
+FROM {', '.join(f'{n}_loss' for n in _LOSSES)}""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _all_scores(spark, sf_dir)
-    joined = scores.score_ensemble(**parts)
-    for name in ("dense", "lexical", "maxsim"):
-        joined = joined.join(parts[name], scores.PAIR)
-    names = ("dense", "lexical", "maxsim", "ensemble")
+    parts, category = _all_scores(spark, sf_dir)
+    joined = scores.score_ensemble(**parts).join(category, scores.PAIR)
     joined = joined.withColumn("is_target", F.col("q_id") == F.col("p_id"))
     # One row per part and group in one long table, so that all losses come out of one pass.
     stacked = joined.select(
-        "q_id", "is_target", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("part", "score")
+        "q_id", "is_target", F.explode(F.create_map(*[x for n in _LOSSES for x in (F.lit(n), F.col(n))])).alias("part", "score")
     ).withColumn("group", F.struct("part", "q_id"))
     per_query = losses.query_losses(stacked, "group")
-    row = per_query.groupBy().agg(*[F.avg(F.when(F.col("group.part") == n, F.col("loss"))).alias(n) for n in names])
-    row = row.withColumn("attention", F.col("dense")).withColumn("category", F.col("dense"))
+    row = per_query.groupBy().agg(*[F.avg(F.when(F.col("group.part") == n, F.col("loss"))).alias(n) for n in _LOSSES])
     for name in ("dense", "lexical", "maxsim", "attention"):
         row = row.withColumn(f"distill_{name}", F.col(name))
     row = losses.blend_losses(row, "base", out="o_base")
@@ -343,6 +373,51 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(*[F.round(f"o_{n}", 6).alias(n) for n in ("base", "attention", "category", "distilled")])
 
 
+# Batches of pseudo-documents: a query's positive is the document itself, turned around, all others are candidates.
+@query(
+    "in_batch_losses",
+    f"""WITH {_FIRST_SQL},
+cand AS (
+  SELECT a.doc_id AS q_id, b.doc_id AS p_id,
+         list_inner_product(a.vec, list_reverse(b.vec)) / {TEMPERATURE} AS dense,
+         list_inner_product(v.attended, list_reverse(b.vec)) / {TEMPERATURE} AS attention
+  FROM firsts a JOIN firsts b ON a.batch = b.batch JOIN fvecs v ON v.doc_id = a.doc_id),
+cand_best AS (
+  SELECT c.q_id, c.p_id, q.pos, max(list_inner_product(q.vec::DOUBLE[], p.vec::DOUBLE[])) AS best
+  FROM cand c JOIN tokens q ON q.doc_id = c.q_id AND q.pos > 0 JOIN tokens p ON p.doc_id = c.p_id AND p.pos > 0
+  GROUP BY c.q_id, c.p_id, q.pos),
+cand_max AS (SELECT q_id, p_id, avg(best) / {TEMPERATURE} AS maxsim FROM cand_best GROUP BY q_id, p_id),
+cand_lex AS (
+  SELECT c.q_id, c.p_id, coalesce(sum(q.weight * p.weight), 0.0) / {TEMPERATURE} AS lexical
+  FROM cand c LEFT JOIN bags q ON q.doc_id = c.q_id LEFT JOIN bags p ON p.doc_id = c.p_id AND p.token = q.token
+  GROUP BY c.q_id, c.p_id),
+scored AS (
+  SELECT *, dense + 0.3 * lexical + maxsim + 0.3 * attention AS ensemble
+  FROM cand JOIN cand_max USING (q_id, p_id) JOIN cand_lex USING (q_id, p_id)),
+{', '.join(_loss_sql(n).replace("FROM ensemble)", "FROM scored)") for n in ("dense", "lexical", "maxsim", "attention", "ensemble"))}
+SELECT round(dense, 6) AS dense, round(lexical, 6) AS lexical, round(maxsim, 6) AS maxsim, round(attention, 6) AS attention,
+       round(ensemble, 6) AS ensemble
+FROM dense_loss, lexical_loss, maxsim_loss, attention_loss, ensemble_loss""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    firsts = _firsts(spark, sf_dir)
+    rest = token_vectors(spark, sf_dir).where("pos > 0").groupBy("doc_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"])).alias("tokens")
+    )
+    bags = _bags(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("token", "weight")).alias("lexical"))
+    docs = firsts.join(rest, firsts["id"] == rest["doc_id"]).drop("doc_id")
+    docs = docs.join(bags, docs["id"] == bags["doc_id"]).withColumn("token_dim", F.lit(64))
+    common = ["batch", "id", "tokens", "token_dim", "lexical"]
+    q = docs.select(*common, F.col("vec").alias("dense"), F.col("attended").alias("attention"))
+    turned = F.reverse("vec")
+    p = docs.select(
+        *common, turned.alias("dense"), turned.alias("attention"), F.col("id").alias("group"), F.lit(True).alias("is_target")
+    )
+    weights = {"dense": 1.0, "lexical": 0.3, "maxsim": 1.0, "attention": 0.3}
+    found = losses.in_batch_losses(q, p, "batch", list(weights), weights, TEMPERATURE)
+    return found.select(*[F.round(n, 6).alias(n) for n in found.columns])
+
+
 @query("mean_eval_loss", "SELECT round(avg(value), 4) AS loss FROM events")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses.mean_eval_loss(table(spark, sf_dir, "events").select(F.col("value").alias("loss")))

@@ -23,6 +23,7 @@ WHITE_SPACE = (
     "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# How part and chapter headings begin, and what marks a deleted clause.
 PART_PATTERN = r"^제(\d+)편"
 CHAPTER_PATTERN = r"^제(\d+)장"
 DELETED_MARKER = "삭제"
@@ -82,13 +83,18 @@ def respace_title(title: Column | str, law: str | Column) -> Column:
     return F.concat(law, F.lit(" "), F.regexp_replace(_col(title), r"(?<!^)(?=제)", " "))
 
 
+def split_labels(labels: Column | str, sep: str = ",") -> Column:
+    """The parts of a packed label; the separator is taken as it stands, not as a pattern."""
+    return F.split(_col(labels), "".join(f"[{c}]" if c not in "^\\[]" else "\\" + c for c in sep))
+
+
 def only_family(labels: Column | str, prefix: str, sep: str = ",") -> Column:
     """True where every packed label starts with the prefix. Parts are not trimmed."""
-    return F.forall(F.split(_col(labels), sep), lambda label: label.startswith(F.lit(prefix)))
+    return F.forall(split_labels(labels, sep), lambda label: label.startswith(F.lit(prefix)))
 
 
 def first_label(labels: Column | str, sep: str = ",") -> Column:
-    return F.split(_col(labels), sep)[0]
+    return F.get(split_labels(labels, sep), F.lit(0))
 
 
 def instruction_text(template: str, k: int) -> str:

@@ -2,26 +2,91 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 LSE_STEP = 500.0  # exp of half a step stays far inside the range of a double
 
 
-def vector_sum(df: DataFrame, keys: Sequence[str], vec: str, dim: int) -> DataFrame:
-    """Element-wise sum per key: one aggregate per element, combined on the map side."""
-    sums = [F.sum(F.get(vec, F.lit(i)).cast("double")).alias(f"_e{i}") for i in range(dim)]
-    return _array(df.groupBy(*keys).agg(*sums), keys, vec, dim)
+def _by_group(table: pa.Table, keys: Sequence[str]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(keys of each group in order of first occurrence, row numbers group by group, start of each group)."""
+    placed = table.select(list(keys)).append_column("_at", pa.array(np.arange(len(table))))
+    groups = placed.group_by(list(keys), use_threads=False).aggregate([("_at", "list")])
+    lists = groups.column("_at_list").combine_chunks()
+    return groups.select(list(keys)), lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1]
 
 
-def vector_mean(df: DataFrame, keys: Sequence[str], vec: str, dim: int) -> DataFrame:
-    means = [F.avg(F.get(vec, F.lit(i)).cast("double")).alias(f"_e{i}") for i in range(dim)]
-    return _array(df.groupBy(*keys).agg(*means), keys, vec, dim)
+def reduce_in_arrow(df: DataFrame, keys: Sequence[str], combine: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """One row per key. combine makes a table with one row per key of any rows, and may be used on its results.
 
+    It is used on each Arrow batch before the shuffle and on the rows of a key after it, so a hot key
+    sends one row for each batch it is in, and wide vectors need neither sorting nor an expression for
+    each element.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from combine(pa.Table.from_batches([batch])).combine_chunks().to_batches()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last key of a batch may go on in the next one
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                found = combine(rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+                yield from found.slice(0, len(found) - 1).to_batches()
+                held = found.slice(len(found) - 1)
+        if held is not None:
+            yield from held.to_batches()
+
+    partial = df.mapInArrow(first, df.schema)
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, df.schema)
+
+
+def _vector_totals(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
+    """(keys, vec, _n): element-wise sums and numbers of vectors; all have one length and no null elements."""
+    rows = df.where(F.col(vec).isNotNull()).select(
+        *keys, F.col(vec).cast("array<double>").alias(vec), F.lit(1).cast("long").alias("_n")
+    )
+
+    def combine(table: pa.Table) -> pa.Table:
+        groups, order, starts = _by_group(table, keys)
+        vectors = table.column(vec).combine_chunks()
+        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        sums = np.add.reduceat(matrix[order], starts, axis=0)
+        counts = np.add.reduceat(table.column("_n").to_numpy()[order], starts)
+        offsets = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1])
+        lists = pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))
+        return groups.append_column(vec, lists).append_column("_n", pa.array(counts)).select(table.column_names)
+
+    return reduce_in_arrow(rows, keys, combine)
+
+
+def vector_sum(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
+    """Element-wise sum per key, as doubles. Null vectors are passed over."""
+    return _vector_totals(df, keys, vec).drop("_n")
+
+
+def vector_mean(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
+    totals = _vector_totals(df, keys, vec)
+    return totals.select(*keys, F.transform(vec, lambda x: x / F.col("_n")).alias(vec))
+
+
+def first_by(df: DataFrame, key: str, order: str, last: bool = False) -> DataFrame:
+    """The row of each key with the smallest value of order, or with the largest."""
+
+    def combine(table: pa.Table) -> pa.Table:
+        _, rows, starts = _by_group(table, [key])
+        places = table.column(order).to_numpy()[rows]
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+        best = np.lexsort((-places if last else places, of))
+        return table.take(pa.array(rows[best[starts]]))
 
-def _array(df: DataFrame, keys: Sequence[str], vec: str, dim: int) -> DataFrame:
-    return df.select(*keys, F.array(*[f"_e{i}" for i in range(dim)]).alias(vec))
+    return reduce_in_arrow(df, [key], combine)
 
 
 def log_sum_exp(

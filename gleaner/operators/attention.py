@@ -6,28 +6,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleaner.operators.aggregates import log_sum_exp, vector_mean, vector_sum
+from gleaner.operators.aggregates import first_by, log_sum_exp, vector_mean, vector_sum
 from gleaner.operators.cells import batch_block_rows, batch_cells, matrix, slabs, vector_dim
 
 
 def pool_cls(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", vec: str = "vec") -> DataFrame:
     """The vector of each document's first token."""
-    return tokens.groupBy(doc).agg(F.min_by(vec, pos).alias(vec))
+    return first_by(tokens.select(doc, pos, vec), doc, pos).drop(pos)
 
 
 def pool_last(
     tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", vec: str = "vec", mask: str | None = None
 ) -> DataFrame:
     """The vector of each document's last valid token."""
-    return _valid(tokens, mask).groupBy(doc).agg(F.max_by(vec, pos).alias(vec))
+    return first_by(_valid(tokens, mask).select(doc, pos, vec), doc, pos, last=True).drop(pos)
 
 
-def pool_mean(
-    tokens: DataFrame, doc: str = "doc_id", vec: str = "vec", mask: str | None = None, dim: int | None = None
-) -> DataFrame:
+def pool_mean(tokens: DataFrame, doc: str = "doc_id", vec: str = "vec", mask: str | None = None) -> DataFrame:
     """The mean vector of each document's valid tokens."""
-    dim = dim or vector_dim(tokens, vec)
-    return vector_mean(_valid(tokens, mask), [doc], vec, dim)
+    return vector_mean(_valid(tokens, mask), [doc], vec)
 
 
 def _valid(tokens: DataFrame, mask: str | None) -> DataFrame:
@@ -69,7 +66,6 @@ def _weighted_sums(
     scale: float, lse_on_left: bool, out: str, rows: int,
 ) -> DataFrame:
     """Per left row, the sum over right rows of exp(scale * product - lse) * value."""
-    dim = vector_dim(right, value)
     schema = T.StructType(
         [_id_field(left, batch), _id_field(left, id_col), T.StructField(out, T.ArrayType(T.DoubleType()))]
     )
@@ -88,7 +84,7 @@ def _weighted_sums(
     # One side carries normalisers; the other has the same rows without them, so it is the one to count.
     plain = right if lse_on_left else left
     cells = batch_cells(left, right, batch, id_col, kernel, schema, rows, sized_by=plain.select(batch))
-    return vector_sum(cells, [batch, id_col], out, dim)
+    return vector_sum(cells, [batch, id_col], out)
 
 
 def category_vectors(

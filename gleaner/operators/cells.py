@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gleaner.operators.skew import MOST_HOT_KEYS
+from gleaner.operators.skew import small_table
 
 BLOCK_BYTES = 64 << 20  # one block of one side, as doubles
 BATCH_ROWS = 8192  # rows of one batch per block: the work of a cell is the square of it
@@ -27,8 +27,8 @@ def vector_dim(df: DataFrame, vec: str) -> int:
     return row[0] if row else 1
 
 
-def block_rows(dim: int) -> int:
-    return max(256, BLOCK_BYTES // (8 * max(dim, 1)))
+def block_rows(dim: int, block_bytes: int | None = None) -> int:
+    return max(256, (block_bytes or BLOCK_BYTES) // (8 * max(dim, 1)))
 
 
 def batch_block_rows(dim: int) -> int:
@@ -64,13 +64,15 @@ MOST_TASKS = 20_000
 
 
 def cross_blocks(
-    left: DataFrame, right: DataFrame, lb: Column, rb: Column, n_lb: int, n_rb: int, kernel, schema
+    left: DataFrame, right: DataFrame, lb: Column, rb: Column, n_lb: int, n_rb: int, kernel, schema,
+    most_tasks: int = MOST_TASKS,
 ) -> DataFrame:
     """Every left block meets every right block in one cell; kernel(left, right) -> table.
 
     A cell is small in bytes but heavy in work, so each is its own task: the cell number is the partition.
+    Beyond most_tasks cells, as many share a task as it takes; they are worked off one after another.
     """
-    tasks = min(n_lb * n_rb, MOST_TASKS)
+    tasks = min(n_lb * n_rb, most_tasks)
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -78,7 +80,7 @@ def cross_blocks(
     l = left.withColumn("_lb", lb).withColumn("_rb", every(n_rb))
     r = detached(right).withColumn("_rb", rb).withColumn("_lb", every(n_lb))
     l, r = (
-        df.withColumn("_cell", F.col("_lb") * n_rb + F.col("_rb")).drop("_lb", "_rb").repartitionById(tasks, "_cell")
+        df.withColumn("_cell", F.col("_lb").cast("long") * n_rb + F.col("_rb")).drop("_lb", "_rb").repartitionById(tasks, F.pmod("_cell", F.lit(tasks).cast("long")).cast("int"))
         for df in (l, r)
     )
     return l.groupBy("_cell").cogroup(r.groupBy("_cell")).applyInArrow(kernel, schema)
@@ -116,12 +118,8 @@ def batch_cells(
     Small batches share a cell. A batch with more than `rows` rows on a side is cut in blocks by the
     hash of its ids, and each pair of its blocks is a cell, so no task takes a whole hot batch.
     """
-    session = left.sparkSession
     l_rows, r_rows = (sized_by, sized_by) if sized_by is not None else (left, right)
-    sizes = _hot_batches(l_rows, r_rows, batch, rows)
-    hot = sizes.limit(MOST_HOT_KEYS + 1).collect()
-    if len(hot) <= MOST_HOT_KEYS:  # size checked: broadcast; beyond that a shuffled join
-        sizes = F.broadcast(session.createDataFrame(hot, sizes.schema))
+    sizes, hot = small_table(_hot_batches(l_rows, r_rows, batch, rows))
     n_rows = l_rows.count() + r_rows.count()
     buckets = max(parallelism(left), math.ceil(n_rows / (2 * rows)))
 

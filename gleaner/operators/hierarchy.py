@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions import text as tx
-from gleaner.operators.ordering import carry_headings, dense_ids
+from gleaner.operators.ordering import carry_headings, ids_by_group
+from gleaner.session import new_path
+from gleaner.sources.tables import table_roundtrip
 
 # Field names of a statute document.
 NUMBER, BRANCH, KEY, CONTENT = "조문번호", "조문가지번호", "조문키", "조문내용"
@@ -70,10 +72,13 @@ def flatten_hierarchy(
 
 def clause_table(docs: DataFrame, law_id: str, seq: str, doc: str = "doc") -> DataFrame:
     """flatten_hierarchy plus the part and chapter each row stands under."""
-    # Headings stand on article level, so the state is carried over documents before they are taken apart.
+    # Headings stand on article level: the state is carried over one narrow row for each document.
     own = tx.clean_text(F.get_json_object(doc, f"$['{CONTENT}']")).alias("_own")
-    headed = carry_headings(docs.select(law_id, seq, doc, own), law_id, seq, "_own")
-    return flatten_hierarchy(headed, law_id, seq, doc, keep=("part", "chapter"))
+    headed = carry_headings(docs.select(law_id, seq, own), law_id, seq, "_own").drop("_own")
+    headed = headed.select(F.col(law_id).alias("_law"), F.col(seq).alias("_place"), "part", "chapter")
+    same = F.col(law_id).eqNullSafe(F.col("_law")) & (F.col(seq) == F.col("_place"))
+    joined = docs.select(law_id, seq, doc).join(headed, same)
+    return flatten_hierarchy(joined, law_id, seq, doc, keep=("part", "chapter"))
 
 
 def drop_headings(df: DataFrame) -> DataFrame:
@@ -87,6 +92,8 @@ def drop_deleted(df: DataFrame, col: str = "content", marker: str = tx.DELETED_M
 def query_table(clauses: DataFrame, law: str | Column, law_id: str, seq: str) -> DataFrame:
     """Clause rows to query rows: no headings, no deleted rows, titles, ids from 0 in source order."""
     kept = drop_deleted(drop_headings(clauses))
-    titled = kept.withColumn("title", tx.compose_title(law))
-    numbered = dense_ids(titled, [law_id, seq, "paragraph", "subparagraph"])
+    titled = kept.select(law_id, seq, "paragraph", "subparagraph", tx.compose_title(law).alias("title"), "content")
+    # Written once; the count of rows for each document then reads two columns of it.
+    titled = table_roundtrip(titled, new_path(titled.sparkSession, "clauses"))
+    numbered = ids_by_group(titled, [law_id, seq], ["paragraph", "subparagraph"])
     return numbered.select("id", "title", "content")

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gleaner.functions.text import first_label, split_labels
 from gleaner.operators.skew import left_join_hot_right, skew_join
 
 
 def count_labels_multi(df: DataFrame, col: str, sep: str = ",") -> DataFrame:
-    return df.select(F.explode(F.split(col, sep)).alias("label")).groupBy("label").count()
+    return df.select(F.explode(split_labels(col, sep)).alias("label")).groupBy("label").count()
 
 
 def count_labels_single(df: DataFrame, col: str, sep: str = ",") -> DataFrame:
-    return df.groupBy(F.split(col, sep)[0].alias("label")).count()
+    return df.groupBy(first_label(col, sep).alias("label")).count()
 
 
 def count_at_least(counts: DataFrame, k: int) -> DataFrame:
@@ -30,10 +31,9 @@ def top_labels(counts: DataFrame, n: int = 20) -> DataFrame:
 
 
 def first_by_title(dim: DataFrame, title: str = "title", id_col: str = "id") -> DataFrame:
-    """One row per title, the one with the lowest id."""
-    rest = [c for c in dim.columns if c != title]
-    best = F.min(F.struct(id_col, *[c for c in rest if c != id_col])).alias("_best")
-    return dim.groupBy(title).agg(best).select(title, "_best.*")
+    """One row per title, the one with the lowest id; ids are unique, and no text goes through the grouping."""
+    lowest = dim.groupBy(title).agg(F.min(id_col).alias(id_col))
+    return dim.join(lowest, [title, id_col], "left_semi")
 
 
 def lookup_required(
@@ -41,15 +41,12 @@ def lookup_required(
 ) -> DataFrame:
     """Adds id and text of the query whose title equals the label. A label without one is an error."""
     titles = first_by_title(dim.select("title", "id", "content"))
-    found = skew_join(
-        labels, titles.select(F.col("title").alias(label), "id", F.col("content").alias("text")),
-        [label], "left", spread,
-    )
-    missed = labels.select(label).distinct().join(titles, F.col(label) == F.col("title"), "left_anti")
+    missed = label_difference(labels, dim.select(F.col("title").alias(label)), label)
     missed = missed.orderBy(label).limit(20).collect()
     if missed:
         raise ValueError("no query has the title: " + ", ".join(str(row[0]) for row in missed))
-    return found
+    texts = titles.select(F.col("title").alias(label), "id", F.col("content").alias("text"))
+    return skew_join(labels, texts, [label], "left", spread)
 
 
 def label_difference(a: DataFrame, b: DataFrame, label: str = "label") -> DataFrame:

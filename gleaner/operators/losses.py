@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleaner.functions.vectors import dot
 from gleaner.operators.aggregates import log_sum_exp
 from gleaner.operators.attention import batch_lse
+from gleaner.operators.cells import batch_cells, matrix, slabs
 from gleaner.operators.skew import skew_join
 
 # Weights of the parts and divisors, per model variant.
@@ -65,6 +68,107 @@ def in_batch_loss(
     return hit.join(lse, [batch, id_col]).agg(F.avg(loss).alias("loss"))
 
 
+def _dense_block(lt: pa.Table, rt: pa.Table, part: slice) -> np.ndarray:
+    return matrix(lt.slice(part.start, part.stop - part.start), "dense") @ matrix(rt, "dense").T
+
+
+def _attention_block(lt: pa.Table, rt: pa.Table, part: slice) -> np.ndarray:
+    return matrix(lt.slice(part.start, part.stop - part.start), "attention") @ matrix(rt, "attention").T
+
+
+def _maxsim_block(lt: pa.Table, rt: pa.Table, part: slice) -> np.ndarray:
+    """Mean over a query's tokens of the best product with any token of a passage; token vectors end to end."""
+    dim = lt.column("token_dim")[0].as_py()
+    left = lt.column("tokens").slice(part.start, part.stop - part.start).combine_chunks()
+    right = rt.column("tokens").combine_chunks()
+    lm, rm = (x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for x in (left, right))
+    sizes = [np.diff(x.offsets.to_numpy()) // dim for x in (left, right)]
+    starts = [np.concatenate([[0], np.cumsum(n)[:-1]]) for n in sizes]
+    out = np.empty((len(sizes[0]), len(sizes[1])))
+    for i, (at, n) in enumerate(zip(starts[0], sizes[0])):
+        best = np.maximum.reduceat(lm[at : at + n] @ rm.T, starts[1], axis=1)
+        out[i] = best.mean(axis=0)
+    return out
+
+
+def _lexical_block(lt: pa.Table, rt: pa.Table, part: slice) -> np.ndarray:
+    """Sums over shared tokens, a stretch of the block's vocabulary at a time."""
+    sides = [lt.slice(part.start, part.stop - part.start), rt]
+    entries = []
+    for side in sides:
+        lists = side.column("lexical").combine_chunks()
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten()
+        entries.append((owner, flat.field("token"), flat.field("weight").to_numpy(zero_copy_only=False)))
+    coded = pa.concat_arrays([e[1] for e in entries]).dictionary_encode().indices.to_numpy()
+    n_left = len(entries[0][0])
+    codes = coded[:n_left], coded[n_left:]
+    out = np.zeros((len(sides[0]), len(sides[1])))
+    for at in range(0, int(coded.max(initial=-1)) + 1, VOCABULARY):
+        dense = []
+        for (owner, _, weight), code, side in zip(entries, codes, sides):
+            here = (code >= at) & (code < at + VOCABULARY)
+            block = np.zeros((len(side), VOCABULARY))
+            block[owner[here], code[here] - at] = weight[here]
+            dense.append(block)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+BLOCKS = {"dense": _dense_block, "lexical": _lexical_block, "maxsim": _maxsim_block, "attention": _attention_block}
+VOCABULARY = 4096  # tokens of a block's vocabulary that are multiplied at once
+
+
+def in_batch_losses(
+    q: DataFrame, p: DataFrame, batch: str, parts: Sequence[str] = ("dense", "lexical", "maxsim"),
+    weights: dict[str, float] | None = None, temperature: float = 1.0, id_col: str = "id", target: str = "is_target",
+    rows: int = 512,
+) -> DataFrame:
+    """One row: the mean cross entropy of each score, with every passage of the batch as a candidate.
+
+    q and p have (batch, id) and, for the parts asked for, dense and attention (vectors; the query's attended),
+    tokens (token vectors end to end, their length in token_dim, first tokens left out, one at least) and
+    lexical (array of (token, weight)). p also has group, the id of the query a passage belongs to, and the
+    flag of its positive, of which a query has one. With weights the weighted sum of the parts is a further
+    score, ensemble. Block by block of a batch all scores are made together; a task hands back two numbers
+    for each query and score, never a score.
+    """
+    names = [*parts, *(["ensemble"] if weights else [])]
+    id_type = q.schema[id_col].dataType
+    fields = [T.StructField(batch, q.schema[batch].dataType), T.StructField(id_col, id_type)]
+    fields += [T.StructField(f"{kind}_{n}", T.DoubleType()) for n in names for kind in ("lse", "hit")]
+    schema = T.StructType(fields)
+    columns = {"dense": ["dense"], "attention": ["attention"], "lexical": ["lexical"], "maxsim": ["tokens", "token_dim"]}
+    needed = [c for n in parts for c in columns[n]]
+
+    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        found: dict[str, list] = {f"{kind}_{n}": [] for n in names for kind in ("lse", "hit")}
+        own = {g: i for i, (g, hit) in enumerate(zip(rt.column("group").to_pylist(), rt.column(target).to_pylist())) if hit}
+        at = np.array([own.get(i, -1) for i in lt.column(id_col).to_pylist()])
+        for part in slabs(lt.num_rows, rt.num_rows):
+            part = slice(part.start, min(part.stop, lt.num_rows))
+            scores = {n: BLOCKS[n](lt, rt, part) / temperature for n in parts}
+            if weights:
+                scores["ensemble"] = sum(scores[n] * weights[n] for n in parts)
+            for n, s in scores.items():
+                top = s.max(axis=1)
+                found[f"lse_{n}"].append(top + np.log(np.exp(s - top[:, None]).sum(axis=1)))
+                here = at[part]
+                found[f"hit_{n}"].append(np.where(here >= 0, s[np.arange(len(s)), here], 0.0))
+        out = {c: np.concatenate(v) for c, v in found.items()}
+        return pa.table({batch: lt.column(batch), id_col: lt.column(id_col), **out})
+
+    left, right = q.select(batch, id_col, *needed), p.select(batch, id_col, "group", target, *needed)
+    cells = batch_cells(left, right, batch, id_col, kernel, schema, rows)
+    # A query cut from its batch's passages has a row for each block; its positive is in one of them.
+    long = cells.select(batch, id_col, F.inline(F.array(*[
+        F.struct(F.lit(n).alias("score"), F.col(f"lse_{n}").alias("lse"), F.col(f"hit_{n}").alias("hit")) for n in names
+    ])))
+    sums = log_sum_exp(long, [batch, id_col, "score"], "lse", "_lse", also=[F.col("hit")])
+    per_score = [F.avg(F.when(F.col("score") == n, F.col("_lse") - F.col("_x0"))).alias(n) for n in names]
+    return sums.agg(*per_score)
+
+
 def distill_loss(
     scores: DataFrame, group: str, student: str = "student", teacher: str = "target"
 ) -> DataFrame:

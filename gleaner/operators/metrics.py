@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleaner.operators.skew import skew_join
 
 METRICS = ("ndcg", "map", "recall", "precision", "mrr")
 KS = (10, 50)
@@ -18,14 +17,22 @@ def unique_qrels(qrels: DataFrame, order: str | None = None) -> DataFrame:
     return qrels.groupBy("qid", "docid").agg(relevance.cast("double").alias("relevance"))
 
 
+def best_hits(hits: DataFrame, by: str | None = None) -> DataFrame:
+    """One hit per document: the one with the best score."""
+    keys = ([by] if by else []) + ["qid", "docid"]
+    return hits.groupBy(*keys).agg(F.max("score").alias("score"))
+
+
+def _judge(hits: DataFrame, judged: DataFrame) -> DataFrame:
+    joined = hits.join(judged, ["qid", "docid"], "left")
+    return joined.withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+
+
 def join_qrels(
     hits: DataFrame, qrels: DataFrame, order: str | None = None, by: str | None = None
 ) -> DataFrame:
     """Hits with their relevance, 0 where not judged. A document hit twice counts with its best score."""
-    keys = ([by] if by else []) + ["qid", "docid"]
-    best = hits.groupBy(*keys).agg(F.max("score").alias("score"))
-    judged = best.join(unique_qrels(qrels, order), ["qid", "docid"], "left")
-    return judged.withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+    return _judge(best_hits(hits, by), unique_qrels(qrels, order))
 
 
 def _gain(relevance: Column, rank: Column) -> Column:
@@ -50,18 +57,21 @@ def query_metrics(
     ks: Sequence[int] = KS,
     by: str | None = None,
     order: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Every metric at every k, one row per query (and model): columns ndcg@10, map@10, ...
 
-    Queries must be in both the hits and the judgements. Only the best max(ks) hits of a query leave the
-    first ranking, and they stay on one partitioning until the query's row is done.
+    Queries must be in both the hits and the judgements. Hits are ranked and cut to the best max(ks) of a
+    query before they meet the judgements. unique says that no document is hit twice for a query (and
+    model), which saves the step that sees to it.
     """
     group = ([by] if by else []) + ["qid"]
     judged = unique_qrels(qrels, order)
     window = Window.partitionBy(*group)
     by_score = window.orderBy(F.desc("score"), F.desc("docid"))
-    ranked = join_qrels(hits, qrels, order, by).withColumn("_r", F.row_number().over(by_score))
-    ranked = ranked.where(F.col("_r") <= max(ks))
+    best = hits.select(*group, "docid", "score") if unique else best_hits(hits, by)
+    best = best.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") <= max(ks))
+    ranked = _judge(best, judged)
     found = (F.col("relevance") > 0).cast("int")
     running = F.sum(found).over(window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
     ranked = ranked.withColumn("_found", found).withColumn("_precision", running / F.col("_r"))
@@ -100,12 +110,13 @@ def compare_models(
     metrics: Sequence[str] = METRICS,
     order: str | None = None,
     digits: int = 5,
+    unique: bool = False,
 ) -> DataFrame:
     """Mean of every metric over the queries, one row per model, in one pass over all models."""
     means = [
         F.round(F.avg(f"`{m}@{k}`"), digits).alias(f"{m}_at_{k}") for m in metrics for k in ks
     ]
-    return query_metrics(hits, qrels, ks, by, order).groupBy(*([by] if by else [])).agg(*means)
+    return query_metrics(hits, qrels, ks, by, order, unique).groupBy(*([by] if by else [])).agg(*means)
 
 
 def metric_ndcg(hits, qrels, ks=KS, by=None) -> DataFrame:
@@ -128,15 +139,13 @@ def metric_mrr(hits, qrels, ks=KS, by=None) -> DataFrame:
     return compare_models(hits, qrels, ks, by, ["mrr"])
 
 
-def qrels_map(qrels: DataFrame, order: str | None = None, most: int = 100_000) -> DataFrame:
-    """(qid, part, judgements): docid -> relevance maps of about `most` entries at the utmost.
+def qrels_map(qrels: DataFrame, order: str | None = None, parts: int = 1) -> DataFrame:
+    """(qid, part, judgements): docid -> relevance maps of every query.
 
-    A query has part 0 only, unless it has more judgements than that.
+    Documents are dealt over `parts` maps by their hash, for all queries alike: take more where a query may
+    have more judgements than a row should hold. A part that got none has no row.
     """
     judged = unique_qrels(qrels, order)
-    large = judged.groupBy("qid").count().where(F.col("count") > most)
-    large = large.select("qid", F.ceil(F.col("count") / most).alias("_parts"))
-    part = F.pmod(F.xxhash64("docid"), F.coalesce("_parts", F.lit(1))).cast("int")
-    entries = skew_join(judged, large, ["qid"], "left", ["docid"]).withColumn("part", part)
+    entries = judged.withColumn("part", F.pmod(F.xxhash64("docid"), F.lit(parts)).cast("int"))
     as_map = F.map_from_entries(F.collect_list(F.struct("docid", "relevance")))
     return entries.groupBy("qid", "part").agg(as_map.alias("judgements"))

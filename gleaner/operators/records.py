@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions.text import instruction_text, render_prompt, respace_title
 from gleaner.functions.vectors import max_abs_diff
-from gleaner.operators.skew import left_join_hot_right
 
 RESPONSE_SCHEMA = "id long, title string, query string, pos array<string>"
 
@@ -35,12 +34,16 @@ def render_prompts(df: DataFrame, template: str, k: int) -> DataFrame:
 def merge_generated(queries: DataFrame, responses: DataFrame) -> DataFrame:
     """Queries (id, title, content) with the positives of their response (request_id, response).
 
-    A missing or malformed response keeps the row, with no positives. In id order.
+    A missing or malformed response keeps the row, with no positives. A request answered several times gets
+    its first readable response in text order, so a row comes out once. In id order.
     """
     parsed = responses.select(
-        F.col("request_id").alias("id"), F.from_json("response", RESPONSE_SCHEMA).alias("_r")
+        F.col("request_id").alias("id"), "response", F.from_json("response", RESPONSE_SCHEMA)["pos"].isNotNull().alias("_ok")
     )
-    joined = left_join_hot_right(queries.select("id", "title", "content"), parsed, ["id"], ["_r"])
+    # One response of a request is left after this, however many there were; combined before the shuffle.
+    answers = parsed.where("_ok").groupBy("id").agg(F.min("response").alias("_response"))
+    joined = queries.select("id", "title", "content").join(answers, "id", "left")
+    joined = joined.withColumn("_r", F.from_json("_response", RESPONSE_SCHEMA))
     ok = F.col("_r.pos").isNotNull()
     return joined.select(
         "id",

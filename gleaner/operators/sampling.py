@@ -14,25 +14,29 @@ _BUCKETS_HEX = 3  # 16^3 buckets per group beyond that
 def sample_per_group(
     df: DataFrame, group: str, key: str, k: int, seed: int = SEED, salt: str = "sample"
 ) -> DataFrame:
-    """k rows per group without replacement: those with the smallest draw. Smaller groups are kept whole."""
+    """k rows per group without replacement: those with the smallest draw. Smaller groups are kept whole.
+
+    Rows without a group are a group of their own.
+    """
     drawn = df.withColumn("_draw", draw(seed, F.lit(salt), key))
     if k <= int(df.sparkSession.conf.get(RANK_SETTING)):
         order = Window.partitionBy(group).orderBy("_draw", key)
         ranked = drawn.withColumn("_rank", F.row_number().over(order))
         return ranked.where(F.col("_rank") <= k).drop("_draw", "_rank")
-    # A draw is uniform, so its leading digits cut a huge group in even buckets. Buckets that lie
-    # wholly below the cut need no ranking; only the one the cut falls into is ranked.
+    # A draw is uniform, so its leading digits cut a huge group in even buckets. Buckets that lie wholly
+    # below the cut pass as they are; only rows of the one bucket the cut falls into are ranked.
     drawn = drawn.withColumn("_bucket", F.substring("_draw", 1, _BUCKETS_HEX))
     counts = drawn.groupBy(group, "_bucket").count()
     upto = F.sum("count").over(Window.partitionBy(group).orderBy("_bucket"))
-    room = counts.select(group, "_bucket", (F.lit(k) - upto + F.col("count")).alias("_room"))
-    inside = Window.partitionBy(group, "_bucket").orderBy("_draw", key)
-    return (
-        drawn.join(room.where("_room > 0"), [group, "_bucket"])
-        .withColumn("_rank", F.row_number().over(inside))
-        .where(F.col("_rank") <= F.col("_room"))
-        .drop("_draw", "_bucket", "_room", "_rank")
-    )
+    room = counts.select(
+        F.col(group).alias("_of"), F.col("_bucket").alias("_in"), "count", (F.lit(k) - upto + F.col("count")).alias("_room")
+    ).where("_room > 0")
+    same = F.col(group).eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in"))
+    placed = drawn.join(room, same)
+    whole, cut = placed.where("_room >= count"), placed.where("_room < count")
+    inside = Window.partitionBy("_of", "_in").orderBy("_draw", key)
+    cut = cut.withColumn("_rank", F.row_number().over(inside)).where(F.col("_rank") <= F.col("_room"))
+    return whole.unionByName(cut.drop("_rank")).drop("_draw", "_bucket", "_of", "_in", "count", "_room")
 
 
 def sample_k_per_class(df: DataFrame, label: str, key: str, k: int, seed: int = SEED) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.functions.vectors import dot
 from gleaner.operators.skew import HOT_ROWS, skew_join
 
 PAIR = ["q_id", "p_id"]
@@ -30,7 +30,25 @@ def score_dense(
     pairs = pairs.select(*PAIR)
     sided = skew_join(pairs, _renamed(q, q_id=id, _qv=vec), ["q_id"], "inner", ["p_id"])
     sided = skew_join(sided, _renamed(p, p_id=id, _pv=vec), ["p_id"], "inner", ["q_id"], sized_by=pairs)
-    return sided.select(*PAIR, (dot("_qv", "_pv") / temperature).alias(name))
+    products = F.arrow_udf(_products, "double")
+    return sided.select(*PAIR, (products("_qv", "_pv") / temperature).alias(name))
+
+
+def _products(q: pa.Array, p: pa.Array) -> pa.Array:
+    """Inner product of each row's two vectors, null where one is missing; a row's vectors have one length."""
+    both = pc.and_(q.is_valid(), p.is_valid())
+    at = np.flatnonzero(both.to_numpy(zero_copy_only=False))
+    q, p = q.take(pa.array(at)), p.take(pa.array(at))
+    qv, pv = (x.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for x in (q, p))
+    if len(qv) != len(pv):
+        raise ValueError("vectors of a pair differ in length")
+    out, sizes = np.zeros(len(at)), np.diff(q.offsets.to_numpy())
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(qv * pv, (q.offsets.to_numpy()[:-1] - q.offsets[0].as_py())[some])
+    full = np.full(len(both), np.nan)
+    full[at] = out
+    return pa.array(full, mask=~both.to_numpy(zero_copy_only=False))
 
 
 def score_attention(
@@ -53,11 +71,22 @@ def lexical_weights(
     return kept.groupBy(doc, token).agg(F.max(F.greatest(F.col(weight), F.lit(0.0))).alias(weight))
 
 
-def _token_maps(weights: DataFrame, side: str, parts: int) -> DataFrame:
-    """(<side>_id, _part, _<side>w): every document's weights as maps, a huge one's in parts by token hash."""
-    part = F.pmod(F.xxhash64("_t"), F.lit(parts)).cast("int").alias("_part")
+def _large(weights: DataFrame) -> DataFrame:
+    """(_id, _bits): documents of more than MAP_TOKENS tokens, whose maps are cut in 2^_bits parts."""
+    sizes = weights.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAP_TOKENS)
+    return sizes.select("_id", F.ceil(F.log2(F.col("_n") / MAP_TOKENS)).cast("int").alias("_bits"))
+
+
+def _part(value: Column, bits: Column) -> Column:
+    return value.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+
+
+def _token_maps(weights: DataFrame, large: DataFrame, side: str) -> DataFrame:
+    """(<side>_id, _<side>p, _<side>w): every document's weights as a map, a large one's in parts by token hash."""
+    cut = skew_join(weights, large, ["_id"], "left", ["_t"])
+    part = _part(F.xxhash64("_t"), F.coalesce("_bits", F.lit(0))).alias(f"_{side}p")
     entries = F.collect_list(F.struct("_t", "_w"))
-    return weights.groupBy(F.col("_id").alias(f"{side}_id"), part).agg(F.map_from_entries(entries).alias(f"_{side}w"))
+    return cut.groupBy(F.col("_id").alias(f"{side}_id"), part).agg(F.map_from_entries(entries).alias(f"_{side}w"))
 
 
 def score_lexical(
@@ -67,24 +96,33 @@ def score_lexical(
     """Sum over shared tokens of the product of both weights; 0 for a pair that shares none.
 
     A token stands once per document, as lexical_weights leaves it. Work starts from the pairs, so a token
-    all documents share costs no more than any other. A pair meets both documents' maps in one row; where
-    the largest vocabulary is beyond MAP_TOKENS all maps are cut in parts by token hash.
+    all documents share costs no more than any other. A pair meets both documents' maps in one row. The map
+    of a document with more than MAP_TOKENS tokens is cut in parts by token hash, and only the pairs it is in
+    come in as many rows.
     """
     pairs = pairs.select(*PAIR)
     qw, pw = _renamed(q, _id=id, _t=token, _w=weight), _renamed(p, _id=id, _t=token, _w=weight)
-    most = max(w.groupBy("_id").count().agg(F.max("count")).first()[0] or 1 for w in ([qw] if q is p else [qw, pw]))
-    parts = -(-most // MAP_TOKENS)
-    sided = skew_join(pairs, _token_maps(qw, "q", parts), ["q_id"], "left", ["p_id"])
-    # A (passage, part) key is as hot as its passage is among the pairs.
+    q_large, p_large = _large(qw), _large(pw)
+    sided = skew_join(pairs, _renamed(q_large, q_id="_id", _qb="_bits"), ["q_id"], "left", ["p_id"])
+    sided = skew_join(sided, _renamed(p_large, p_id="_id", _pb="_bits"), ["p_id"], "left", ["q_id"], sized_by=pairs)
+    q_bits, p_bits = (F.coalesce(c, F.lit(0)) for c in ("_qb", "_pb"))
+    parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(q_bits, p_bits))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    sided = sided.select(*PAIR, q_bits.alias("_qb"), p_bits.alias("_pb"), part.alias("_j"))
+    sided = sided.withColumn("_qp", _part(F.col("_j"), F.col("_qb"))).withColumn("_pp", _part(F.col("_j"), F.col("_pb")))
+    sided = sided.withColumn("_cut", F.greatest("_qb", "_pb") > 0).drop("_qb", "_pb")
+    # A (document, part) key is as hot as its document is among the pairs.
+    sided = skew_join(
+        sided, _token_maps(qw, q_large, "q"), ["q_id", "_qp"], "left", ["p_id"], sized_by=pairs, hot_on=["q_id"]
+    )
     sided = skew_join(
-        sided, _token_maps(pw, "p", parts), ["p_id", "_part"], "left", ["q_id"], sized_by=pairs, hot_on=["p_id"]
+        sided, _token_maps(pw, p_large, "p"), ["p_id", "_pp"], "left", ["q_id"], sized_by=pairs, hot_on=["p_id"]
     )
     products = F.map_values(F.map_zip_with("_qw", "_pw", lambda t, a, b: F.coalesce(a * b, F.lit(0.0))))
     shared = F.coalesce(F.aggregate(products, F.lit(0.0), lambda total, x: total + x), F.lit(0.0))
-    score = shared / temperature
-    if parts == 1:
-        return sided.select(*PAIR, score.alias("lexical"))
-    return sided.groupBy(*PAIR).agg(F.sum(score).alias("lexical"))
+    scored = sided.select(*PAIR, "_cut", (shared / temperature).alias("lexical"))
+    whole = scored.where("NOT _cut").drop("_cut")
+    return whole.unionByName(scored.where("_cut").groupBy(*PAIR).agg(F.sum("lexical").alias("lexical")))
 
 
 def _token_blocks(tokens: DataFrame, side: str) -> DataFrame:
@@ -148,7 +186,7 @@ def score_ensemble(
     weights: Sequence[float] = (1.0, 0.3, 1.0, 0.3),
     with_attention: bool = True,
 ) -> DataFrame:
-    """Weighted sum of the score tables of the same pairs. A part that is not there is an error."""
+    """Weighted sum of the score tables of the same pairs, beside the parts. A part that is not there is an error."""
     parts = [("dense", dense), ("lexical", lexical), ("maxsim", maxsim)]
     if with_attention:
         parts.append(("attention", attention))
@@ -164,4 +202,4 @@ def score_ensemble(
         F.size(lacking) > 0,
         F.raise_error(F.concat(F.lit("a pair lacks scores: "), F.array_join(lacking, ", "))).cast("double"),
     ).otherwise(total)
-    return joined.select(*PAIR, checked.alias("ensemble"))
+    return joined.select(*PAIR, *[name for name, _ in parts], checked.alias("ensemble"))

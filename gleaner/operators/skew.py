@@ -6,20 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_ROWS = 1_000_000  # rows one task may take for a single key
-MOST_HOT_KEYS = 100_000  # bound on the broadcast table of hot keys: 16 bytes a row
+from gleaner.session import checkpointed
 
+HOT_ROWS = 1_000_000  # rows one task may take for a single key
+MOST_BROADCAST = 100_000  # rows of the table of hot keys, 16 bytes each, up to which it is broadcast
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list:
-    """(key hash, number of shares) of the keys with over hot_rows rows, hottest first.
 
-    Counts are combined before the shuffle and at most MOST_HOT_KEYS rows come back. A hot key that is
-    left out then has less than 1/MOST_HOT_KEYS of all rows, which one task can take.
-    """
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+    """(key hash, number of shares) of all keys with over hot_rows rows. Counts are combined before the shuffle."""
     hot_rows = hot_rows or HOT_ROWS
     counts = df.groupBy(F.xxhash64(*keys).alias("_kh")).count().where(F.col("count") > hot_rows)
-    shares = F.ceil(F.col("count") / hot_rows).cast("int").alias("_shares")
-    return counts.orderBy(F.desc("count"), "_kh").limit(MOST_HOT_KEYS).select("_kh", shares).collect()
+    return counts.select("_kh", F.ceil(F.col("count") / hot_rows).cast("int").alias("_shares"))
+
+
+def small_table(df: DataFrame) -> tuple[DataFrame, int]:
+    """A table that may have any size, computed once, and its row count up to MOST_BROADCAST + 1.
+
+    Within that many rows it is marked for broadcast. Beyond, it is written and joined like any other table.
+    """
+    rows = df.limit(MOST_BROADCAST + 1).collect()
+    if len(rows) <= MOST_BROADCAST:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), len(rows)
+    return checkpointed(df), len(rows)
 
 
 def skew_join(
@@ -44,14 +52,14 @@ def skew_join(
     on, hot_on = list(on), list(hot_on or on)
     if right_spread and how != "inner":
         raise ValueError("only an inner join can deal its right side")
-    shares = {row["_kh"]: [row["_shares"], 1] for row in hot_keys(sized_by or left, hot_on, hot_rows)}
+    table = hot_keys(sized_by if sized_by is not None else left, hot_on, hot_rows)
+    table = table.withColumnRenamed("_shares", "_nl").withColumn("_nr", F.lit(1))
     if right_spread:
-        for row in hot_keys(right, hot_on, hot_rows):
-            shares.setdefault(row["_kh"], [1, 1])[1] = row["_shares"]
-    if not shares:
+        theirs = hot_keys(right, hot_on, hot_rows).select("_kh", F.lit(1).alias("_nl"), F.col("_shares").alias("_nr"))
+        table = table.unionByName(theirs).groupBy("_kh").agg(F.max("_nl").alias("_nl"), F.max("_nr").alias("_nr"))
+    table, size = small_table(table)
+    if not size:
         return left.join(right, on, how)
-    table = [(key, mine, theirs) for key, (mine, theirs) in shares.items()]
-    table = F.broadcast(left.sparkSession.createDataFrame(table, "_kh long, _nl int, _nr int"))
     n_left, n_right = F.coalesce("_nl", F.lit(1)), F.coalesce("_nr", F.lit(1))
 
     def dealt(columns: Sequence[str], n: Column) -> Column:
@@ -73,7 +81,7 @@ def left_join_hot_right(
 ) -> DataFrame:
     """Left join for a right side with hot keys; the left side has few rows per key."""
     on = list(on)
-    if not hot_keys(right, on, hot_rows):
+    if hot_keys(right, on, hot_rows).isEmpty():
         return left.join(right, on, "left")
     matched = skew_join(right, left, on, "inner", spread, hot_rows=hot_rows)
     unmatched = left.join(right.select(*on).distinct(), on, "left_anti")

@@ -33,12 +33,15 @@ def training_groups(
     slots = F.sequence(F.lit(0), n_neg * repeats - 1)
     one = _by_draw(F.sequence(F.lit(0), n_pos - 1), seed, F.lit("pos"), key)[0]
     many = F.slice(_by_draw(slots, seed, F.lit("neg"), key), 1, wanted)
-    empty = (F.coalesce(F.size("pos"), F.lit(0)) <= 0) | (F.coalesce(F.size("neg"), F.lit(0)) <= 0)
+    empty = F.coalesce(F.size("pos"), F.lit(0)) <= 0
+    if wanted:  # negatives are needed only where some are drawn
+        empty = empty | (F.coalesce(F.size("neg"), F.lit(0)) <= 0)
     refused = F.raise_error(F.concat(F.lit("no positives or no negatives in row "), F.col(key).cast("string")))
-    picked = (
-        df.withColumn("_one", F.when(empty, refused.cast("int")).otherwise(one))
-        .withColumn("_many", F.transform(many, lambda i: F.pmod(i, n_neg)))
-    )
+    # A filter is not pruned away, whichever columns are read later.
+    df = df.where(F.when(empty, refused.cast("boolean")).otherwise(True))
+    if not wanted:
+        many = F.array().cast("array<int>")
+    picked = df.withColumn("_one", one).withColumn("_many", F.transform(many, lambda i: F.pmod(i, n_neg)))
     positive = shuffle_chunks(F.get("pos", F.col("_one")), shuffle_ratio, key, seed=seed)
     passages = F.concat(F.array(positive), F.transform("_many", lambda i: F.get("neg", i)))
     out = picked.withColumn("passages", passages)
