@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
+from gleaner import catalog
 from gleaner.catalog.registry import table
 from gleaner.functions import text as tx
 from gleaner.operators import ordering, sampling
@@ -55,14 +56,33 @@ def test_dense_ids_window_holds_partition_sizes_only(spark):
 
 
 PYTHON = {
+    "mine_with_instructions", "evaluate_two_encoders", "score_dense", "contrastive_loss", "pool_cls", "pool_last", "pool_mean", "in_batch_losses",
     "embed_texts", "knn_topk", "knn_best_passage", "rank_range", "mine_hard_negatives", "join_qrels", "compare_models",
     "score_maxsim", "score_ensemble", "blend_losses", "category_vectors", "self_attention_vectors", "score_attention", "in_batch_loss", "evaluate_test_set",
     *(f"metric_{m}" for m in ("ndcg", "map", "recall", "precision", "mrr")),
 }
 
 
-@pytest.mark.parametrize("name", sorted(set(spark_entry.queries()) - PYTHON))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - PYTHON))
 def test_other_queries_run_in_the_jvm_without_cross_joins(spark, name):
     text = plan(spark_entry.queries()[name](spark, SF_DIR))
     assert "Python" not in text and "InArrow" not in text and "ArrowEval" not in text
     assert "CartesianProduct" not in text
+
+
+@pytest.mark.parametrize("name", ["pool_cls", "pool_last", "pool_mean"])
+def test_pooling_sorts_no_vectors_in_aggregates(spark, name):
+    assert "SortAggregate" not in plan(spark_entry.queries()[name](spark, SF_DIR))
+
+
+def test_cell_numbers_are_long(spark):
+    """60,000 blocks on either side are 3.6 billion cells."""
+    from gleaner.operators.knn import block_counts
+
+    left = spark.range(1).select(F.lit(59_999).alias("_lb"))
+    cell = left.select((F.col("_lb").cast("long") * 60_000 + F.lit(59_999)).alias("c")).first()["c"]
+    assert cell == 60_000 * 60_000 - 1
+    small = block_counts(10**6, 10**9, 100, 1024, 1000)
+    large = block_counts(10**6, 10**9, 100, 1024, 1000, block_bytes=1 << 30)
+    moved = [1024 * (10**6 * c + 10**9 * q) for q, c in (small, large)]
+    assert moved[1] < moved[0] / 8  # copies fall with the block size

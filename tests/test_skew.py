@@ -46,7 +46,17 @@ def test_left_join_with_a_hot_right_side(spark, hot):
 
 
 def test_hot_keys_lists_only_hot_ones(hot):
-    assert [r["_shares"] for r in hot_keys(hot, ["k"], 100)] == [2]
+    assert [r["_shares"] for r in hot_keys(hot, ["k"], 100).collect()] == [2]
+
+
+def test_any_number_of_hot_keys_is_dealt(spark, hot, monkeypatch):
+    """Beyond the broadcast bound the table of hot keys is joined, and no hot key is left out."""
+    from gleaner.operators import skew
+
+    monkeypatch.setattr(skew, "MOST_BROADCAST", 2)
+    right = hot.select("k", F.col("id").alias("rid"))
+    dealt = skew_join(hot, right, ["k"], "inner", ["id"], ["rid"], hot_rows=5)
+    assert rows_of(dealt, "id", "rid") == rows_of(hot.join(right, ["k"]), "id", "rid")
 
 
 def test_large_samples_equal_the_ranked_ones(spark):
@@ -62,6 +72,24 @@ def test_large_samples_equal_the_ranked_ones(spark):
     assert large.groupBy("g").count().where("count <> 3000").count() == 0
 
 
+@pytest.mark.parametrize("k", [900, 1500])
+def test_cap_rows_keeps_rows_without_a_file(spark, k):
+    df = spark.range(6000).select(F.col("id"), F.when(F.col("id") % 3 != 0, "f").alias("file"))
+    sizes = {r["file"]: r["count"] for r in sampling.cap_rows(df, "file", "id", k).groupBy("file").count().collect()}
+    assert sizes == {"f": k, None: k}
+
+
+def test_only_the_cut_bucket_is_ranked(spark):
+    """The rows that a rank is computed for are a small share of those kept."""
+    df = spark.range(200_000).select(F.col("id"), F.lit("g").alias("g"))
+    kept = sampling.sample_per_group(df, "g", "id", 100_000)
+    assert kept.count() == 100_000
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "row_number()" in line and "Window" in line)
+    assert plan.count("row_number()") == 1 and "_in" in window
+    assert "_room#" in plan and "< count#" in plan
+
+
 def test_sample_k_per_class_refuses_small_classes(spark):
     df = spark.createDataFrame([(i, "a" if i < 9 else "b") for i in range(20)], "id long, g string")
     with pytest.raises(ValueError, match=r"a \(9\)"):
@@ -213,7 +241,8 @@ def test_qrels_map_in_parts(spark):
         F.when(F.col("id") < 600, "q0").otherwise(F.concat(F.lit("q"), F.col("id") % 9)).alias("qid"),
         F.col("id").cast("string").alias("docid"), F.lit(1.0).alias("relevance"),
     )
-    maps = metrics.qrels_map(qrels, most=100).collect()
+    maps = metrics.qrels_map(qrels, parts=8).collect()
     assert sum(len(r["judgements"]) for r in maps) == 1000
     assert max(len(r["judgements"]) for r in maps) < 200
+    assert {r["part"] for r in maps} == set(range(8))
     assert len({r["qid"] for r in metrics.qrels_map(qrels).collect()}) == metrics.qrels_map(qrels).count()

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
@@ -100,42 +102,33 @@ def test_query_table(spark):
     ]
 
 
-def test_carry_headings_does_not_depend_on_the_chunk(spark):
-    rows = [(g, s, s // 7 if s % 7 == 0 else None, s // 3 if s % 3 == 0 else None) for g in "ab" for s in range(60)]
-    df = spark.createDataFrame(rows, "g string, s long, part int, chapter int")
-    outs = [
-        sorted(map(tuple, ordering.carry_headings(df, "g", "s", content=None, chunk=c).select("g", "s", "part", "chapter").collect()))
-        for c in (1, 5, 1000)
+@pytest.mark.parametrize("step", [1, 1_000_000])
+def test_carry_headings_does_not_depend_on_the_ranges(spark, step):
+    """One hot group, one small and one of NULL; sequences dense or as sparse as time stamps."""
+    sizes = {"a": 60, "b": 5, None: 20}
+    rows = [
+        (g, s * step, s // 7 if s % 7 == 0 else None, s // 3 if s % 3 == 0 else None) for g, n in sizes.items() for s in range(n)
     ]
-    assert outs[0] == outs[1] == outs[2]
-    assert ("a", 8, 1, 0) in outs[0] and ("a", 10, 1, 3) in outs[0]
-
-
-def test_respace_title(spark):
-    assert one(spark, tx.respace_title("t", "형법"), t="제1조의2제3항제1호") == "형법 제1조의2 제3항 제1호"
-
-
-def test_only_family_does_not_trim(spark):
-    df = spark.createDataFrame([("형법 제1조,형법 제2조",), ("형법 제1조, 형법 제2조",), ("형법 제1조,민법",)], ["l"])
-    assert [r[0] for r in df.select(tx.only_family("l", "형법")).collect()] == [True, False, False]
-
-
-def test_merge_generated(spark):
-    queries = spark.createDataFrame([(3, "t3", "q3"), (1, "t1", "q1"), (2, "t2", "q2"), (4, "t4", "q4")], "id long, title string, content string")
-    good = json.dumps({"id": 1, "title": "t1", "query": "q1x", "pos": ["a", "b"]})
-    responses = spark.createDataFrame([(1, good), (2, "{broken"), (3, None)], "request_id long, response string")
-    got = [tuple(r) for r in records.merge_generated(queries, responses).collect()]
-    assert got == [(1, "t1", "q1x", ["a", "b"]), (2, "t2", "q2", []), (3, "t3", "q3", []), (4, "t4", "q4", [])]
-
-
-def test_split_and_check(spark):
-    rows = [(i, [str(j) for j in range(n)]) for i, n in enumerate((20, 19, 10, 0))]
-    df = spark.createDataFrame(rows, "id long, pos array<string>")
-    train, heldout = records.split_positives(df)
-    assert [len(r["pos"]) for r in train.orderBy("id").collect()] == [10, 10, 10, 0]
-    assert [len(r["pos"]) for r in heldout.orderBy("id").collect()] == [10, 9, 0, 0]
-    wrong = records.check_list_sizes(df, "pos").orderBy("id").collect()
-    assert [(r["id"], r["size"], r["expected"]) for r in wrong] == [(1, 19, 20), (2, 10, 20), (3, 0, 20)]
+    df = spark.createDataFrame(rows, "g string, s long, part int, chapter int")
+    kept, outs = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "5", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found = ordering.carry_headings(df, "g", "s", content=None).select("g", "s", "part", "chapter")
+            outs.append(sorted(map(tuple, found.collect()), key=repr))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert outs[0] == outs[1] == outs[2] and len(outs[0]) == 85
+    assert ("a", 8 * step, 1, 0) in outs[0] and ("a", 10 * step, 1, 3) in outs[0]
+
+
+def test_ids_by_group_follow_the_order(spark):
+    rows = [(g, s, p) for g in ("b", "a", None) for s in range(4) for p in range(3)]
+    df = spark.createDataFrame(rows, "g string, s long, p int")
+    found = ordering.ids_by_group(df.repartition(5), ["g", "s"], ["p"], start=7).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    assert [tuple(r)[:3] for r in sorted(found, key=lambda r: r["id"])] == want
+    assert sorted(r["id"] for r in found) == list(range(7, 43))
 
 
 def test_dense_ids_keep_the_order_of_any_partitioning(spark):

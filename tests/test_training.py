@@ -1,14 +1,16 @@
 """Sources, mining, training groups, encoders and losses."""
 
+import json
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import labels, losses, negatives, scores, training
+from gleaner.operators import aggregates, labels, losses, negatives, scores, training
 from gleaner.operators.embedding import embed_texts, hash_words
-from gleaner.plans.evaluation import evaluate
+from gleaner.plans import loading
+from gleaner.plans.evaluation import Model, evaluate, search
 from gleaner.plans.mining import mine_hard_negatives
 from gleaner.plans.testset import build_test_set
 from gleaner.sources import tables
@@ -48,6 +50,42 @@ def test_rows_are_filled_up_from_the_pool(spark):
     assert all(len(r["neg"]) == 9 and not set(r["neg"]) & set(r["pos"]) for r in mined)
 
 
+def test_fillers_come_from_the_whole_corpus(spark):
+    """3,000 texts, 300 rows without any negative: far more than a shared list would give are drawn, none twice in a row."""
+    rows = spark.range(300).select("id", F.lit("q").alias("query"), F.array(F.lit("p")).alias("pos"))
+    corpus = spark.range(3000).select(F.md5(F.concat(F.lit("t"), "id")).alias("text_id"))
+    none = spark.createDataFrame([], "id long, text_id string")
+    found = negatives.backfill_negatives(rows, none, corpus, n=15).collect()
+    by_row = {}
+    for r in found:
+        by_row.setdefault(r["id"], []).append((r["place"], r["text_id"]))
+    assert all(sorted(p for p, _ in v) == list(range(15)) and len({t for _, t in v}) == 15 for v in by_row.values())
+    assert len(by_row) == 300
+    assert len({r["text_id"] for r in found}) > 1800
+    assert len({tuple(t for _, t in sorted(v)) for v in by_row.values()}) == 300
+
+
+def test_nulls_do_not_cost_negatives(spark):
+    schema = "id long, query string, pos array<string>"
+    rows = spark.createDataFrame([(1, "q", ["p"]), (2, None, ["p"]), (3, "q", ["p", None]), (4, "q", None)], schema)
+    corpus = spark.createDataFrame([(f"t{i}",) for i in range(30)] + [("p",), ("q",)], "text string")
+    corpus = corpus.select(F.md5("text").alias("text_id"), "text")
+    negs = rows.select("id", F.md5(F.lit("t0")).alias("text_id"))
+    found = negatives.backfill_negatives(rows, negs, corpus, n=5).join(corpus, "text_id")
+    got = {r["id"]: r["n"] for r in found.groupBy("id").agg(F.countDistinct("text").alias("n")).collect()}
+    assert got == {1: 5, 2: 5, 3: 5, 4: 5}
+    texts = {(r["id"], r["text"]) for r in found.collect()}
+    assert not texts & {(1, "p"), (1, "q"), (2, "p"), (3, "p"), (3, "q"), (4, "q")}
+
+
+def test_a_small_corpus_is_used_up(spark):
+    rows = spark.createDataFrame([(1, "q", ["p"])], "id long, query string, pos array<string>")
+    corpus = spark.createDataFrame([(t,) for t in ("a", "b", "p")], "text string").select(F.md5("text").alias("text_id"))
+    none = spark.createDataFrame([], "id long, text_id string")
+    assert negatives.backfill_negatives(rows, none, corpus, n=15).count() == 2
+    assert negatives.backfill_negatives(rows, none, corpus.where("false"), n=15).count() == 0
+
+
 def test_candidate_pool_replaces_the_corpus(spark):
     pool = spark.createDataFrame([(f"pool text {i % 30}",) for i in range(60)], ["text"])
     mined = mine_hard_negatives(make_rows(spark, 10), pool, lo=0, hi=20, n=5).collect()
@@ -111,6 +149,73 @@ def test_score_columns_policy(spark):
         tables.score_columns_policy(df, distill=True, file="some.jsonl")
 
 
+def test_broken_lines_fail_the_read(spark, tmp_path):
+    path = tmp_path / "rows.jsonl"
+    path.write_text('{"id": 1, "t": "a"}\n{"id": 2, "t"\nnothing\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_jsonl(spark, str(path), "id long, t string").collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_training_dirs(spark, [str(path)], "id long, t string").collect()
+    kept = tables.read_jsonl(spark, str(path), "id long, t string", mode="DROPMALFORMED").collect()
+    assert [tuple(r) for r in kept] == [(1, "a")]
+
+
+def test_loading_asks_every_file_for_scores(spark, tmp_path):
+    row = {"id": 1, "query": "q", "pos": ["p1", "p2"], "neg": ["n"]}
+    scored = row | {"pos_scores": [0.5, 0.4], "neg_scores": [0.1]}
+    (tmp_path / "good.jsonl").write_text("\n".join(json.dumps(scored | {"id": i}) for i in range(30)))
+    (tmp_path / "bare.jsonl").write_text("\n".join(json.dumps(row | {"id": 100 + i}) for i in range(5)))
+    both, good = [str(tmp_path)], [str(tmp_path / "good.jsonl")]
+    with pytest.raises(ValueError, match="bare.jsonl") as error:
+        loading.load_training_rows(spark, both, distill=True)
+    assert "good.jsonl" not in str(error.value)
+    groups = loading.load_training_groups(spark, good, group_size=3, distill=True, q_inst="ask", q_fmt="{}: {}")
+    assert all(len(r["teacher_scores"]) == 3 and r["query"] == "ask: q" for r in groups.collect())
+    capped = loading.load_training_rows(spark, both, max_rows=10)
+    assert sorted(r["count"] for r in capped.groupBy("file").count().collect()) == [5, 10]
+    assert "pos_scores" not in capped.columns
+
+
+def test_groups_of_one_need_no_negatives(spark):
+    rows = spark.createDataFrame([(1, "q", ["p"], None)], "id long, query string, pos array<string>, neg array<string>")
+    assert training.training_groups(rows, group_size=1).first()["passages"] == ["p"]
+    with pytest.raises(Exception, match="no negatives in row 1"):
+        training.training_groups(rows, group_size=2).select("query").collect()
+
+
+def test_separators_are_no_patterns(spark):
+    df = spark.createDataFrame([("ab|c.d^e",)], "l string")
+    for sep, first in (("|", "ab"), (".", "ab|c"), ("^", "ab|c.d")):
+        assert labels.count_labels_single(df, "l", sep).first()["label"] == first
+        assert labels.count_labels_multi(df, "l", sep).count() == 2
+
+
+def test_queries_and_passages_have_their_own_encoders(spark):
+    """An encoder for either side: the query's says which passage is wanted, which one encoder for both can't."""
+    queries = spark.createDataFrame([("1", "one"), ("2", "two")], "id string, text string")
+    corpus = spark.createDataFrame([("a", ["uno"]), ("b", ["due"])], "id string, text array<string>")
+    axes = {"ask one": [1.0, 0.0], "ask two": [0.0, 1.0], "uno": [1.0, 0.0], "due": [0.0, 1.0]}
+    model = Model(lambda: lambda t: np.array([axes[x] for x in t]), lambda: lambda t: np.array([axes[x] for x in t]), "ask", "{} {}")
+    best = {r["qid"]: r["docid"] for r in search(queries, corpus, model, k=1).collect()}
+    assert best == {"1": "a", "2": "b"}
+
+
+def test_vector_sums_and_first_rows(spark):
+    rng = np.random.default_rng(0)
+    data = rng.standard_normal((400, 6))
+    rows = [(int(i % 7) if i % 50 else None, i, data[i].tolist() if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, pos int, vec array<double>").repartition(6)
+    sums = {r["k"]: r["vec"] for r in aggregates.vector_sum(df, ["k"], "vec").collect()}
+    means = {r["k"]: r["vec"] for r in aggregates.vector_mean(df, ["k"], "vec").collect()}
+    for key in {k for k, _, _ in rows}:
+        own = np.array([v for k, _, v in rows if k == key and v is not None])
+        assert sums[key] == pytest.approx(own.sum(axis=0)) and means[key] == pytest.approx(own.mean(axis=0))
+    for last in (False, True):
+        found = {r["k"]: r["pos"] for r in aggregates.first_by(df, "k", "pos", last).collect()}
+        pick = max if last else min
+        assert found == {key: pick(p for k, p, _ in rows if k == key) for key in {k for k, _, _ in rows}}
+
+
 def test_write_jsonl_keeps_order_nulls_and_characters(spark, tmp_path):
     df = spark.range(100).select((99 - F.col("id")).alias("id"), F.when(F.col("id") != 5, "형법").alias("t"))
     tables.write_jsonl(df.repartition(5), str(tmp_path / "out"), "id")
