@@ -174,7 +174,7 @@ def quality_scores(
 
     Null and empty texts are scored by what their page data say and an all-zero text view; other nulls have
     values of their own. Repeated rows are scored alike and returned as often as they come. Without labels
-    all scores are one half and everything is kept. An empty table gives no rows.
+    of both kinds all scores are one half and everything is kept. An empty table gives no rows.
     """
     columns = {c: c for c in ("doc_id", "text", "source", "lang", "n_chars")} | (columns or {})
     scratch = Scratch(docs.sparkSession, "cotraining")
@@ -184,9 +184,8 @@ def quality_scores(
     labelled = features.join(known, "doc_id")
     text_x, page_x, y = _sample(labelled, SAMPLE)
     held = np.arange(len(y)) % FOLDS == 0
-    prior = 0.0
-    if len(y) and y.min() < y.max():
-        prior = float(np.log(y.sum() / (len(y) - y.sum())))
+    trained = bool(len(y)) and y.min() < y.max()
+    prior = float(np.log(y.sum() / (len(y) - y.sum()))) if trained else 0.0
     extra = {v: (np.zeros((0, w)), np.zeros(0)) for v, w in (("text", TEXT_VIEW), ("page", PAGE_VIEW))}
     for turn in range(rounds):
         views = []
@@ -195,7 +194,7 @@ def quality_scores(
             fit_x, fit_y = np.vstack([x[~held], more_x]), np.concatenate([y[~held], more_y])
             views.append(fit_logistic(fit_x, fit_y, x[held], y[held]))
         text, page = views
-        if turn == rounds - 1 or prior == 0.0:
+        if turn == rounds - 1 or not trained:
             break
         scored = _scores(features, text, page).join(known, "doc_id", "left_anti").distinct()
         scored = scratch.keep(scored)
@@ -212,9 +211,7 @@ def quality_scores(
             extra[learner] = (np.vstack([f[at] for f in found]), np.concatenate([f[2] for f in found]))
     logits = _scores(features, text, page)
     probability = lambda z: 1 / (1 + F.exp(-z))
-    both = F.col("text_logit") + F.col("page_logit") - F.lit(prior)
-    if prior == 0.0:
-        both = F.lit(0.0)
+    both = F.col("text_logit") + F.col("page_logit") - F.lit(prior) if trained else F.lit(0.0)
     return logits.select(
         "doc_id",
         "text_hash",

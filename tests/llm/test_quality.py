@@ -148,6 +148,15 @@ def test_classifier_odd_and_empty(spark, odd, odd_rows, empty):
     assert quality_classifier.quality_scores(empty, labels).collect() == []
 
 
+def test_as_many_good_as_bad_labels_train_too(spark):
+    good, bad = "plain words of a common text stand here and there", "$$$ ### $$$ %%% *** $$$ ### !!! &&& ***"
+    rows = [(i, f"{good if i % 2 else bad} {i}", "en", "s", 50) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = docs.where("doc_id < 40").selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    kept = {r["doc_id"] for r in quality_classifier.keep_good(docs, labels).collect()}
+    assert kept == {i for i in range(60) if i % 2}
+
+
 def test_calibrated_logistic_regression():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))
