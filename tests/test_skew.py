@@ -246,3 +246,38 @@ def test_qrels_map_in_parts(spark):
     assert max(len(r["judgements"]) for r in maps) < 200
     assert {r["part"] for r in maps} == set(range(8))
     assert len({r["qid"] for r in metrics.qrels_map(qrels).collect()}) == metrics.qrels_map(qrels).count()
+
+
+def test_in_batch_losses_do_not_depend_on_blocks(spark):
+    """All scores of a batch against brute force, the batch in one block and cut in many."""
+    rng = np.random.default_rng(3)
+    docs = []
+    for i in range(60):
+        tokens = rng.standard_normal((int(rng.integers(1, 4)), 4))
+        words = rng.choice(9, 3, replace=False).tolist()
+        docs.append((i, 0 if i < 45 else 1, rng.standard_normal(4), tokens, {str(w): float(w) / 9 for w in words}))
+
+    def rows(turn):
+        return [
+            (b, i, (turn * v).tolist(), t.ravel().tolist(), 4, list(w.items()), i, True) for i, b, v, t, w in docs
+        ]
+
+    schema = "batch int, id long, dense array<double>, tokens array<double>, token_dim int, lexical array<struct<token:string,weight:double>>, group long, is_target boolean"
+    q, p = spark.createDataFrame(rows(1.0), schema), spark.createDataFrame(rows(-0.5), schema)
+    weights = {"dense": 1.0, "lexical": 0.3, "maxsim": 0.5}
+    want = {n: [] for n in [*weights, "ensemble"]}
+    for i, b, v, t, w in docs:
+        own = [d for d in docs if d[1] == b]
+        s = {
+            "dense": np.array([-0.5 * v @ d[2] for d in own]),
+            "lexical": np.array([sum(x * d[4].get(k, 0.0) for k, x in w.items()) for d in own]),
+            "maxsim": np.array([(t @ d[3].T).max(axis=1).mean() for d in own]),
+        }
+        s["ensemble"] = sum(weights[n] * s[n] for n in weights)
+        at = [d[0] for d in own].index(i)
+        for n in want:
+            x = s[n] / 0.5
+            want[n].append(np.log(np.exp(x).sum()) - x[at])
+    for rows_in_block in (512, 7):
+        got = losses.in_batch_losses(q, p, "batch", list(weights), weights, 0.5, rows=rows_in_block).first().asDict()
+        assert got == pytest.approx({n: float(np.mean(v)) for n, v in want.items()})
