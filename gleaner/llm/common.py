@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gleaner.session import new_path
 
 #: Words are runs of anything but ASCII white space; the Python side of it is bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
+SLICE_BYTES = 4 << 20  # of texts that a Python pass works on at once
 ROW = "_gleaner_row"  # a whole input row as one struct, so that its columns can't clash with ours
 
 
@@ -29,6 +32,14 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of steps whose results are written.
+
+        It does so once the driver's JVM has collected the finished plans, which else may take very long.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *kept: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         for df in kept:
@@ -36,13 +47,30 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` bytes; a longer row is a run of its own."""
+    row = batch.nbytes // max(1, batch.num_rows)
+    sizes = np.full(batch.num_rows, row, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type):
+            sizes = np.maximum(sizes, pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """One Python pass over the Arrow batches of each partition."""
+    """One Python pass over the rows of each partition, some SLICE_BYTES at a time, which bounds its memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for part in slices(batch):
+                if (out := fn(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
