@@ -22,7 +22,7 @@ def colliding(banded: DataFrame, scratch: Scratch) -> DataFrame:
         F.sum(F.col("par").cast("decimal(38,0)")).alias("total"),
         F.bit_xor(F.xxhash64("par")).alias("check"),
     )
-    shared = shared.where("n > 1").groupBy("n", "total", "check").agg(F.min("band").alias("band"))
+    shared = scratch.keep(shared.where("n > 1").groupBy("n", "total", "check").agg(F.min("band").alias("band")))
     return scratch.keep(banded.join(shared.select("band", "n"), "band"))
 
 

@@ -89,6 +89,7 @@ def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_c
     )
     different = scratch.keep(different)
     members = colliding(different.select("par", "one", F.explode("bands").alias("band")), scratch)
+    scratch.release()
     # The shingles of those paragraphs that collide, read again from their first places.
     wanted = members.select("par", "one.*").distinct().groupBy("doc_id", "text_hash")
     wanted = wanted.agg(F.collect_list(F.struct("place", "span", "par")).alias("wanted"))
@@ -111,7 +112,10 @@ def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_c
 
     fetched = arrow_pass(texts.join(wanted, same).select("text", "wanted"), fetch, "par long, shingles array<long>")
     fetched = scratch.keep(fetched.dropDuplicates(["par"]))
-    return tied(members, fetched, lambda found: found.values.to_numpy(), similar)
+    edges = scratch.keep(tied(members, fetched, lambda found: found.values.to_numpy(), similar))
+    scratch.drop(different, members, fetched)
+    scratch.release()
+    return edges
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Scratch]:
@@ -122,15 +126,20 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "paragraphs")
     table = scratch.keep(paragraph_table(docs, id_col, text_col))
-    edges = scratch.keep(similar_paragraphs(docs, table, scratch, id_col, text_col))
+    edges = similar_paragraphs(docs, table, scratch, id_col, text_col)
     roots = components(edges, scratch).withColumnsRenamed({"node": "par"})
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "place", "span")
-    one = table.groupBy("par").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("n"))
-    one = one.join(roots, "par", "left").withColumn("root", F.coalesce("root", "par"))
-    stays = one.groupBy("root").agg(F.min("one").alias("stays"), F.sum("n").alias("n")).where("n > 1")
-    several = scratch.keep(one.select("par", "root").join(stays, "root").select("par", "stays"))
-    out = table.select("doc_id", "text_hash", "place", "span", "par").join(several, "par").where(order != F.col("stays"))
-    out = out.select("doc_id", "text_hash", "place", "span").distinct()
+    # Most paragraphs stand alone: only those that come twice or are linked meet their occurrences.
+    several = table.groupBy("par").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("par")
+    linked = roots.select(F.explode(F.array("par", "root")).alias("par"))
+    several = scratch.keep(several.unionByName(linked).distinct().join(roots, "par", "left"))
+    found = table.select("doc_id", "text_hash", "place", "span", "par").join(several, "par")
+    found = found.withColumn("root", F.coalesce("root", "par")).drop("par")
+    found = scratch.keep(found.select("root", order.alias("at")))
+    scratch.drop(table)
+    scratch.release()
+    stays = scratch.keep(found.groupBy("root").agg(F.min("at").alias("stays")))
+    out = found.join(stays, "root").where("at != stays").select("at.doc_id", "at.text_hash", "at.place", "at.span").distinct()
     places = F.collect_list(F.struct("place", "span")).alias("places")
     return out.groupBy("doc_id", "text_hash").agg(places), scratch
 
