@@ -220,6 +220,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return (a[0] ^ b[0]).bit_count() <= FAR and similar(a[1], b[1])
 
     edges = scratch.keep(tied(members, fetched, take, alike))
+    scratch.drop(members, fetched)
+    scratch.release()
     roots = components(edges, scratch).withColumnsRenamed({"node": "par"})
     rooted = texts.select("par", "one").join(roots, "par", "left").withColumn("root", F.coalesce("root", "par"))
     return rooted.groupBy("root").agg(F.min("one").alias("one")).select("one.doc_id", "one.text_hash")
@@ -232,10 +234,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     without doc_id come last; a group of such rows alone keeps one. Texts without words are one group.
     """
     stands = near_copies(docs, id_col, text_col)
-    stands = stands.select(F.col("doc_id").alias("_keep"), F.col("text_hash").alias("_keep_hash"))
+    # Plain equal keys that stand for a null id too: the join and the window share one shuffle of the rows.
+    key = lambda c: [F.col(c).isNotNull().alias("_some"), F.coalesce(c, F.lit(0)).alias("_id")]
+    stands = stands.select(*key("doc_id"), F.coalesce("text_hash", F.lit(0)).alias("_hash"))
     text_hash = F.xxhash64(F.col(text_col).cast("string"))
-    rows = docs.select(F.struct("*").alias(ROW), F.col(id_col).cast("long").alias("_id"), text_hash.alias("_hash"))
-    same = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_keep_hash"))
-    kept = rows.join(stands, same, "left_semi")
-    place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
+    rows = docs.select(F.struct("*").alias(ROW), F.col(id_col).cast("long").alias("_own"), text_hash.alias("_hash"))
+    rows = rows.select(ROW, *key("_own"), "_hash")
+    kept = rows.join(stands, ["_some", "_id", "_hash"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("_some", "_id", "_hash").orderBy(F.lit(0)))
     return kept.withColumn("_n", place).where("_n = 1").select(f"{ROW}.*")
