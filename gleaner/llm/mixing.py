@@ -103,14 +103,14 @@ def mix_sources(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
+        F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"),
     )
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()))
     sources = scratch.keep(source_targets(rows, scratch, weights, share, most))
     schedule = scratch.keep(source_schedule(sources, scratch, most, block))
     times = schedule.groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"))
 
-    draw = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), "text_hash"))
     order = [F.col("source").isNull(), F.col("source"), draw, F.col("doc_id"), F.col("text_hash"), F.col("row")]
     laid = running_sum(rows, order, F.col("size"), "start", scratch)
     first = laid.groupBy("source").agg(F.min("start").alias("first"))
@@ -146,7 +146,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(
         F.struct("*").alias(ROW),
         F.col(id_col).cast("long").alias("_id"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("_hash"),
+        F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_hash"),
     )
     same = F.col("_id").eqNullSafe(F.col("_mix_id")) & (F.col("_hash") == F.col("_mix_hash"))
     repeated = rows.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.fingerprints import document_fingerprints
 from gleaner.llm.mixing import mix_sources
+from gleaner.llm.oracles import ORACLES  # noqa: F401
 from gleaner.llm.packing import pack_documents
 from gleaner.llm.paragraph_dedup import paragraph_removals
 from gleaner.llm.quality_classifier import quality_scores
@@ -79,5 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_mixing,
     )
 }
-#: The operators hash, train or pack in ways that SQL can't express; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+# The other operators hash, train or pack in ways that SQL can't express; tests hold them against brute force.
