@@ -1,6 +1,8 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import check
 import pytest
@@ -26,3 +28,9 @@ def test_query(spark, con, name):
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
     assert set(catalog.QUERIES) <= set(spark_entry.queries())
+
+
+def test_the_library_does_not_import_the_training_data_part():
+    code = "import sys, gleaner.catalog, gleaner.plans.loading; sys.exit(any(m.startswith('gleaner.llm') for m in sys.modules))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
