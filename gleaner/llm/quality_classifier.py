@@ -227,6 +227,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, columns: dict[str, str] | None
     names = {"doc_id": "doc_id", "text": "text"} | (columns or {})
     scores = quality_scores(docs, labels, columns).where("NOT kept").select("doc_id", "text_hash").distinct()
     scores = scores.withColumnsRenamed({"doc_id": "_bad_id", "text_hash": "_bad_hash"})
+    scores = Scratch(docs.sparkSession, "rejected").keep_small(scores)
     rows = docs.select(
         F.struct("*").alias(ROW),
         F.col(names["doc_id"]).cast("long").alias("_id"),
