@@ -14,15 +14,27 @@ from gleaner.session import new_path
 
 #: Words are runs of anything but ASCII white space; the Python side of it is bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20  # of texts that a Python pass works on at once
+SLICE_BYTES = 1 << 20  # of texts that a Python pass works on at once
 ROW = "_gleaner_row"  # a whole input row as one struct, so that its columns can't clash with ours
 
 
+#: Rows in an Arrow batch where the session has Spark's default of 10,000, which for texts is tens of megabytes
+#: on both sides of each worker.
+BATCH_ROWS, BATCH_SETTING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_BROADCAST = 100_000  # rows of a few numbers each, counted before they are broadcast
+
+
+def short_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 class Scratch:
     """Intermediate tables in the shared folder. Written tables survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.dir, self.used = spark, new_path(spark, name), 0
+        short_batches(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.used += 1
@@ -32,6 +44,11 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def keep_small(self, df: DataFrame) -> DataFrame:
+        """As keep; the table is broadcast to joins if it has MOST_BROADCAST rows or fewer, else shuffled."""
+        kept = self.keep(df)
+        return F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
+
     def release(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of steps whose results are written.
 
@@ -66,11 +83,15 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One Python pass over the rows of each partition, some SLICE_BYTES at a time, which bounds its memory."""
 
+    short_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 if (out := fn(part)) is not None:
                     yield out
+            # Arrow keeps what it has freed; a worker lives on and shares its memory with the next stages.
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -14,6 +14,7 @@ SIMILARITY = 0.8
 RECALL = 0.99  # of pairs just at the similarity
 ROWS = 2  # hashes in a band
 SEED = 42
+KNOWN = 100_000  # words whose hashes a task remembers before it starts anew
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -25,7 +26,7 @@ def word_hashes(parts: list[str], known: dict[bytes, int]) -> tuple[np.ndarray,
     """(hash of each word, number of words of each part); words are lower-cased in A-Z."""
     split = [p.encode("utf-8", "surrogatepass").lower().split() for p in parts]
     digest = xxhash.xxh64_intdigest
-    if len(known) > 500_000:
+    if len(known) > KNOWN:
         known.clear()
     found = []
     for words in split:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 300_000  # words a worker remembers; beyond it the cache starts anew, which changes no result
+CACHE = 200_000  # words a worker remembers; beyond it the cache starts anew, which changes no result
 SHORT = 64  # longer words are not remembered
 
 
