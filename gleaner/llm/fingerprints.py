@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,35 +36,31 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(F.lit(CHECK), digest)
 
 
-def sketch_string(digests: Column) -> Column:
-    """The sketch of 3 x 8 cells in base 64: of each cell the count, the keys' and the checks' exclusive-or."""
-    entries = F.transform(
-        digests,
-        lambda d: F.struct(
-            d.alias("key"), _check(d).alias("chk"), *[_address(d, t, BITS).alias(f"a{t}") for t in range(TABLES)]
-        ),
+def sketch_strings(dealt: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """(key, a string for each column): the sketch of 3 x 8 cells in base 64 of each column of digests.
+
+    Of each cell the count, the keys' and the checks' exclusive-or. Rows must be dealt by the key, which is
+    unique: then nothing is shuffled.
+    """
+    sides = [F.struct(F.lit(i).alias("side"), F.col(c).alias("keys")) for i, c in enumerate(columns)]
+    rows = dealt.select(key, F.explode(F.array(*sides)).alias("s")).select(key, "s.side", F.explode("s.keys").alias("key"))
+    address = F.array(*[_address(F.col("key"), t, BITS) for t in range(TABLES)])
+    rows = rows.select(key, "side", "key", _check(F.col("key")).alias("chk"), F.explode(address).alias("cell"))
+    cells = rows.groupBy(key, "side", "cell").agg(
+        F.count(F.lit(1)).alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk")
     )
+    digits = lambda c, n: F.lpad(F.hex(c), n, "0")
+    shown = F.concat(digits("cnt", 8), digits("key", 16), F.substring(digits("chk", 16), 9, 8))
+    place = F.col("side") * (TABLES << BITS) + F.col("cell").cast("int")
+    maps = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(place.alias("at"), shown.alias("hex")))).alias("m"))
+    maps = dealt.select(key).join(maps, key, "left")
 
-    def cell(table: int, i: Column) -> Column:
-        zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("cnt", "key", "chk")])
-        held = F.filter(entries, lambda e: e[f"a{table}"] == i)
-        total = F.aggregate(
-            held,
-            zero,
-            lambda a, e: F.struct(
-                (a["cnt"] + 1).alias("cnt"),
-                a["key"].bitwiseXOR(e["key"]).alias("key"),
-                a["chk"].bitwiseXOR(e["chk"]).alias("chk"),
-            ),
-        )
-        hexed = lambda c, n: F.lpad(F.hex(total[c]), n, "0")
-        return F.concat(hexed("cnt", 8), hexed("key", 16), F.substring(hexed("chk", 16), 9, 8))
-
-    tables = []
-    for table in range(TABLES):
-        cells = F.sequence(F.lit(table << BITS).cast("long"), F.lit(((table + 1) << BITS) - 1).cast("long"))
-        tables.append(F.array_join(F.transform(cells, partial(cell, table)), ""))
-    return F.translate(F.base64(F.unhex(F.concat(*tables))), "\r\n", "")
+    def text(side: int) -> Column:
+        places = F.sequence(F.lit(side * (TABLES << BITS)), F.lit((side + 1) * (TABLES << BITS) - 1))
+        found = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit("0" * 32)))
+        return F.translate(F.base64(F.unhex(F.array_join(found, ""))), "\r\n", "")
+
+    return maps.select(key, *[text(i).alias(name) for i, name in enumerate(columns.values())])
 
 
 def _next_ids(ids: DataFrame, scratch: Scratch) -> DataFrame:
@@ -89,26 +85,32 @@ def edited_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     larger id; of several rows there the smallest text is taken. Only the part of a text that its neighbour
     needs is sent to it, with the digests of the whole.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
     ids = rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
     chain = scratch.keep(_next_ids(ids, scratch))
+    # Plain equal keys that stand for a null id too, and no other column beside the text: both joins and the
+    # window then share one shuffle of the texts.
+    key = lambda c: (F.col(c).isNotNull(), F.coalesce(c, F.lit(0)))
+    rows = rows.select(*[k.alias(a) for k, a in zip(key("doc_id"), ("some", "id"))], "text")
     needs = chain.select(
-        F.col("next_id").alias("gives"), F.col("doc_id").alias("to_id"), F.floor(F.col("n_chars") / 2).alias("most")
+        *[k.alias(a) for k, a in zip(key("next_id"), ("some", "id"))],
+        *[k.alias(a) for k, a in zip(key("doc_id"), ("to_some", "to_id"))],
+        F.floor(F.col("n_chars") / 2).cast("int").alias("most"),
     )
-    giving = rows.join(needs, rows["doc_id"].eqNullSafe(needs["gives"]))
-    smallest = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    giving = rows.join(needs, ["some", "id"])
+    # Ties by text; several documents never have the same next one.
+    smallest = F.row_number().over(Window.partitionBy("some", "id").orderBy("text"))
     giving = giving.withColumn("place", smallest).where("place = 1")
     given = giving.select(
-        "to_id", F.substring("text", F.lit(1), F.col("most").cast("int")).alias("head"),
-        paragraph_digests(F.col("text")).alias("next_digests"),
+        F.col("to_some").alias("some"), F.col("to_id").alias("id"),
+        F.substring("text", F.lit(1), F.col("most")).alias("head"), paragraph_digests(F.col("text")).alias("next_digests"),
     )
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("head", F.lit(1), half))
-    both = rows.join(given, rows["doc_id"].eqNullSafe(given["to_id"]))
-    return both.select("doc_id", "text", edited.alias("edited"), "next_digests")
+    both = rows.join(given, ["some", "id"])
+    return both.select(F.when(F.col("some"), F.col("id")).alias("doc_id"), "text", edited.alias("edited"), "next_digests")
 
 
 def _peeled(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,18 +140,19 @@ def _peeled(cells: DataFrame, keys: list[str]) -> DataFrame:
     return out.where(~empty).drop("of")
 
 
-def sketch_differences(pairs: DataFrame) -> DataFrame:
-    """(pair, extra, lacks, left) for pairs (pair, bits, mine array, theirs array).
+def sketch_differences(pairs: DataFrame, names: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """(names, extra, lacks, left) for pairs (names, bits, mine array, theirs array).
 
     Both sides go into sketches of 3 x 2^bits cells, which are subtracted cell by cell; peeling then recovers
     the digests that mine has more (extra) and less (lacks). left counts cells that no round could empty.
-    Rows must be dealt by pair: then every step finds all rows of a pair in its task and shuffles nothing.
+    Rows must be dealt by some of the names, the key of a pair: then every step finds all rows of a pair in
+    its task and shuffles nothing.
     """
     sides = F.concat(
         F.transform("mine", lambda d: F.struct(d.alias("key"), F.lit(1).cast("long").alias("cnt"))),
         F.transform("theirs", lambda d: F.struct(d.alias("key"), F.lit(-1).cast("long").alias("cnt"))),
     )
-    keys = ["pair", "bits"]
+    keys = [*names, "bits"]
     entries = pairs.select(*keys, F.explode(sides).alias("e")).select(*keys, "e.*")
     entries = entries.withColumn("chk", _check(F.col("key")))
     address = F.array(*[_address(F.col("key"), t, F.col("bits")) for t in range(TABLES)])
@@ -160,32 +163,37 @@ def sketch_differences(pairs: DataFrame) -> DataFrame:
     cells = cells.where("cnt != 0 OR key != 0 OR chk != 0")
     cells = reduce(lambda c, _: _peeled(c, keys), range(ROUNDS), cells)
     some = lambda c: F.count(F.when(c, 1))
-    return cells.groupBy("pair").agg(
+    return cells.groupBy(*names).agg(
         some((F.col("cell") < 0) & (F.col("cnt") > 0)).alias("extra"),
         some((F.col("cell") < 0) & (F.col("cnt") < 0)).alias("lacks"),
         some(F.col("cell") >= 0).alias("left"),
     )
 
 
-def recovered_differences(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(pair, extra, lacks) for all pairs (pair, mine, theirs) that differ; sketches that fail are made larger.
+def recovered_differences(pairs: DataFrame, scratch: Scratch, names: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """(names, extra, lacks) for all pairs (names, mine, theirs) that differ; sketches that fail are made larger.
 
     The first sketch has 1.5 to 3 cells for each digest of the two sides, and each retry four times the
-    cells of the last. Failed pairs are read again from the written table.
+    cells of the last. Pairs come dealt by the first of the names; failed ones are dealt anew.
     """
     total = F.size("mine") + F.size("theirs")
     bits = F.greatest(F.lit(BITS), F.ceil(F.log2(total / 2 + 1)).cast("int"))
     left, done = pairs.withColumn("bits", bits), None
     while True:
-        tasks = left.agg(F.sum(F.size("mine") + F.size("theirs"))).first()[0] or 0
-        dealt = left.repartition(max(1, -(-tasks // DEALT)), "pair")
-        tried = scratch.keep(sketch_differences(dealt))
-        good = tried.where("left = 0").select("pair", "extra", "lacks")
+        tried = scratch.keep(sketch_differences(left, names))
+        good = tried.where("left = 0").select(*names, "extra", "lacks")
         done = good if done is None else done.unionByName(good)
-        failed = tried.where("left > 0").select("pair")
+        failed = tried.where("left > 0").select(*names)
         if failed.isEmpty():
             return done
-        left = scratch.keep(left.join(failed, "pair", "left_semi").withColumn("bits", F.col("bits") + 2))
+        left = scratch.keep(left.join(failed, list(names), "left_semi").withColumn("bits", F.col("bits") + 2))
+        left = dealt_out(left, names[0], F.size("mine") + F.size("theirs"))
+
+
+def dealt_out(rows: DataFrame, key: str, digests: Column) -> DataFrame:
+    """The rows hashed by the key over tasks of about DEALT digests."""
+    n = rows.agg(F.sum(digests)).first()[0] or 0
+    return rows.repartition(max(1, -(-n // DEALT)), key)
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,28 +215,27 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.col("next_digests").alias("following"),
     )
     base = scratch.keep(base.withColumn("row", F.monotonically_increasing_id()))
-    against = F.explode(
-        F.array(F.struct(F.lit(0).alias("k"), "edited"), F.struct(F.lit(1).alias("k"), F.col("following").alias("edited")))
-    )
-    pairs = base.select((F.col("row") * 2).alias("twice"), F.col("own").alias("mine"), against.alias("a"))
-    pairs = pairs.select((F.col("twice") + F.col("a.k")).alias("pair"), "mine", F.col("a.edited").alias("theirs"))
-    found = recovered_differences(pairs, scratch)
-    of = lambda k, c: F.max(F.when(F.col("pair") % 2 == k, F.col(c)))
-    found = found.groupBy(F.floor(F.col("pair") / 2).alias("row")).agg(
-        *[of(k, c).alias(f"{c}{k}") for k in (0, 1) for c in ("extra", "lacks")]
-    )
+    scratch.release()
+    dealt = dealt_out(base, "row", 3 * F.size("own") + F.size("edited") + F.size("following"))
+    against = [F.struct(F.lit(k).alias("k"), F.col(c).alias("theirs")) for k, c in enumerate(("edited", "following"))]
+    pairs = dealt.select("row", F.col("own").alias("mine"), F.explode(F.array(*against)).alias("a"))
+    found = recovered_differences(pairs.select("row", "mine", "a.*"), scratch, ("row", "k"))
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
+    found = found.groupBy("row").agg(*[of(k, c) for k in (0, 1) for c in ("extra", "lacks")])
+    prints = sketch_strings(dealt, "row", {"own": "fingerprint", "edited": "edited_fingerprint"})
 
     def likeness(k: int) -> Column:
         extra, lacks = (F.coalesce(f"{c}{k}", F.lit(0)) for c in ("extra", "lacks"))
-        either = F.size("own") + lacks
-        return F.when(either == 0, 1.0).otherwise((F.size("own") - extra) / either)
+        either = F.col("n_own") + lacks
+        return F.when(either == 0, 1.0).otherwise((F.col("n_own") - extra) / either)
 
-    return base.join(found, "row", "left").select(
+    scalars = dealt.select("row", "doc_id", "n_chars", "edited_sha256", F.size("own").alias("n_own"))
+    return scalars.join(found, "row", "left").join(prints, "row").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        sketch_string(F.col("own")).alias("fingerprint"),
-        sketch_string(F.col("edited")).alias("edited_fingerprint"),
+        "fingerprint",
+        "edited_fingerprint",
         likeness(0).alias("near_edited"),
         likeness(1).alias("near_next"),
     )
