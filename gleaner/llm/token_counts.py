@@ -15,7 +15,7 @@ from gleaner.llm.tokens import tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-SAMPLE_DOCS = 2_000  # documents, lowest text hashes first, that the frequent pre-tokens are taken from
+SAMPLE_DOCS = 2_000  # documents that the frequent pre-tokens are taken from
 FREQUENT = 32_768  # entries of the broadcast table: below 4 MB
 CACHE = 400_000  # entries a worker remembers before it starts anew
 SHORT = 64  # longer pre-tokens are not remembered
@@ -74,15 +74,18 @@ def frequent_lengths(docs: DataFrame, name: str = TOKENIZER, text_col: str = "te
     The table only saves work: a pre-token that is not in it is encoded where it is met, so no result
     depends on the sample.
     """
-    sample = docs.select(F.col(text_col).cast("string").alias("text"))
-    sample = sample.where("text is not null").orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS)
+    sample = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    # About twice as many by their hash, so that what goes through one task is bounded too.
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, docs.count()))
+    sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(SAMPLE_DOCS)
     pattern = regex.compile(PRE_TOKEN)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = Counter()
         for text in batch.column(0):
             found.update(p for p in pattern.findall(text.as_py()) if len(p) <= SHORT)
-        return pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()))], ["part", "n"])
+        columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "n"])
 
     counts = arrow_pass(sample, count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "part").limit(FREQUENT).collect()
