@@ -237,13 +237,15 @@ def repeated_in_hot_sets(candidates: DataFrame, length: int = LENGTH) -> DataFra
 def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
     """(t1, t2, spans): the byte ranges of each text that are covered by repeated strings, ends excluded."""
     rows = scratch.keep(segments(docs, id_col, text_col, length))
-    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written first, as is each aggregate that is joined below: then a join has plain rows on both sides, and
+    # adaptive execution can split the partition of a hot key.
+    often = scratch.keep(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     shared = scratch.keep(rows.join(often, "anchor", "left_semi"))
     scratch.drop(rows)
     # Equal segments are one from here on; a segment that comes twice is repeated as a whole.
     one = F.min(F.struct("doc_id", "t1", "at", "wins", "off")).alias("one")
     segs = scratch.keep(shared.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), one))
-    sets = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sets = scratch.keep(segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     wanted = segs.join(sets, "anchor").select("anchor", "seg", "size", "one.*")
     lists = wanted.groupBy("doc_id", "t1").agg(F.collect_list(F.struct("anchor", "seg", "size", "at", "wins", "off")).alias("w"))
     lists = lists.withColumnsRenamed({"doc_id": "_id", "t1": "_t1"})
@@ -272,7 +274,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     places = shared.join(runs, ["anchor", "seg"]).select(
         "t1", "t2", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi") + length).alias("b")
     )
-    return places.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return scratch.keep(places.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def remove_repeats(
