@@ -26,6 +26,21 @@ def colliding(banded: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(banded.join(shared.select("band", "n"), "band"))
 
 
+def sharing(rows: DataFrame, n_bands: int, scratch: Scratch) -> list[DataFrame]:
+    """For each band, (par, one, band) of the rows (par, one, band_0, ...) whose value several of them share.
+
+    One band is looked at after the other and its shuffles are released, so that disk never holds all bands.
+    """
+    found = []
+    for i in range(n_bands):
+        banded = rows.select("par", "one", F.col(f"band_{i}").alias("band"))
+        several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+        several = scratch.keep_small(several)
+        found.append(scratch.keep(banded.join(several, "band").select("par", "one", "band")))
+        scratch.release()
+    return found
+
+
 def ties(first: list[tuple], second: list[tuple], alike: Callable) -> Iterator[tuple[int, int]]:
     """Edges that join what alike pairs between two lists of (par, what is compared) join.
 

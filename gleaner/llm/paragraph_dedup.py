@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gleaner.llm.common import ROW, Scratch, arrow_pass, signed, spans, within
-from gleaner.llm.collisions import colliding, tied
+from gleaner.llm.collisions import colliding, sharing, tied
 from gleaner.llm.components import components
-from gleaner.llm.shingles import SIMILARITY, WIDTH, bands, identities, shingles, similar, tune_bands, word_hashes
+from gleaner.llm.shingles import (
+    SIMILARITY, WIDTH, bands_at, chain, identities, shingles, similar, tune_bands, word_hashes,
+)
 
 MIN_RUN = 20  # words that the repeated paragraphs of a run must have in all
 
@@ -30,8 +33,8 @@ def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     A paragraph is a line, and each sentence of a line too, so that a passage put into the midst of another
     line still has paragraphs of its own. place is its first sentence, span the number of them, par a 64-bit
-    hash of its words. Lines have bands, a hash for each MinHash band; sentences within a line have none and
-    match as equals, as do lines whose shingles are too few to reach the similarity with another number.
+    hash of its words. Both have bands, a hash for each MinHash band; those whose shingles are too few to
+    reach the similarity with another number have none and match as equals.
     """
     n_bands = tune_bands()
     least = math.ceil(SIMILARITY / (1 - SIMILARITY))  # of n and n + 1 shingles, n / (n + 1) must reach it
@@ -50,9 +53,6 @@ def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         words = spans(sizes)
         line_sizes = words[ends] - words[starts]
-        found, counts = shingles(hashes, line_sizes)
-        banded = counts >= least
-        values = bands(found[np.repeat(banded, counts)], counts[banded], n_bands)
         # Sentences that are not lines by themselves, then lines; a line counts as one paragraph of its words.
         alone = np.zeros(len(flat), dtype=bool)
         alone[starts[ends - starts == 1]] = True
@@ -62,7 +62,12 @@ def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         par = np.concatenate([identities(hashes, sizes)[inner], identities(hashes, line_sizes)[whole]])
         first = place[np.concatenate([inner, starts[whole]])]
         span = np.concatenate([np.ones(len(inner), dtype=np.int64), (ends - starts)[whole]])
-        lengths = np.concatenate([np.zeros(len(inner), dtype=np.int64), np.where(banded, n_bands, 0)[whole]])
+        # Lines and the sentences in them have their shingles in the same array, which is hashed once.
+        counts = np.concatenate([sizes[inner], line_sizes[whole]]) - WIDTH + 1
+        begins = words[np.concatenate([inner, starts[whole]])]
+        banded = counts >= least
+        values = bands_at(chain(hashes, WIDTH), begins[banded], counts[banded], n_bands)
+        lengths = np.where(banded, n_bands, 0)
         lists = pa.ListArray.from_arrays(pa.array(spans(lengths).astype(np.int32)), pa.array(signed(values.ravel())))
         owners = [batch.column(i).take(pa.array(owner)) for i in range(2)]
         columns = [*owners, pa.array(first), pa.array(span), pa.array(signed(par)), lists]
@@ -79,16 +84,24 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """Edges (u, v) between different lines of at least the similarity that share a band.
-
-    Lines that share a band value are compared in blocks, however many share it.
-    """
+def different_paragraphs(table: DataFrame, scratch: Scratch) -> DataFrame:
+    """(par, one, band_0, ...): the different paragraphs that have bands, each with its first occurrence."""
     different = table.where(F.size("bands") > 0).groupBy("par").agg(
         F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_hash", "place", "span")).alias("one")
     )
-    different = scratch.keep(different)
-    members = colliding(different.select("par", "one", F.explode("bands").alias("band")), scratch)
+    each = [F.col("bands")[i].alias(f"band_{i}") for i in range(tune_bands())]
+    return scratch.keep(different.select("par", "one", *each))
+
+
+def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """Edges (u, v) between the paragraphs of different_paragraphs of at least the similarity that share a band.
+
+    Those that share a band value are compared in blocks, however many share it. The table is deleted.
+    """
+    found = sharing(table, tune_bands(), scratch)
+    scratch.drop(table)
+    members = colliding(reduce(DataFrame.unionByName, found), scratch)
+    scratch.drop(*found)
     scratch.release()
     # The shingles of those paragraphs that collide, read again from their first places.
     wanted = members.select("par", "one.*").distinct().groupBy("doc_id", "text_hash")
@@ -101,8 +114,8 @@ def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_c
         pars, sets = [], []
         for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             cut = sentences(text)
-            lines = ["".join(cut[w["place"] : w["place"] + w["span"]]) for w in listed]
-            found, counts = shingles(*word_hashes(lines, {}))
+            listed_texts = ["".join(cut[w["place"] : w["place"] + w["span"]]) for w in listed]
+            found, counts = shingles(*word_hashes(listed_texts, {}))
             ends = spans(counts)
             pars += [w["par"] for w in listed]
             sets += [np.unique(found[a:b]) for a, b in zip(ends, ends[1:])]
@@ -113,7 +126,7 @@ def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_c
     fetched = arrow_pass(texts.join(wanted, same).select("text", "wanted"), fetch, "par long, shingles array<long>")
     fetched = scratch.keep(fetched.dropDuplicates(["par"]))
     edges = scratch.keep(tied(members, fetched, lambda found: found.values.to_numpy(), similar))
-    scratch.drop(different, members, fetched)
+    scratch.drop(members, fetched)
     scratch.release()
     return edges
 
@@ -125,15 +138,19 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     place, stays and all others may go.
     """
     scratch = Scratch(docs.sparkSession, "paragraphs")
-    table = scratch.keep(paragraph_table(docs, id_col, text_col))
-    edges = similar_paragraphs(docs, table, scratch, id_col, text_col)
+    whole = scratch.keep(paragraph_table(docs, id_col, text_col))
+    different = different_paragraphs(whole, scratch)
+    scratch.release()
+    table = scratch.keep(whole.drop("bands"))
+    scratch.drop(whole)
+    edges = similar_paragraphs(docs, different, scratch, id_col, text_col)
     roots = components(edges, scratch).withColumnsRenamed({"node": "par"})
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "place", "span")
     # Most paragraphs stand alone: only those that come twice or are linked meet their occurrences.
     several = table.groupBy("par").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("par")
     linked = roots.select(F.explode(F.array("par", "root")).alias("par"))
     several = scratch.keep(several.unionByName(linked).distinct().join(roots, "par", "left"))
-    found = table.select("doc_id", "text_hash", "place", "span", "par").join(several, "par")
+    found = table.join(several, "par")
     found = found.withColumn("root", F.coalesce("root", "par")).drop("par")
     found = scratch.keep(found.select("root", order.alias("at")))
     scratch.drop(table)
@@ -181,9 +198,9 @@ def _with_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def paragraph_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed_words, kept_text) of every row of docs.
 
-    A removed sentence is equal to one that stays elsewhere, or lies in a line that is equal or similar to one
-    that does (Jaccard of five-word shingles of at least 0.8, over any number of steps), and stands in a run
-    of such sentences of at least MIN_RUN words.
+    A removed sentence is equal or similar to a sentence or line that stays elsewhere, or lies in a line that
+    is (Jaccard of five-word shingles of at least 0.8, over any number of steps), and stands in a run of such
+    sentences of at least MIN_RUN words.
     Null and empty texts have no paragraphs and keep an empty text. Rows that repeat doc_id and text count as
     one text, so they lose the same paragraphs and none through one another. Null doc_ids come last in order.
     An empty table gives no rows.

@@ -69,18 +69,19 @@ def identities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return mix(total[ends[1:]] - total[ends[:-1]] + sizes.astype(np.uint64))
 
 
-def signatures(found: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
-    """MinHash signatures, a row for each paragraph; counts are all positive."""
-    starts = spans(counts)[:-1]
+def signatures(found: np.ndarray, starts: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
+    """MinHash signatures, a row for each paragraph of counts shingles from starts on; counts are all positive."""
+    ends = np.stack([starts, starts + counts], axis=1).ravel()  # every second run lies between two paragraphs
+    last = np.array([np.iinfo(np.uint64).max], dtype=np.uint64)  # so that an end may be the end of all
     keys = mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.stack([np.minimum.reduceat(mix(found ^ k), starts) for k in keys], axis=1)
+    return np.stack([np.minimum.reduceat(np.concatenate([mix(found ^ k), last]), ends)[::2] for k in keys], axis=1)
 
 
-def bands(found: np.ndarray, counts: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
-    """One hash of each MinHash band, a row for each paragraph; counts are all positive."""
+def bands_at(found: np.ndarray, starts: np.ndarray, counts: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
+    """One hash of each MinHash band, a row for each paragraph; paragraphs may overlap, counts are all positive."""
     if not len(counts):
         return np.zeros((0, n_bands), dtype=np.uint64)
-    values = signatures(found, counts, n_bands * rows).reshape(-1, n_bands, rows)
+    values = signatures(found, starts, counts, n_bands * rows).reshape(-1, n_bands, rows)
     with np.errstate(over="ignore"):
         out = np.ones(values.shape[:2], dtype=np.uint64) * np.arange(1, n_bands + 1, dtype=np.uint64)
         for i in range(rows):
@@ -88,6 +89,11 @@ def bands(found: np.ndarray, counts: np.ndarray, n_bands: int, rows: int = ROWS)
     return out
 
 
+def bands(found: np.ndarray, counts: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
+    """bands_at of paragraphs whose shingles follow one another."""
+    return bands_at(found, spans(counts)[:-1], counts, n_bands, rows)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sets of shingles."""
     shared = len(np.intersect1d(a, b, assume_unique=True))

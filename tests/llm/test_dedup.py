@@ -153,3 +153,44 @@ def test_paragraphs_odd_and_empty(odd, odd_rows, empty):
     assert 7 not in by_id or by_id[7] != by_id[6]
     assert paragraph_dedup.paragraph_removals(empty).collect() == []
     assert paragraph_dedup.remove_repeated_paragraphs(empty).collect() == []
+
+
+def near_passage(rng):
+    """Two texts that are unlike but for a passage with a word changed in each of its sentences."""
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    own = lambda: " ".join(word() for _ in range(30)).capitalize() + "."
+    passage = [[word() for _ in range(60)] for _ in range(3)]
+    changed = [[*s[:30], word(), *s[31:]] for s in passage]
+    said = lambda p: " ".join(" ".join(s) + "." for s in p)
+    return [f"{own()} {own()} {said(p)} {own()} {own()}" for p in (passage, changed)]
+
+
+def test_similar_sentences_within_unlike_lines(spark):
+    rng = np.random.default_rng(8)
+    texts = [t for _ in range(20) for t in near_passage(rng)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in paragraph_dedup.paragraph_removals(df).collect()}
+    assert [got[i]["n_removed"] for i in range(40)] == [0, 3] * 20
+    assert all(got[i]["removed_words"] == 180 * (i % 2) for i in range(40))
+
+
+def test_sentences_in_lines_against_brute_force(spark):
+    """Edges between all paragraphs, lines or not, are those of the exact similarity."""
+    rng = np.random.default_rng(9)
+    rows = list(enumerate(t for _ in range(10) for t in near_passage(rng)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from gleaner.llm.common import Scratch
+
+    scratch = Scratch(spark, "t")
+    table = scratch.keep(paragraph_dedup.paragraph_table(df, "doc_id", "text"))
+    at = {r["par"]: (r["doc_id"], r["place"], r["span"]) for r in table.collect()}
+    different = paragraph_dedup.different_paragraphs(table, scratch)
+    edges = paragraph_dedup.similar_paragraphs(df, different, scratch, "doc_id", "text").collect()
+    got = {frozenset((at[r["u"]], at[r["v"]])) for r in edges}
+    units = []
+    for i, text in rows:
+        cut = paragraph_dedup.sentences(text)
+        units += [((i, k, 1), plain_words(c)) for k, c in enumerate(cut)] + [((i, 0, len(cut)), plain_words(text))]
+    sets = [(at_, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for at_, w in units]
+    want = {frozenset((a, b)) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if len(x & y) >= 0.8 * len(x | y)}
+    assert got == want and len(want) == 30
