@@ -17,7 +17,7 @@ from gleaner.llm.shingles import bands, identities, shingles, similar, tune_band
 SEED = 42
 LANES = 4  # a fingerprint is tiled by the bit counts of so many equal parts of it
 TILE = 1024  # fingerprints in a tile: 8 KB
-FAR = 20  # bits that fingerprints of texts with a similarity of 0.8 may differ in: 10 on average, 3 deviations more
+COPY_RECALL = 0.9999  # of pairs of texts just at the similarity; higher than that of paragraphs
 _BLOCK = 255  # rows whose bits can be added up in one byte
 
 
@@ -162,64 +162,55 @@ def simhash_groups(
 
 
 def _copies_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, par, fp, bands): identity, fingerprint and MinHash bands of whole texts by five words."""
-    n_bands = tune_bands()
+    """(doc_id, text_hash, par, bands): identity and MinHash bands of whole texts by five words."""
+    n_bands = tune_bands(recall=COPY_RECALL)
     known: dict[bytes, int] = {}
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, sizes = word_hashes([t or "" for t in batch.column(2).to_pylist()], known)
         found, counts = shingles(hashes, sizes)
-        ends = spans(counts)
-        fps = np.array([_bit_majority(found[a:b]) for a, b in zip(ends, ends[1:])], dtype=np.uint64)
         some = counts > 0
         values = bands(found, counts[some], n_bands)
         lengths = np.where(some, n_bands, 0)
         lists = pa.ListArray.from_arrays(pa.array(spans(lengths).astype(np.int32)), pa.array(signed(values.ravel())))
-        columns = [*batch.columns[:2], pa.array(signed(identities(hashes, sizes))), pa.array(signed(fps)), lists]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "par", "fp", "bands"])
+        columns = [*batch.columns[:2], pa.array(signed(identities(hashes, sizes))), lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "par", "bands"])
 
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return arrow_pass(rows, make, "doc_id long, text_hash long, par long, fp long, bands array<long>")
+    return arrow_pass(rows, make, "doc_id long, text_hash long, par long, bands array<long>")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash) of the row that stands for each group of documents that are the same or nearly so.
 
-    Documents are linked when the Jaccard similarity of their five-word shingles is at least 0.8. Fingerprints
-    of such pairs lie up to FAR bits apart, where bit counts of tiles rule nothing out and where unrelated
-    pairs of a large table are found too. So tiles are blocks of documents that share a MinHash band; in them
-    fingerprints are compared by exclusive-or and bit count, and pairs within FAR bits by their shingles.
+    Documents are linked when the Jaccard similarity of their five-word shingles, each counted once, is at least
+    0.8. Those that share a MinHash band are compared by all their shingles in blocks; fingerprints rule
+    nothing out, because a passage that one text repeats more often than the other moves them far apart.
     Texts with the same words are one from the start, so copies cost nothing, and texts of fewer than five
     words are linked only to these.
     """
     scratch = Scratch(docs.sparkSession, "copies")
     table = scratch.keep(_copies_table(docs, id_col, text_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one")
-    texts = scratch.keep(table.groupBy("par").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), first))
+    texts = scratch.keep(table.groupBy("par").agg(F.first("bands").alias("bands"), first))
     members = colliding(texts.select("par", F.explode("bands").alias("band")), scratch)
-    wanted = texts.join(members.select("par").distinct(), "par", "left_semi").select("par", "fp", "one")
-    wanted = wanted.select(F.col("par"), F.col("fp"), F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
+    wanted = texts.join(members.select("par").distinct(), "par", "left_semi").select("par", "one")
+    wanted = wanted.select(F.col("par"), F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
     rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"]) & (rows["text_hash"] == wanted["_hash"]))
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, counts = shingles(*word_hashes([t or "" for t in batch.column(2).to_pylist()], {}))
+        found, counts = shingles(*word_hashes([t or "" for t in batch.column(1).to_pylist()], {}))
         ends = spans(counts)
         sets = [np.unique(found[a:b]) for a, b in zip(ends, ends[1:])]
         offsets = pa.array(spans(np.array([len(x) for x in sets])).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(sets))))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], lists], ["par", "fp", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column(0), lists], ["par", "shingles"])
 
-    fetched = arrow_pass(rows.select("par", "fp", "text"), fetch, "par long, fp long, shingles array<long>")
+    fetched = arrow_pass(rows.select("par", "text"), fetch, "par long, shingles array<long>")
     fetched = scratch.keep(fetched.dropDuplicates(["par"]))
 
-    def take(fp, found) -> tuple[int, np.ndarray]:
-        return fp.as_py() % (1 << 64), found.values.to_numpy()
-
-    def alike(a: tuple, b: tuple) -> bool:
-        return (a[0] ^ b[0]).bit_count() <= FAR and similar(a[1], b[1])
-
-    edges = scratch.keep(tied(members, fetched, take, alike))
+    edges = scratch.keep(tied(members, fetched, lambda found: found.values.to_numpy(), similar))
     scratch.drop(members, fetched)
     scratch.release()
     roots = components(edges, scratch).withColumnsRenamed({"node": "par"})

@@ -107,3 +107,17 @@ def test_drop_near_copies_on_odd_rows(odd):
     by_text = [r["text"] for r in kept]
     assert by_text.count(None) + by_text.count("") + by_text.count(" \n\t ") == 1
     assert sorted(r["doc_id"] for r in kept) == [1, 4, 5, 6, 8, 9, 10, 11, 11, 12, 13, 14]
+
+
+def test_near_copies_far_apart_by_fingerprint(spark):
+    """A passage repeated 1, 10 and 20 times, and texts of 8 and 9 words that share 4 of 5 shingles."""
+    rng = np.random.default_rng(4)
+    said = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n))
+    texts = []
+    for _ in range(30):
+        body, passage, short = said(104), said(19), said(8)
+        texts += [body + " " + " ".join([passage] * n) for n in (1, 10, 20)] + [short, f"{short} {said(1)}"]
+    root = groups(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if near(texts[i], texts[j])])
+    assert len(set(root)) == 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == sorted(set(root))
