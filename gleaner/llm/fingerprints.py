@@ -13,16 +13,22 @@ BITS = 3  # cells of a table of the printed sketch, as a power of two
 CHECK, ADDRESS = 7, 11  # seeds of a digest's check value and of its addresses
 ROUNDS = 8  # peeling rounds before a sketch counts as failed
 DEALT = 200_000  # digests in a task
-#: A paragraph ends with its line, or after a sentence whose last letter is one of these, so that long lines
-#: are cut too, where their content says so and not where they happen to begin.
-PARAGRAPH_END = r"\n|(?<=[a-h][.!?]) "
+#: A paragraph ends with its line and with every sentence, in any script; stops that no space follows are cut after.
+PARAGRAPH_END = (
+    r"\n|(?<=[.!?\u2026\u037E\u0589\u061F\u06D4\u0964\u0965\u1362][\"'\u201D\u2019\u00BB)\]]?) "
+    r"|(?<=[\u3002\uFF01\uFF1F\uFF61])(?![\u3002\uFF01\uFF1F\uFF61\u300D\u300F\uFF09\u201D\u2019])"
+)
+#: Longer sentences are cut too, every so many words from their beginning; a word without end is cut at 16 signs.
+SENTENCE_PART = r"\G( *+(?:[^ ]{1,16}+ *+){8})"
 
 _CELL = "struct<cell:bigint,cnt:bigint,key:bigint,chk:bigint,kind:int>"
 
 
 def paragraph_digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's paragraphs; null and empty texts have none."""
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END), lambda p: p != "")
+    sentences = F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END)
+    parts = F.transform(sentences, lambda s: F.split(F.regexp_replace(s, SENTENCE_PART, "$1\n"), "\n"))
+    pieces = F.filter(F.flatten(parts), lambda p: p != "")
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 

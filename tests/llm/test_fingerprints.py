@@ -98,3 +98,20 @@ def test_sketch_counts_every_digest(spark):
             cells = np.frombuffer(base64.b64decode(text), dtype=">u4").reshape(24, 4)
             assert cells[:, 0].reshape(3, 8).sum(axis=1).tolist() == [n, n, n]
     assert len(found) == 2
+
+
+def test_kept_half_is_likeness_in_any_script(spark):
+    """Texts of one line whose sentences end in other letters, digits or scripts, or that have no sentence ends."""
+    rng = np.random.default_rng(6)
+
+    def said(letters, n, end, between):
+        word = lambda: "".join(rng.choice(list(letters), 6))
+        return between.join(" ".join(word() for _ in range(9)) + end for _ in range(n))
+
+    texts = [said("opqrstuvw", 10, ".", " "), said("ABCXYZ", 10, "!", " "), said("0123456789", 10, ".", " ")]
+    texts += [said("абвгдежз", 10, ".", " "), said("αβγδεζη", 10, ";", " "), said("मनकहसर", 10, "।", " ")]
+    texts += [said("中文字漢語", 10, "。", "").replace(" ", ""), "".join(rng.choice(list("中文字漢語"), 600))]
+    texts += [said("opqrst", 10, "", " "), said("абвгд", 2, "", " ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.document_fingerprints(df).collect()}
+    assert all(0 < got[i]["near_edited"] < 1 and got[i]["near_next"] == 0 for i in range(len(texts)))
