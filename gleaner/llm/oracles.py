@@ -73,4 +73,49 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(
 FROM laid LEFT JOIN taken USING (r)
 """
 
-ORACLES = {"op9_suffix_dedup": OP9, "op10_mixing": OP10}
+#: Every query with every row, a component a row.
+OP11 = """
+WITH every AS (
+  SELECT r, vec_id, unnest(generate_series(1, len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x
+  FROM (SELECT row_number() OVER () AS r, * FROM embeddings)),
+parts AS (
+  SELECT r, vec_id, d, CAST(floor(1024 * x) AS BIGINT) AS x FROM every
+  WHERE r NOT IN (SELECT r FROM every WHERE x IS NULL OR NOT isfinite(x))),
+scores AS (
+  SELECT q.vec_id AS query_id, c.r, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.d = c.d AND q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id
+  GROUP BY q.r, q.vec_id, c.r, c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scores)
+WHERE rank <= 10
+"""
+
+#: Every item with every document that shares a term with it.
+OP13 = """
+WITH lowered AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents),
+tfs AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM lowered GROUP BY r, term),
+sizes AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY r),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+measures AS (SELECT r, 100 - 75 + ((75 * n * docs) // terms) AS m FROM sizes, totals),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tfs, totals GROUP BY term, docs),
+asked AS (
+  SELECT i, any_value(item_id) AS item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS i, item_id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM benchmark) GROUP BY i, term),
+scores AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN measures USING (r) GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+ORACLES = {"op9_suffix_dedup": OP9, "op10_mixing": OP10, "op11_exact_search": OP11, "op13_ranked_search": OP13}

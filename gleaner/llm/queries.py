@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.exact_search import search_embeddings
 from gleaner.llm.fingerprints import document_fingerprints
+from gleaner.llm.lexical_search import ranked_search
 from gleaner.llm.mixing import mix_sources
 from gleaner.llm.oracles import ORACLES  # noqa: F401
 from gleaner.llm.packing import pack_documents
@@ -14,6 +16,7 @@ from gleaner.llm.paragraph_dedup import paragraph_removals
 from gleaner.llm.quality_classifier import quality_scores
 from gleaner.llm.quality_rules import quality_rules
 from gleaner.llm.simhash import simhash_groups
+from gleaner.llm.spelling import planted_slip, spelling_variants
 from gleaner.llm.suffix_dedup import remove_repeats
 from gleaner.llm.token_counts import token_counts
 from gleaner.llm.training_order import write_training_order
@@ -65,6 +68,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("text_hash")
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), respell=planted_slip)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_suffix_dedup,
         op10_mixing,
+        op11_exact_search,
+        op12_spelling,
+        op13_ranked_search,
     )
 }
 # The other operators hash, train or pack in ways that SQL can't express; tests hold them against brute force.

@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_each_operator_has_one_query():
     names = [n for n in spark_entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in spark_entry.queries()
 
 
