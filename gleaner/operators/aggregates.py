@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 LSE_STEP = 500.0  # exp of half a step stays far inside the range of a double
 
@@ -14,9 +15,11 @@ LSE_STEP = 500.0  # exp of half a step stays far inside the range of a double
 def _by_group(table: pa.Table, keys: Sequence[str]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """(keys of each group in order of first occurrence, row numbers group by group, start of each group)."""
     placed = table.select(list(keys)).append_column("_at", pa.array(np.arange(len(table))))
-    groups = placed.group_by(list(keys), use_threads=False).aggregate([("_at", "list")])
+    groups = placed.group_by(list(keys), use_threads=False).aggregate([("_at", "list"), ("_at", "min")])
+    groups = groups.sort_by("_at_min")  # Arrow's own order of groups is none to rely on
     lists = groups.column("_at_list").combine_chunks()
-    return groups.select(list(keys)), lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1]
+    rows, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1]
+    return groups.select(list(keys)), rows, starts - (starts[0] if len(starts) else 0)
 
 
 def reduce_in_arrow(df: DataFrame, keys: Sequence[str], combine: Callable[[pa.Table], pa.Table]) -> DataFrame:
@@ -24,27 +27,31 @@ def reduce_in_arrow(df: DataFrame, keys: Sequence[str], combine: Callable[[pa.Ta
 
     It is used on each Arrow batch before the shuffle and on the rows of a key after it, so a hot key
     sends one row for each batch it is in, and wide vectors need neither sorting nor an expression for
-    each element.
+    each element. Whatever types and names combine gives its columns, rows go on in the schema of df: what is
+    held of one batch meets the next one in the same types.
     """
+    schema = df.schema.toNullable()
+    declared = to_arrow_schema(schema)
+
+    def combined(table: pa.Table) -> pa.Table:
+        return combine(table).select(declared.names).cast(declared).combine_chunks()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from combine(pa.Table.from_batches([batch])).combine_chunks().to_batches()
+                yield from combined(pa.Table.from_batches([batch])).to_batches()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last key of a batch may go on in the next one
+        held = declared.empty_table()  # the last key of a batch may go on in the next one
         for batch in batches:
             if batch.num_rows:
-                rows = pa.Table.from_batches([batch])
-                found = combine(rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+                found = combined(pa.concat_tables([held, pa.Table.from_batches([batch]).cast(declared)]))
                 yield from found.slice(0, len(found) - 1).to_batches()
                 held = found.slice(len(found) - 1)
-        if held is not None:
-            yield from held.to_batches()
+        yield from held.to_batches()
 
-    partial = df.mapInArrow(first, df.schema)
-    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, df.schema)
+    partial = df.mapInArrow(first, schema)
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, schema)
 
 
 def _vector_totals(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
@@ -56,6 +63,9 @@ def _vector_totals(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
     def combine(table: pa.Table) -> pa.Table:
         groups, order, starts = _by_group(table, keys)
         vectors = table.column(vec).combine_chunks()
+        sizes = np.diff(vectors.offsets.to_numpy())
+        if (sizes != sizes[0]).any():
+            raise ValueError("vectors of one column differ in length")
         matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
         sums = np.add.reduceat(matrix[order], starts, axis=0)
         counts = np.add.reduceat(table.column("_n").to_numpy()[order], starts)
