@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.catalog.inputs import DECISIONS_SQL, TRAINING_SQL, decisions, documents, laws, training_rows
 from gleaner.catalog.registry import query, table
 from gleaner.functions import text as tx
 from gleaner.operators import labels, metrics, negatives, records, sampling
-from gleaner.operators.embedding import embed_texts
+from gleaner.operators.embedding import Batches, embed_texts, hash_words
 from gleaner.plans.testset import build_test_set
 
 
@@ -226,6 +227,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("doc_id", "slot", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
 
 
+# The first words of every text: those that a maximum length leaves, the instruction included.
+@query(
+    "embed_first_words",
+    f"""WITH texts AS (
+  SELECT doc_id AS tid, array_to_string(list_slice(list_filter(string_split_regex('fact: ' || text, '[\\t-\\r ]+'), lambda w: w <> ''), 1, 12), ' ') AS text
+  FROM documents), {hashing_sql("texts", "v")}
+SELECT tid AS doc_id, CAST(slot AS INTEGER) AS slot, round(x::DOUBLE, 6) + 0.0 AS x FROM v_cells""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    batches = Batches(rows=64, padded=600, held=500)
+    vectors = embed_texts(
+        docs, "text", lambda: lambda texts: hash_words(pa.array(texts, pa.string()), 64), instruction="fact:",
+        instruction_format="{} {}", key="doc_id", max_length=12, batches=batches,
+    )
+    cells = vectors.select("doc_id", F.posexplode("vec").alias("slot", "x"))
+    return cells.select("doc_id", "slot", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
+
+
 @query(
     "compare_embeddings",
     """SELECT vec_id AS id, round(list_max(list_transform(list_zip(embedding, cast(embedding AS DOUBLE[])),

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.operators.embedding import Encoder, encode, instructed
+from gleaner.operators.embedding import Batches, Encoder, encode, instructed
 from gleaner.operators.knn import knn_topk
 from gleaner.operators.metrics import KS, compare_models
 from gleaner.operators.records import flatten_corpus
@@ -20,7 +20,8 @@ MakeEncoder = Callable[[], Encoder] | None
 @dataclass(frozen=True)
 class Model:
     """How a model encodes: passages by make_encoder, queries by make_query_encoder or else the same, each with
-    its own instruction before the text."""
+    its own instruction before the text and its own maximum length in words. batches bounds what an encoder gets
+    at once."""
 
     make_encoder: MakeEncoder = None
     make_query_encoder: MakeEncoder = None
@@ -28,6 +29,9 @@ class Model:
     query_format: str = "{}{}"
     passage_instruction: str | None = None
     passage_format: str = "{}{}"
+    query_max_length: int | None = None
+    passage_max_length: int | None = None
+    batches: Batches = Batches()
 
 
 def search(
@@ -37,10 +41,11 @@ def search(
     model = model if isinstance(model, Model) else Model(model)
     asked = instructed("text", model.query_instruction, model.query_format)
     told = instructed("text", model.passage_instruction, model.passage_format)
-    q_vec = encode(asked, model.make_query_encoder or model.make_encoder, dim).alias("q_vec")
+    q_vec = encode(asked, model.make_query_encoder or model.make_encoder, dim, model.query_max_length, model.batches).alias("q_vec")
     q = queries.select(F.col("id").alias("q_id"), q_vec)
     passages = flatten_corpus(corpus)
-    c = passages.select(F.col("id").alias("c_id"), encode(told, model.make_encoder, dim).alias("c_vec"))
+    c_vec = encode(told, model.make_encoder, dim, model.passage_max_length, model.batches).alias("c_vec")
+    c = passages.select(F.col("id").alias("c_id"), c_vec)
     hits = knn_topk(q, c, k, unique_ids=False)
     return hits.select(F.col("q_id").alias("qid"), F.col("c_id").alias("docid"), "score")
 
