@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.catalog.inputs import TRAINING_SQL, documents, training_rows
@@ -292,6 +295,26 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", title.alias("title"))
 
 
+# Files of three kinds: with scores, with scores that are all null, without the columns.
+@query(
+    "file_columns",
+    """SELECT doc_id AS id, doc_id % 3 < 2 AS pos_scores, doc_id % 3 < 2 AS neg_scores,
+       CASE WHEN doc_id % 3 = 0 THEN CAST(len(string_split(text, chr(10))) AS INTEGER) END AS n_scores
+FROM documents""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_path(spark, "kinds")
+    rows = _scored(training_rows(spark, sf_dir)).withColumn("kind", F.col("id") % 3)
+    nothing = F.lit(None).cast("array<double>")
+    for kind, part in enumerate((rows, rows.withColumns({"pos_scores": nothing, "neg_scores": nothing}), rows.drop("pos_scores", "neg_scores"))):
+        part.where(F.col("kind") == kind).write.option("ignoreNullFields", "false").json(f"{root}/{kind}")
+    folders = [f"{root}/{kind}" for kind in range(3)]
+    n_scores = F.when(F.col("pos_scores").isNotNull(), F.size("pos_scores")).alias("n_scores")
+    read = src.read_training_dirs(spark, folders).select("id", "file", n_scores)
+    # One row for each file: no bound is known, so the join picks its own way.
+    return read.join(src.file_columns(spark, folders), "file").select("id", "pos_scores", "neg_scores", "n_scores")
+
+
 @query(
     "respace_title",
     """SELECT doc_id AS id, '형법 제' || doc_id || '조의2 제3항 제' || n_chars || '호' AS title, text AS content
@@ -315,6 +338,34 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _make_word_stats():
+    """A batch function: the words of each text, its longest word in bytes and its first one."""
+
+    def stats(batch: pa.RecordBatch) -> dict:
+        words = [t.encode().split() for t in pc.fill_null(batch.column("text"), "").to_pylist()]
+        return {
+            "n_words": np.array([len(w) for w in words]), "longest": [max(map(len, w), default=0) for w in words],
+            "first": pa.array([w[0].decode() if w else None for w in words], pa.string()),
+        }
+
+    return stats
+
+
+@query(
+    "map_batches",
+    """WITH split AS (
+  SELECT *, list_filter(string_split_regex(text, '[\\t-\\r ]+'), lambda w: w <> '') AS words FROM documents)
+SELECT doc_id, lang, source, CAST(len(words) AS INTEGER) AS n_words,
+       CAST(coalesce(list_max(list_transform(words, lambda w: strlen(w))), 0) AS INTEGER) AS longest, words[1] AS first
+FROM split""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return records.map_batches(
+        docs, _make_word_stats, "n_words int, longest int, first string", ["text", "n_chars"], ["text"], batch_rows=200
+    )
+
+
 @query(
     "dense_ids",
     """SELECT row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS id, event_id, user_id
@@ -368,6 +419,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.epoch_batches(events, "event_id", 32, epoch=1, drop_last=True)
 
 
+@query(
+    "rank_batches",
+    """WITH placed AS (
+  SELECT event_id, row_number() OVER (ORDER BY md5('42:epoch2:' || event_id), event_id) - 1 AS place,
+         count(*) OVER () AS n FROM events),
+slots AS (
+  SELECT event_id, place, unnest(generate_series(place, (n + 383) // 384 * 384 - 1, n)) AS slot FROM placed)
+SELECT event_id, slot, slot // 64 AS batch, CAST(slot // 64 % 6 AS INTEGER) AS rank, slot // 384 AS step, slot > place AS padded
+FROM slots WHERE slot // 384 >= 1""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id")
+    return ordering.rank_batches(events, "event_id", 64, 6, epoch=2, first_step=1)
+
+
 _TEMPLATE = "Write #K# sentences that fit the rule. Give exactly #K# of them."
 
 
@@ -510,6 +576,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.max_token_len(training_rows(spark, sf_dir))
 
 
+def _make_byte_pair_counts():
+    """Token counts of a public byte-level tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+# No SQL: it can't split texts as the tokenizer's merges do. A test counts every text on its own.
+@query("max_token_len_subwords")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.max_token_len(training_rows(spark, sf_dir), make_tokenizer=_make_byte_pair_counts)
+
+
 _TEACHER_SQL = """
     list_transform(range(len(pos)), lambda i: CAST(i + 1 AS DOUBLE)) AS pos_scores,
     list_transform(range(len(neg)), lambda i: CAST(i AS DOUBLE) / 2) AS neg_scores"""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleaner.functions.text import instruction_text, render_prompt, respace_title
 from gleaner.functions.vectors import max_abs_diff
@@ -17,6 +21,61 @@ def map_rows(df: DataFrame, columns: dict[str, Column], remove: list[str] | None
     return df.withColumns(columns).drop(*(remove or []))
 
 
+BatchMap = Callable[[pa.RecordBatch], Mapping[str, pa.Array | np.ndarray | list]]
+
+
+def map_batches(
+    df: DataFrame,
+    make_fn: Callable[[], BatchMap],
+    schema: str | T.StructType,
+    remove: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
+    batch_rows: int = 1000,
+) -> DataFrame:
+    """A map of batches of rows: adds or replaces the columns of schema, then removes others.
+
+    make_fn runs once per task, so that costly state is made once, and returns a function from an Arrow batch
+    of at most batch_rows rows to the columns of the schema. It gets the given columns only (all if None); the
+    rows, their order and all other columns stay as they are. A result without one of the columns, of another
+    length or of values that are not of the declared type is an error. A function that is to make more or fewer
+    rows removes all columns that it doesn't return.
+    """
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    declared = declared.toNullable()
+    gone = set(remove) | set(declared.fieldNames())
+    kept = [f for f in df.schema.fields if f.name not in gone]
+    lacking = [c for c in [*remove, *(columns or ())] if c not in df.columns]
+    if lacking:
+        raise ValueError("no such columns: " + ", ".join(lacking))
+    if batch_rows < 1:
+        raise ValueError("batch_rows must be positive")
+    out = T.StructType([*kept, *declared.fields]).toNullable()
+    arrow, names = to_arrow_schema(out), declared.fieldNames()
+    whole = arrow.names[: len(kept)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make_fn()
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                found = fn(part.select(list(columns)) if columns is not None else part)
+                absent = [n for n in names if n not in found]
+                if absent:
+                    raise ValueError("the function returns no column " + ", ".join(absent))
+                made = [_as_array(found[n], arrow.field(n).type) for n in names]
+                if len({len(x) for x in made} | ({part.num_rows} if whole else set())) > 1:
+                    raise ValueError(f"the function made columns of {[len(x) for x in made]} rows of {part.num_rows}")
+                yield pa.RecordBatch.from_arrays([*(part.column(c).cast(arrow.field(c).type) for c in whole), *made], schema=arrow)
+
+    return df.mapInArrow(run, out)
+
+
+def _as_array(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def lift_query(df: DataFrame, law: str) -> DataFrame:
     """Old-format rows {id, query: {title, content}} to flat ones with a respaced title."""
     flat = {"title": respace_title(F.col("query.title"), law), "content": F.col("query.content")}
@@ -92,13 +151,53 @@ def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def max_token_len(df: DataFrame, tokens: Callable[[Column], Column] = whitespace_tokens) -> DataFrame:
-    """Largest token count of the queries, and of the passages over positives and negatives."""
+Tokenizer = Callable[[list[str]], Sequence[int]]
+
+
+def token_counts(make_tokenizer: Callable[[], Tokenizer], batch: int = 1000) -> Callable[[Column], Column]:
+    """An expression for the longest of the token counts of a list of texts, null for an empty list.
+
+    make_tokenizer runs once per task and returns a function from texts, `batch` at most, to their numbers of
+    tokens. Null texts are not counted.
+    """
+
+    @F.arrow_udf("int")
+    def longest(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = make_tokenizer()
+        for lists in parts:
+            texts = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            valid = texts.is_valid().to_numpy(zero_copy_only=False)
+            texts, row = texts.filter(pa.array(valid)), row[valid]
+            most = np.full(len(lists), -1, dtype=np.int64)
+            for at in range(0, len(texts), batch):
+                found = np.asarray(count(texts.slice(at, batch).to_pylist()), dtype=np.int64)
+                if len(found) != len(texts[at : at + batch]):
+                    raise ValueError(f"{len(found)} counts of {len(texts[at : at + batch])} texts")
+                np.maximum.at(most, row[at : at + batch], found)
+            yield pa.array(most, pa.int32(), mask=most < 0)
+
+    return longest
+
+
+def max_token_len(
+    df: DataFrame, tokens: Callable[[Column], Column] = whitespace_tokens,
+    make_tokenizer: Callable[[], Tokenizer] | None = None,
+) -> DataFrame:
+    """Largest token count of the queries, and of the passages over positives and negatives.
+
+    tokens is an expression for the tokens of a text. make_tokenizer takes its place where a library has to be
+    asked: it runs once per task, and what it returns counts the tokens of many texts at once.
+    """
     lists = [F.coalesce(c, F.array().cast("array<string>")) for c in ("pos", "neg") if c in df.columns]
-    longest = F.array_max(F.transform(F.concat(*lists), lambda t: F.size(tokens(t))))
-    return df.select(F.size(tokens(F.col("query"))).alias("q"), longest.alias("p")).agg(
-        F.max("q").alias("query_max_len"), F.max("p").alias("passage_max_len")
-    )
+    passages = F.concat(*lists)
+    if make_tokenizer:
+        longest = token_counts(make_tokenizer)
+        found = df.select(longest(F.array("query")).alias("q"), longest(passages).alias("p"))
+    else:
+        counts = F.transform(passages, lambda t: F.size(tokens(t)))
+        found = df.select(F.size(tokens(F.col("query"))).alias("q"), F.array_max(counts).alias("p"))
+    return found.agg(F.max("q").alias("query_max_len"), F.max("p").alias("passage_max_len"))
 
 
 def compare_embeddings(

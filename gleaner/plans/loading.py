@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleaner.functions.draws import SEED
 from gleaner.operators.sampling import cap_rows
 from gleaner.operators.training import apply_instruction, training_groups
-from gleaner.sources.tables import read_training_dirs, score_columns_policy
+from gleaner.sources.tables import file_columns, read_training_dirs, score_columns_policy
 
 
 def load_training_rows(
@@ -21,11 +21,12 @@ def load_training_rows(
 ) -> DataFrame:
     """The rows of all files among the entries, at most max_rows of each file, with column file.
 
-    With distill every file must have score columns; without it they are dropped. Rows of a file are sampled
+    With distill every file must have score columns, asked of the keys of its lines; without it they are dropped. Rows of a file are sampled
     by their content, so it does not matter how files are split.
     """
     rows = read_training_dirs(spark, entries)
-    rows = score_columns_policy(rows, distill, file_col="file")
+    columns = file_columns(spark, entries) if distill else None
+    rows = score_columns_policy(rows, distill, file_col="file", columns=columns)
     content = F.md5(F.to_json(F.struct(*[c for c in rows.columns if c != "file"])))
     return cap_rows(rows.withColumn("_key", content), "file", "_key", max_rows, seed).drop("_key")
 

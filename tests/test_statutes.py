@@ -102,8 +102,9 @@ def test_query_table(spark):
     ]
 
 
+@pytest.mark.parametrize("hot_rows", [None, 10, 1])
 @pytest.mark.parametrize("step", [1, 1_000_000])
-def test_carry_headings_does_not_depend_on_the_ranges(spark, step):
+def test_carry_headings_does_not_depend_on_the_ranges(spark, step, hot_rows):
     """One hot group, one small and one of NULL; sequences dense or as sparse as time stamps."""
     sizes = {"a": 60, "b": 5, None: 20}
     rows = [
@@ -114,11 +115,17 @@ def test_carry_headings_does_not_depend_on_the_ranges(spark, step):
     try:
         for n in ("1", "5", "40"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            found = ordering.carry_headings(df, "g", "s", content=None).select("g", "s", "part", "chapter")
+            found = ordering.carry_headings(df, "g", "s", content=None, hot_rows=hot_rows).select("g", "s", "part", "chapter")
             outs.append(sorted(map(tuple, found.collect()), key=repr))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
     assert outs[0] == outs[1] == outs[2] and len(outs[0]) == 85
+    want, part, chapter = [], {}, {}
+    for g, s, p, c in rows:
+        part[g] = p if p is not None else part.get(g, 0)
+        chapter[g] = c if c is not None else 0 if p is not None else chapter.get(g, 0)
+        want.append((g, s, part[g], chapter[g]))
+    assert outs[0] == sorted(want, key=repr)
     assert ("a", 8 * step, 1, 0) in outs[0] and ("a", 10 * step, 1, 3) in outs[0]
 
 
