@@ -32,7 +32,7 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(documents(spark, sf_dir))
+    return simhash_groups(documents(spark, sf_dir)).drop("group", "text_hash")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

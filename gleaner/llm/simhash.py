@@ -9,15 +9,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleaner.llm.collisions import colliding, tied
-from gleaner.llm.common import ROW, Scratch, arrow_pass, id_and_text, signed, spans
+from gleaner.llm.common import ROW, Scratch, arrow_pass, id_and_text, signed
 from gleaner.llm.components import components
-from gleaner.llm.shingles import bands, identities, shingles, similar, tune_bands, word_hashes
 
 SEED = 42
 LANES = 4  # a fingerprint is tiled by the bit counts of so many equal parts of it
 TILE = 1024  # fingerprints in a tile: 8 KB
-COPY_RECALL = 0.9999  # of pairs of texts just at the similarity; higher than that of paragraphs
 _BLOCK = 255  # rows whose bits can be added up in one byte
 
 
@@ -48,13 +45,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row; null and blank texts have fingerprint 0."""
+    """(doc_id, text_hash, fp long) of every row; null and blank texts have fingerprint 0."""
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(fps))], ["doc_id", "fp"])
+        fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(signed(fps))], ["doc_id", "text_hash", "fp"])
 
-    return arrow_pass(id_and_text(docs, id_col, text_col), digest, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return arrow_pass(rows, digest, "doc_id long, text_hash long, fp long")
 
 
 def _cell(fp: Column) -> Column:
@@ -137,10 +135,11 @@ def close_edges(distinct: DataFrame, scratch: Scratch, radius: int = 2) -> DataF
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every document.
+    """(doc_id, fingerprint, component_id, group, text_hash) for every document.
 
     Documents are linked when their fingerprints differ in at most radius bits; component_id is the smallest
-    doc_id reachable. Texts without words have fingerprint zero and are linked like any other. A row without
+    doc_id reachable, and group names the component also where ids are null or repeated. Texts without words
+    have fingerprint zero and are linked like any other. A row without
     doc_id keeps a null id and takes part; a component of such rows alone has a null component_id. Repeated
     rows are returned as often as they come. An empty table gives an empty result.
 
@@ -156,78 +155,27 @@ def simhash_groups(
     rooted = groups.join(roots, groups["fp"] == roots["node"], "left")
     rooted = scratch.keep(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def _copies_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, par, bands): identity and MinHash bands of whole texts by five words."""
-    n_bands = tune_bands(recall=COPY_RECALL)
-    known: dict[bytes, int] = {}
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, sizes = word_hashes([t or "" for t in batch.column(2).to_pylist()], known)
-        found, counts = shingles(hashes, sizes)
-        some = counts > 0
-        values = bands(found, counts[some], n_bands)
-        lengths = np.where(some, n_bands, 0)
-        lists = pa.ListArray.from_arrays(pa.array(spans(lengths).astype(np.int32)), pa.array(signed(values.ravel())))
-        columns = [*batch.columns[:2], pa.array(signed(identities(hashes, sizes))), lists]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "par", "bands"])
-
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return arrow_pass(rows, make, "doc_id long, text_hash long, par long, bands array<long>")
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    named = rooted.join(ids, "root").select("fp", "component_id", digits("root").alias("group"))
+    return fps.join(named, "fp").select("doc_id", digits("fp").alias("fingerprint"), "component_id", "group", "text_hash")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash) of the row that stands for each group of documents that are the same or nearly so.
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3
+) -> DataFrame:
+    """The rows of docs, all columns, with one row of each group of simhash_groups: the one with the smallest doc_id.
 
-    Documents are linked when the Jaccard similarity of their five-word shingles, each counted once, is at least
-    0.8. Those that share a MinHash band are compared by all their shingles in blocks; fingerprints rule
-    nothing out, because a passage that one text repeats more often than the other moves them far apart.
-    Texts with the same words are one from the start, so copies cost nothing, and texts of fewer than five
-    words are linked only to these.
+    Of several rows with that doc_id the one with the smallest text hash stays, and of repeated rows one. Rows
+    without doc_id come last; a group of such rows alone keeps one. Texts without words are one group. A null
+    in another column is kept as it is; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "copies")
-    table = scratch.keep(_copies_table(docs, id_col, text_col))
+    groups = simhash_groups(docs, id_col, text_col, radius, width)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one")
-    texts = scratch.keep(table.groupBy("par").agg(F.first("bands").alias("bands"), first))
-    members = colliding(texts.select("par", F.explode("bands").alias("band")), scratch)
-    wanted = texts.join(members.select("par").distinct(), "par", "left_semi").select("par", "one")
-    wanted = wanted.select(F.col("par"), F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
-    rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"]) & (rows["text_hash"] == wanted["_hash"]))
-
-    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, counts = shingles(*word_hashes([t or "" for t in batch.column(1).to_pylist()], {}))
-        ends = spans(counts)
-        sets = [np.unique(found[a:b]) for a, b in zip(ends, ends[1:])]
-        offsets = pa.array(spans(np.array([len(x) for x in sets])).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(sets))))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists], ["par", "shingles"])
-
-    fetched = arrow_pass(rows.select("par", "text"), fetch, "par long, shingles array<long>")
-    fetched = scratch.keep(fetched.dropDuplicates(["par"]))
-
-    edges = scratch.keep(tied(members, fetched, lambda found: found.values.to_numpy(), similar))
-    scratch.drop(members, fetched)
-    scratch.release()
-    roots = components(edges, scratch).withColumnsRenamed({"node": "par"})
-    rooted = texts.select("par", "one").join(roots, "par", "left").withColumn("root", F.coalesce("root", "par"))
-    return rooted.groupBy("root").agg(F.min("one").alias("one")).select("one.doc_id", "one.text_hash")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with one row of each group of near_copies: the one with the smallest doc_id.
-
-    Of several rows with that doc_id the one with the smallest text hash stays, and of repeated rows one. Rows
-    without doc_id come last; a group of such rows alone keeps one. Texts without words are one group.
-    """
-    stands = near_copies(docs, id_col, text_col)
+    stands = scratch.keep(groups.groupBy("group").agg(first)).select("one.doc_id", "one.text_hash").distinct()
     # Plain equal keys that stand for a null id too: the join and the window share one shuffle of the rows.
     key = lambda c: [F.col(c).isNotNull().alias("_some"), F.coalesce(c, F.lit(0)).alias("_id")]
-    stands = stands.select(*key("doc_id"), F.coalesce("text_hash", F.lit(0)).alias("_hash"))
+    stands = stands.select(*key("doc_id"), F.col("text_hash").alias("_hash"))
     text_hash = F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(F.struct("*").alias(ROW), F.col(id_col).cast("long").alias("_own"), text_hash.alias("_hash"))
     rows = rows.select(ROW, *key("_own"), "_hash")
