@@ -36,10 +36,10 @@ class Scratch:
         self.spark, self.dir, self.used = spark, new_path(spark, name), 0
         short_batches(spark)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
         self.used += 1
         path = f"{self.dir}/{self.used}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept

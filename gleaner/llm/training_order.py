@@ -125,7 +125,7 @@ def write_training_order(
     inside sequences; doc_ids are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "order")
-    made = scratch.keep(token_sequences(docs, id_col, text_col, length, tokenizer))
+    made = scratch.keep(token_sequences(docs, id_col, text_col, length, tokenizer), compression="zstd")
     parts = made.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))  # a row for each input partition
     before = F.sum("rows").over(Window.orderBy("part")) - F.col("rows")
     parts = scratch.keep(parts.select("part", before.alias("before"), "rows"))
