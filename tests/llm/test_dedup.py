@@ -77,8 +77,8 @@ def plain_words(text):
 
 
 def plain_removed(rows):
-    """Sentences that go, by comparing all lines with all lines."""
-    units = []  # (order, words, is a line)
+    """Sentences that go, by comparing all lines and all sentences in them with one another."""
+    units = []  # (order, row, words)
     parts = {}
     for k, (doc_id, text) in enumerate(rows):
         cut = paragraph_dedup.sentences(text or "")
@@ -90,16 +90,16 @@ def plain_removed(rows):
             while end < len(cut) and not cut[end - 1].endswith("\n"):
                 end += 1
             for i in range(at, end) if end - at > 1 else ():
-                units.append(((doc_id, i, 1), k, plain_words(cut[i]), False))
-            units.append(((doc_id, at, end - at), k, plain_words("".join(cut[at:end])), True))
+                units.append(((doc_id, i, 1), k, plain_words(cut[i])))
+            units.append(((doc_id, at, end - at), k, plain_words("".join(cut[at:end]))))
             at = end
     units = [u for u in units if len(u[2]) >= 5]
-    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, _, w, _ in units]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, _, w in units]
     links = []
     for i in range(len(units)):
         for j in range(i):
             a, b = shingles[i], shingles[j]
-            alike = units[i][3] and units[j][3] and len(a & b) >= 0.8 * len(a | b)
+            alike = len(a & b) >= 0.8 * len(a | b)
             if units[i][2] == units[j][2] or alike:
                 links.append((i, j))
     root = groups(len(units), links)

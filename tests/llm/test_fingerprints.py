@@ -14,8 +14,35 @@ from gleaner.llm.queries import op6_fingerprints
 SF = "/root/testdata/sf0.001"
 
 
+STOPS, CLOSING = ".!?\u2026\u037e\u0589\u061f\u06d4\u0964\u0965\u1362", "\"'\u201d\u2019\u00bb)]"
+WIDE, WIDE_CLOSING = "\u3002\uff01\uff1f\uff61", "\u300d\u300f\uff09\u201d\u2019"
+
+
+def ends_sentence(text):
+    return text[-1:] in STOPS and text != "" or len(text) > 1 and text[-1] in CLOSING and text[-2] in STOPS
+
+
 def cut(text):
-    return {p for p in re.split(r"\n|(?<=[a-h][.!?]) ", text) if p}
+    """Pieces by one walk over the text: lines, sentences, and long sentences every eight words of 16 signs at most."""
+    pieces, piece = [], ""
+    for i, c in enumerate(text):
+        if c == "\n" or c == " " and ends_sentence(text[:i][-2:]):
+            pieces.append(piece)
+            piece = ""
+            continue
+        piece += c
+        if c in WIDE and text[i + 1 : i + 2] not in WIDE + WIDE_CLOSING or c in WIDE and i + 1 == len(text):
+            pieces.append(piece)
+            piece = ""
+    pieces.append(piece)
+    out = set()
+    for p in pieces:
+        at = 0
+        while m := re.compile(r" *(?:[^ ]{1,16} *){8}").match(p, at):  # greedy: a word goes on to 16 signs
+            out.add(p[at : m.end()])
+            at = m.end()
+        out.add(p[at:])
+    return out - {""}
 
 
 def likeness(a, b):
