@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: same words, or five-word shingles with a similarity of 0.8 or more."""
-    return drop_near_copies(docs)
+    """One document of each group stays whose SimHash fingerprints of three-word shingles lie within two bits."""
+    return drop_near_copies(docs, radius=2, width=3)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
