@@ -12,7 +12,7 @@ from gleaner.catalog.inputs import (
 from gleaner.catalog.registry import query
 from gleaner.catalog.relation_queries import TEST_SET_SQL, hashing_sql
 from gleaner.operators import metrics, negatives, sampling
-from gleaner.operators.knn import knn_topk
+from gleaner.operators.knn import knn_pruned, knn_topk
 from gleaner.plans.evaluation import Model, evaluate
 from gleaner.plans.mining import mine_hard_negatives, mine_negative_ids
 from gleaner.plans.testset import build_test_set
@@ -56,6 +56,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return self_search(spark, sf_dir, DEPTH).withColumn("score", F.round("score", 6))
 
 
+# The nearest vectors of each, with blocks that can't hold one left out before any product.
+@query(
+    "knn_pruned",
+    f"WITH {_search_sql(10)} SELECT q_id, c_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = vectors(spark, sf_dir).select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+    c = vectors(spark, sf_dir).select(F.col("id").alias("c_id"), F.col("vec").alias("c_vec"))
+    return knn_pruned(q, c, 10).withColumn("score", F.round("score", 6))
+
+
 @query(
     "knn_best_passage",
     """WITH scored AS (

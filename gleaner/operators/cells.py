@@ -79,11 +79,14 @@ def cross_blocks(
 
     l = left.withColumn("_lb", lb).withColumn("_rb", every(n_rb))
     r = detached(right).withColumn("_rb", rb).withColumn("_lb", every(n_lb))
-    l, r = (
-        df.withColumn("_cell", F.col("_lb").cast("long") * n_rb + F.col("_rb")).drop("_lb", "_rb").repartitionById(tasks, F.pmod("_cell", F.lit(tasks).cast("long")).cast("int"))
-        for df in (l, r)
-    )
-    return l.groupBy("_cell").cogroup(r.groupBy("_cell")).applyInArrow(kernel, schema)
+    cell = F.col("_lb").cast("long") * n_rb + F.col("_rb")
+    return in_cells(*(df.withColumn("_cell", cell).drop("_lb", "_rb") for df in (l, r)), tasks, kernel, schema)
+
+
+def in_cells(left: DataFrame, right: DataFrame, tasks: int, kernel, schema) -> DataFrame:
+    """kernel(left, right) -> table over the rows of each cell (column _cell); tasks take the cells in turn."""
+    left, right = (df.repartitionById(tasks, F.pmod("_cell", F.lit(tasks).cast("long")).cast("int")) for df in (left, right))
+    return left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(kernel, schema)
 
 
 def _hot_batches(left: DataFrame, right: DataFrame, batch: str, rows: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import attention, cells, losses, metrics, sampling, scores
 from gleaner.operators.aggregates import log_sum_exp
-from gleaner.operators.knn import block_counts, knn_topk
+from gleaner.operators.knn import block_counts, knn_pruned, knn_topk
 from gleaner.operators.skew import hot_keys, left_join_hot_right, skew_join
 
 
@@ -281,3 +281,37 @@ def test_in_batch_losses_do_not_depend_on_blocks(spark):
     for rows_in_block in (512, 7):
         got = losses.in_batch_losses(q, p, "batch", list(weights), weights, 0.5, rows=rows_in_block).first().asDict()
         assert got == pytest.approx({n: float(np.mean(v)) for n, v in want.items()})
+
+
+def _sides(spark, queries, corpus):
+    as_rows = lambda m: [(i, v.tolist()) for i, v in enumerate(m)]
+    q = spark.createDataFrame(as_rows(queries), "q_id long, q_vec array<float>")
+    return q, spark.createDataFrame(as_rows(corpus), "c_id long, c_vec array<float>")
+
+
+@pytest.mark.parametrize("kind", ["clusters", "no clusters", "copies"])
+@pytest.mark.parametrize("block_bytes", [None, 1])
+def test_pruned_search_finds_the_same_rows(spark, kind, block_bytes):
+    rng = np.random.default_rng(11)
+    spread = 0.05 if kind == "clusters" else 1.0
+    centres = rng.standard_normal((20, 16)) * (1 if kind == "clusters" else 0.0)
+    corpus = (centres[rng.integers(0, 20, 3000)] + spread * rng.standard_normal((3000, 16))).astype(np.float32)
+    queries = (centres[rng.integers(0, 20, 200)] + spread * rng.standard_normal((200, 16))).astype(np.float32)
+    if kind == "copies":
+        corpus[500:2500] = corpus[0]
+        queries[:150] = corpus[0]
+    q, c = _sides(spark, queries, corpus)
+    told = []
+    found = knn_pruned(q, c, 15, n_blocks=40, block_bytes=block_bytes, report=told.append)
+    want = knn_topk(q, c, 15)
+    assert rows_of(found, "q_id", "c_id", "score", "rank") == rows_of(want, "q_id", "c_id", "score", "rank")
+    skipped = float(told[0].split("%")[0].split()[-1])
+    assert (skipped > 60) if kind == "clusters" else (0 <= skipped < 100)
+
+
+def test_pruned_search_of_few_rows_null_vectors_and_nothing(spark):
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", None)], "id string, vec array<float>")
+    q, c = df.selectExpr("id q_id", "vec q_vec"), df.selectExpr("id c_id", "vec c_vec")
+    got = rows_of(knn_pruned(q, c, 5), "q_id", "c_id", "rank")
+    assert got == [("a", "a", 1), ("a", "b", 2), ("b", "a", 1), ("b", "b", 2)]
+    assert knn_pruned(q.limit(0), c, 5).collect() == [] == knn_pruned(q, c.where("false"), 5).collect()
