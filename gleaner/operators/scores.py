@@ -14,7 +14,7 @@ from gleaner.operators.skew import HOT_ROWS, skew_join
 PAIR = ["q_id", "p_id"]
 TEMPERATURE = 1.0
 TOKEN_BLOCK = 512  # token vectors in one row
-MAP_TOKENS = 20_000  # tokens in one map, about
+MAP_TOKENS = 20_000  # tokens in one list, about
 HOT_PAIRS = HOT_ROWS // 100  # pairs of one document that a task may take, each with its token vectors
 
 
@@ -72,7 +72,7 @@ def lexical_weights(
 
 
 def _large(weights: DataFrame) -> DataFrame:
-    """(_id, _bits): documents of more than MAP_TOKENS tokens, whose maps are cut in 2^_bits parts."""
+    """(_id, _bits): documents of more than MAP_TOKENS tokens, whose lists are cut in 2^_bits parts."""
     sizes = weights.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAP_TOKENS)
     return sizes.select("_id", F.ceil(F.log2(F.col("_n") / MAP_TOKENS)).cast("int").alias("_bits"))
 
@@ -81,12 +81,34 @@ def _part(value: Column, bits: Column) -> Column:
     return value.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
 
 
-def _token_maps(weights: DataFrame, large: DataFrame, side: str) -> DataFrame:
-    """(<side>_id, _<side>p, _<side>w): every document's weights as a map, a large one's in parts by token hash."""
-    cut = skew_join(weights, large, ["_id"], "left", ["_t"])
-    part = _part(F.xxhash64("_t"), F.coalesce("_bits", F.lit(0))).alias(f"_{side}p")
-    entries = F.collect_list(F.struct("_t", "_w"))
-    return cut.groupBy(F.col("_id").alias(f"{side}_id"), part).agg(F.map_from_entries(entries).alias(f"_{side}w"))
+def _token_lists(weights: DataFrame, large: DataFrame | None, side: str) -> DataFrame:
+    """(<side>_id, _<side>p, _<side>w): every document's (token code, weight) by code, a large one's in parts by code."""
+    part = F.lit(0).alias(f"_{side}p")
+    if large is not None:
+        weights = skew_join(weights, large, ["_id"], "left", ["_t"])
+        part = _part(F.xxhash64("_t"), F.coalesce("_bits", F.lit(0))).alias(f"_{side}p")
+    entry = F.struct(F.xxhash64("_t").alias("code"), F.col("_w").cast("double").alias("weight"))
+    by_code = F.sort_array(F.collect_list(entry)).alias(f"_{side}w")
+    return weights.groupBy(F.col("_id").alias(f"{side}_id"), part).agg(by_code)
+
+
+def _shared_products(q: pa.Array, p: pa.Array) -> pa.Array:
+    """Per row the sum over codes in both lists of the product of their weights. Lists are sorted by code."""
+    sides = []
+    for lists in (q, p):
+        starts = lists.offsets.to_numpy()[:-1]
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        codes, weights = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        sides.append((starts, starts + sizes, codes, weights))
+    (qs, qe, qc, qw), (ps, pe, pcodes, pw) = sides
+    out = np.zeros(len(q))
+    for i in np.flatnonzero((qe > qs) & (pe > ps)):
+        a, b, x, y = qc[qs[i] : qe[i]], pcodes[ps[i] : pe[i]], qw[qs[i] : qe[i]], pw[ps[i] : pe[i]]
+        if len(a) > len(b):
+            a, b, x, y = b, a, y, x
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        out[i] = np.dot(x, np.where(b[at] == a, y[at], 0.0))
+    return pa.array(out)
 
 
 def score_lexical(
@@ -96,13 +118,21 @@ def score_lexical(
     """Sum over shared tokens of the product of both weights; 0 for a pair that shares none.
 
     A token stands once per document, as lexical_weights leaves it. Work starts from the pairs, so a token
-    all documents share costs no more than any other. A pair meets both documents' maps in one row. The map
-    of a document with more than MAP_TOKENS tokens is cut in parts by token hash, and only the pairs it is in
-    come in as many rows.
+    all documents share costs no more than any other. A pair meets both documents' token codes (64-bit hashes)
+    and weights in one row, as sorted lists that are merged in Arrow. The list of a document with more than
+    MAP_TOKENS tokens is cut in parts by code, and only the pairs it is in come in as many rows; without such
+    documents nothing is cut or counted for it.
     """
     pairs = pairs.select(*PAIR)
-    qw, pw = _renamed(q, _id=id, _t=token, _w=weight), _renamed(p, _id=id, _t=token, _w=weight)
+    products = F.arrow_udf(_shared_products, "double")
+    qw = _renamed(q, _id=id, _t=token, _w=weight)
+    pw = qw if p is q else _renamed(p, _id=id, _t=token, _w=weight)
     q_large, p_large = _large(qw), _large(pw)
+    some = not q_large.isEmpty() or (p is not q and not p_large.isEmpty())
+    if not some:
+        sided = skew_join(pairs, _token_lists(qw, None, "q").drop("_qp"), ["q_id"], "left", ["p_id"])
+        sided = skew_join(sided, _token_lists(pw, None, "p").drop("_pp"), ["p_id"], "left", ["q_id"], sized_by=pairs)
+        return sided.select(*PAIR, (products("_qw", "_pw") / temperature).alias("lexical"))
     sided = skew_join(pairs, _renamed(q_large, q_id="_id", _qb="_bits"), ["q_id"], "left", ["p_id"])
     sided = skew_join(sided, _renamed(p_large, p_id="_id", _pb="_bits"), ["p_id"], "left", ["q_id"], sized_by=pairs)
     q_bits, p_bits = (F.coalesce(c, F.lit(0)) for c in ("_qb", "_pb"))
@@ -113,14 +143,12 @@ def score_lexical(
     sided = sided.withColumn("_cut", F.greatest("_qb", "_pb") > 0).drop("_qb", "_pb")
     # A (document, part) key is as hot as its document is among the pairs.
     sided = skew_join(
-        sided, _token_maps(qw, q_large, "q"), ["q_id", "_qp"], "left", ["p_id"], sized_by=pairs, hot_on=["q_id"]
+        sided, _token_lists(qw, q_large, "q"), ["q_id", "_qp"], "left", ["p_id"], sized_by=pairs, hot_on=["q_id"]
     )
     sided = skew_join(
-        sided, _token_maps(pw, p_large, "p"), ["p_id", "_pp"], "left", ["q_id"], sized_by=pairs, hot_on=["p_id"]
+        sided, _token_lists(pw, p_large, "p"), ["p_id", "_pp"], "left", ["q_id"], sized_by=pairs, hot_on=["p_id"]
     )
-    products = F.map_values(F.map_zip_with("_qw", "_pw", lambda t, a, b: F.coalesce(a * b, F.lit(0.0))))
-    shared = F.coalesce(F.aggregate(products, F.lit(0.0), lambda total, x: total + x), F.lit(0.0))
-    scored = sided.select(*PAIR, "_cut", (shared / temperature).alias("lexical"))
+    scored = sided.select(*PAIR, "_cut", (products("_qw", "_pw") / temperature).alias("lexical"))
     whole = scored.where("NOT _cut").drop("_cut")
     return whole.unionByName(scored.where("_cut").groupBy(*PAIR).agg(F.sum("lexical").alias("lexical")))
 
