@@ -125,6 +125,7 @@ def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_c
 
     fetched = arrow_pass(texts.join(wanted, same).select("text", "wanted"), fetch, "par long, shingles array<long>")
     fetched = scratch.keep(fetched.dropDuplicates(["par"]))
+    scratch.release()  # the shuffle of the texts
     edges = scratch.keep(tied(members, fetched, lambda found: found.values.to_numpy(), similar))
     scratch.drop(members, fetched)
     scratch.release()

@@ -74,7 +74,12 @@ def signatures(found: np.ndarray, starts: np.ndarray, counts: np.ndarray, hashes
     ends = np.stack([starts, starts + counts], axis=1).ravel()  # every second run lies between two paragraphs
     last = np.array([np.iinfo(np.uint64).max], dtype=np.uint64)  # so that an end may be the end of all
     keys = mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.stack([np.minimum.reduceat(np.concatenate([mix(found ^ k), last]), ends)[::2] for k in keys], axis=1)
+    out = np.empty((len(starts), hashes), dtype=np.uint64)
+    values = np.append(found, last)
+    for i, k in enumerate(keys):  # shingles are well mixed already: a product by an odd key orders them anew
+        np.multiply(found ^ k, k | np.uint64(1), out=values[:-1])
+        out[:, i] = np.minimum.reduceat(values, ends)[::2]
+    return out
 
 
 def bands_at(found: np.ndarray, starts: np.ndarray, counts: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
