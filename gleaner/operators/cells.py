@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -45,6 +46,34 @@ def matrix(table: pa.Table, name: str) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
+def packed(df: DataFrame, vec: str) -> tuple[DataFrame, np.dtype]:
+    """df with its vectors as bytes, and the type of their elements: rows that are moved often are moved as one value."""
+    dtype = np.dtype(np.float32 if isinstance(df.schema[vec].dataType.elementType, T.FloatType) else np.float64)
+
+    @F.arrow_udf("binary")
+    def pack(vectors: pa.Array) -> pa.Array:
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+        if len(flat) * dtype.itemsize >= 1 << 31:
+            raise ValueError("a batch of vectors has over 2 GB; make Arrow batches smaller")
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False) * dtype.itemsize
+        ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        out = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+        return pc.if_else(vectors.is_valid(), out, pa.scalar(None, pa.binary())) if vectors.null_count else out
+
+    return df.withColumn(vec, pack(vec)), dtype
+
+
+def unpacked(table: pa.Table, name: str, dtype: np.dtype) -> np.ndarray:
+    """A column of packed vectors of equal lengths, none null, as a 2-d array of doubles."""
+    parts = []
+    for chunk in table.column(name).chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk):
+            whole = np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            parts.append(whole.view(dtype).astype(np.float64).reshape(len(chunk), -1))
+    return np.concatenate(parts)
+
+
 def with_vector(table: pa.Table, name: str) -> pa.Table:
     column = table.column(name)
     return table.filter(column.is_valid()) if column.null_count else table
@@ -69,10 +98,9 @@ def cross_blocks(
 ) -> DataFrame:
     """Every left block meets every right block in one cell; kernel(left, right) -> table.
 
-    A cell is small in bytes but heavy in work, so each is its own task: the cell number is the partition.
-    Beyond most_tasks cells, as many share a task as it takes; they are worked off one after another.
+    A cell is small in bytes but heavy in work, so each is its own task: see in_cells. Beyond most_tasks
+    cells, several share a task; they are worked off one after another.
     """
-    tasks = min(n_lb * n_rb, most_tasks)
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -80,12 +108,47 @@ def cross_blocks(
     l = left.withColumn("_lb", lb).withColumn("_rb", every(n_rb))
     r = detached(right).withColumn("_rb", rb).withColumn("_lb", every(n_lb))
     cell = F.col("_lb").cast("long") * n_rb + F.col("_rb")
-    return in_cells(*(df.withColumn("_cell", cell).drop("_lb", "_rb") for df in (l, r)), tasks, kernel, schema)
+    l, r = (df.withColumn("_cell", cell).drop("_lb", "_rb") for df in (l, r))
+    return in_cells(l, r, n_lb * n_rb, kernel, schema, most_tasks)
+
+
+MOST_NAMED = 4096  # cells that are given keys of their own
 
 
-def in_cells(left: DataFrame, right: DataFrame, tasks: int, kernel, schema) -> DataFrame:
-    """kernel(left, right) -> table over the rows of each cell (column _cell); tasks take the cells in turn."""
-    left, right = (df.repartitionById(tasks, F.pmod("_cell", F.lit(tasks).cast("long")).cast("int")) for df in (left, right))
+def spread_keys(n: int) -> list[int]:
+    """For each of n partitions an int that Spark's hash partitioning sends there.
+
+    Cells that are hashed by their numbers meet in some partitions and leave others empty. With these keys each
+    has its own, and the groups' own partitioning is the one they come in: nothing is shuffled again.
+    """
+    tries = np.arange(n * (int(math.log(n)) + 20), dtype=np.uint32)
+
+    def rotated(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+    # The 32-bit Murmur hash of an int with seed 42, as F.hash has it.
+    with np.errstate(over="ignore"):
+        h = rotated(np.uint32(42) ^ rotated(tries * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13)
+        h = h * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        h = h ^ h >> np.uint32(16)
+    partition, first = np.unique(h.view(np.int32).astype(np.int64) % n, return_index=True)
+    if len(partition) < n:  # hardly ever: as good a spread as hashing gives
+        return list(range(n))
+    return tries[first].tolist()
+
+
+def in_cells(left: DataFrame, right: DataFrame, cells: int, kernel, schema, most_tasks: int = MOST_TASKS) -> DataFrame:
+    """kernel(left, right) -> table over the rows of each cell (column _cell, 0 to cells - 1).
+
+    Up to MOST_NAMED cells each get a task of their own; more of them are hashed over as many tasks as there are
+    cells, most_tasks at most.
+    """
+    if cells <= MOST_NAMED:
+        keys = F.array(*map(F.lit, spread_keys(cells)))
+        left, right = (df.withColumn("_cell", F.get(keys, F.col("_cell").cast("int"))) for df in (left, right))
+    left, right = (df.repartition(min(cells, most_tasks), "_cell") for df in (left, right))
     return left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(kernel, schema)
 
 

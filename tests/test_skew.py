@@ -315,3 +315,16 @@ def test_pruned_search_of_few_rows_null_vectors_and_nothing(spark):
     got = rows_of(knn_pruned(q, c, 5), "q_id", "c_id", "rank")
     assert got == [("a", "a", 1), ("a", "b", 2), ("b", "a", 1), ("b", "b", 2)]
     assert knn_pruned(q.limit(0), c, 5).collect() == [] == knn_pruned(q, c.where("false"), 5).collect()
+
+
+def test_each_cell_has_its_own_partition(spark):
+    for n in (1, 2, 7, 64, 1000):
+        keys = spark.createDataFrame([(k,) for k in cells.spread_keys(n)], "k int")
+        assert sorted(r[0] for r in keys.select(F.expr(f"pmod(hash(k), {n})")).collect()) == list(range(n))
+
+
+def test_cells_are_shuffled_once(vecs):
+    _, df = vecs
+    q, c = df.selectExpr("id q_id", "vec q_vec"), df.selectExpr("id c_id", "vec c_vec")
+    plan = knn_topk(q, c, 5, blocks=(3, 1))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan
