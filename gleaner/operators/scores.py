@@ -82,35 +82,47 @@ def _part(value: Column, bits: Column) -> Column:
 
 
 def _token_lists(weights: DataFrame, large: DataFrame | None, side: str) -> DataFrame:
-    """(<side>_id, _<side>p, _<side>w): every document's (token code, weight) by code, a large one's in parts by code."""
+    """(<side>_id, _<side>p, _<side>w): every document's codes and weights, packed; a large one's in parts by code."""
     part = F.lit(0).alias(f"_{side}p")
     if large is not None:
         weights = skew_join(weights, large, ["_id"], "left", ["_t"])
         part = _part(F.xxhash64("_t"), F.coalesce("_bits", F.lit(0))).alias(f"_{side}p")
     entry = F.struct(F.xxhash64("_t").alias("code"), F.col("_w").cast("double").alias("weight"))
-    by_code = F.sort_array(F.collect_list(entry)).alias(f"_{side}w")
-    return weights.groupBy(F.col("_id").alias(f"{side}_id"), part).agg(by_code)
+    lists = weights.groupBy(F.col("_id").alias(f"{side}_id"), part).agg(F.collect_list(entry).alias("_l"))
+    pack = F.arrow_udf(_packed, "binary")
+    return lists.select(f"{side}_id", f"_{side}p", pack("_l").alias(f"_{side}w"))
+
+
+def _packed(lists: pa.Array) -> pa.Array:
+    """The (code, weight) of each row in order of code: all codes, then all weights. Pairs then move them as one value."""
+    starts = lists.offsets.to_numpy()
+    codes, weights = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    out = []
+    for a, b in zip(starts[:-1], starts[1:]):
+        order = np.argsort(codes[a:b], kind="stable")
+        out.append(codes[a:b][order].tobytes() + weights[a:b][order].tobytes())
+    return pa.array(out, pa.binary())
 
 
 def _shared_products(q: pa.Array, p: pa.Array) -> pa.Array:
-    """Per row the sum over codes in both lists of the product of their weights. Lists are sorted by code."""
-    sides = []
-    for lists in (q, p):
-        starts = lists.offsets.to_numpy()[:-1]
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        codes, weights = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-        sides.append((starts, starts + sizes, codes, weights))
-    (qs, qe, qc, qw), (ps, pe, pcodes, pw) = sides
+    """Per row the sum over codes in both packed lists of the product of their weights; 0 where one is missing."""
     out = np.zeros(len(q))
-    for i in np.flatnonzero((qe > qs) & (pe > ps)):
-        a, b, x, y = qc[qs[i] : qe[i]], pcodes[ps[i] : pe[i]], qw[qs[i] : qe[i]], pw[ps[i] : pe[i]]
-        if len(a) > len(b):
-            a, b, x, y = b, a, y, x
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        out[i] = np.dot(x, np.where(b[at] == a, y[at], 0.0))
+    for i, (left, right) in enumerate(zip(q, p)):
+        if left.is_valid and right.is_valid:
+            (a, x), (b, y) = (_unpacked(s.as_buffer()) for s in (left, right))
+            if len(a) > len(b):
+                a, b, x, y = b, a, y, x
+            if len(a):
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                out[i] = np.dot(x, np.where(b[at] == a, y[at], 0.0))
     return pa.array(out)
 
 
+def _unpacked(packed: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    n = packed.size // 16
+    return np.frombuffer(packed, np.int64, n), np.frombuffer(packed, np.float64, n, 8 * n)
+
+
 def score_lexical(
     q: DataFrame, p: DataFrame, pairs: DataFrame, id: str = "doc_id", token: str = "token",
     weight: str = "weight", temperature: float = TEMPERATURE,
@@ -119,7 +131,7 @@ def score_lexical(
 
     A token stands once per document, as lexical_weights leaves it. Work starts from the pairs, so a token
     all documents share costs no more than any other. A pair meets both documents' token codes (64-bit hashes)
-    and weights in one row, as sorted lists that are merged in Arrow. The list of a document with more than
+    and weights in one row, as packed sorted lists that are merged in Arrow. The list of a document with more than
     MAP_TOKENS tokens is cut in parts by code, and only the pairs it is in come in as many rows; without such
     documents nothing is cut or counted for it.
     """
