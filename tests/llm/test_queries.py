@@ -27,18 +27,46 @@ def test_native_queries_run_no_python(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_extra_columns_that_clash_change_nothing(spark):
-    """Columns named like results or inner columns are left alone, and rows come out the same."""
-    from pyspark.sql import functions as F
+CLASHING = """id some row pair par fp band text_hash size taken place target component_id part sequence_id cell key anchor t1 length q1
+ group word n query vec score item rank slot shard record quality label kept n_removed _id _own _hash _n root""".split()
+
 
-    from gleaner.llm import fingerprints, mixing, packing, quality_rules, simhash, suffix_dedup, token_counts
+@pytest.fixture(scope="module")
+def plain_and_clashing(spark):
+    """The first documents, and the same with columns named like results or inner columns."""
+    from pyspark.sql import functions as F
 
     docs = queries.documents(spark, SF_DIR).limit(40)
-    names = "id some row pair par fp band text_hash size taken place target component_id part sequence_id cell key anchor t1 length q1".split()
-    more = docs.withColumns({n: F.lit(7) for n in names})
+    return docs, docs.withColumns({n: F.lit(7) for n in CLASHING})
+
+
+def test_extra_columns_that_clash_change_nothing(spark, plain_and_clashing):
+    from gleaner.llm import (
+        fingerprints, lexical_search, mixing, packing, paragraph_dedup, quality_classifier, quality_rules, simhash, spelling,
+        suffix_dedup, token_counts, training_order,
+    )
+    from gleaner.session import new_path
+
+    labels, items = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("labels", "benchmark"))
     for operator in (
         simhash.simhash_groups, packing.pack_documents, fingerprints.document_fingerprints, quality_rules.quality_rules,
-        token_counts.token_counts, suffix_dedup.remove_repeats, mixing.mix_sources,
+        token_counts.token_counts, suffix_dedup.remove_repeats, mixing.mix_sources, paragraph_dedup.paragraph_removals,
+        lambda df: quality_classifier.quality_scores(df, labels), lambda df: spelling.spelling_variants(df, least_count=1),
+        lambda df: lexical_search.ranked_search(df, items),
+        lambda df: training_order.write_training_order(df.coalesce(1), new_path(spark, "shards")),
     ):
-        plain, clashing = (sorted(map(repr, operator(df).drop("sequence_id").collect())) for df in (docs, more))
-        assert plain == clashing, operator.__name__
+        plain, clashing = (sorted(map(repr, operator(df).drop("sequence_id").collect())) for df in plain_and_clashing)
+        assert plain == clashing and plain, operator
+
+
+def test_stages_keep_clashing_columns(spark, plain_and_clashing):
+    """A stage returns the columns it gets, and the same rows whatever further columns there are."""
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    docs, more = plain_and_clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, clashing = stage(spark, docs, SF_DIR), stage(spark, more, SF_DIR)
+        assert clashing.columns == more.columns, name
+        assert all(r[n] == 7 for r in clashing.collect() for n in CLASHING), name
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, clashing.select(docs.columns).collect())), name
