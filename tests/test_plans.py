@@ -32,9 +32,10 @@ def test_top_k_is_cut_below_the_shuffle(spark):
     text = plan(sampling.sample_per_group(df, "g", "id", 10))
     assert above(text, "Exchange hashpartitioning(g", "Partial")
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, v array<float>")
-    hits = knn_topk(v.selectExpr("id q_id", "v q_vec"), v.selectExpr("id c_id", "v c_vec"), 5)
-    text = plan(hits)
+    q, c = v.selectExpr("id q_id", "v q_vec"), v.selectExpr("id c_id", "v c_vec")
+    text = plan(knn_topk(q, c, 5, blocks=(1, 3)))
     assert above(text, "Exchange hashpartitioning(q_id", "Partial")
+    assert "Window" not in plan(knn_topk(q, c, 5, blocks=(3, 1)))  # one cell holds the corpus: nothing to merge
     assert "Cartesian" not in text and "NestedLoop" not in text
 
 
@@ -58,6 +59,7 @@ def test_dense_ids_window_holds_partition_sizes_only(spark):
 PYTHON = {
     "mine_with_instructions", "evaluate_two_encoders", "score_dense", "contrastive_loss", "pool_cls", "pool_last", "pool_mean", "in_batch_losses",
     "embed_texts", "knn_topk", "knn_best_passage", "rank_range", "mine_hard_negatives", "join_qrels", "compare_models",
+    "knn_pruned", "embed_first_words", "map_batches", "max_token_len_subwords", "score_lexical",
     "score_maxsim", "score_ensemble", "blend_losses", "category_vectors", "self_attention_vectors", "score_attention", "in_batch_loss", "evaluate_test_set",
     *(f"metric_{m}" for m in ("ndcg", "map", "recall", "precision", "mrr")),
 }
