@@ -9,7 +9,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from gleaner.llm import packing, tokens, training_order
+from gleaner.llm import packing, token_counts as counting, tokens, training_order
 from gleaner.llm.queries import op1_training_order, op3_packing, op8_token_counts
 from gleaner.llm.token_counts import token_counts
 from gleaner.session import new_path
@@ -108,6 +108,66 @@ def test_token_counts_odd_and_empty(odd, odd_rows, empty):
     assert token_counts(empty).collect() == []
 
 
+LATER = [
+    "\u201cQuoted\u201d \u2014 it\u2019s here\u2026 and  there ", "\u4e2d\u6587\u5b57\u6f22\u8a9e\u3002\u3000\u4e2d\u6587 \u4e2d1\u6587", "\U0001f642\U0001f642 ok \U0001f642",
+    "\u0967\u0968 \u0928\u092e\u0938\u094d\u0924\u0947\u0964", "\u2160\u2161 x\u2007\u2003y\u2028z", "\u05d0\u05d1 \u0661\u0662", "\ufeffstart\u200bend \u180e x",
+]
+
+
+def test_later_code_points_are_looked_up_too(monkeypatch):
+    """Signs that the library classes as the pattern does: no text goes to it whole. Counts equal its own."""
+    real, whole = counting.tokenizer, []
+
+    class Watched:
+        def __init__(self, name):
+            self.real = real(name)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode(self, text, **options):
+            whole.append(text)
+            return self.real.encode(text, **options)
+
+    library_ids = [len(ids_of(library("byte_bpe_50k.json"), t)) for t in LATER]
+    monkeypatch.setattr(counting, "tokenizer", Watched)
+    lengths = counting.PreTokenLengths("byte_bpe_50k.json", {})
+    assert [lengths.count(t) for t in LATER] == library_ids
+    assert whole == []
+
+
+def test_every_sign_counts_as_in_the_library():
+    """All signs of the first two planes between other signs, those included that the tables class differently."""
+    lengths, tokenizer = counting.PreTokenLengths("byte_bpe_50k.json", {}), library("byte_bpe_50k.json")
+    for start in range(0x80, 0x20000, 0x80):
+        signs = [chr(c) for c in range(start, start + 0x80) if not 0xD800 <= c < 0xE000]
+        if signs:
+            texts = [f"a{c}1 {c}{c}b!{c}!" for c in signs]
+            assert [lengths.count(t) for t in texts] == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_summaries_hold_what_is_frequent():
+    rng = np.random.default_rng(3)
+    stream = [f"w{int(v)}" for v in rng.zipf(1.3, 40_000)]
+    exact, found = counting.Counter(stream), counting.FrequentItems(50)
+    for at in range(0, len(stream), 100):
+        found.update(stream[at : at + 100])
+    found.shrink()
+    off = len(stream) / 51
+    assert len(found.counts) <= 50
+    assert all(exact[w] - off <= n <= exact[w] for w, n in found.counts.items())
+    assert all(w in found.counts for w, n in exact.items() if n > off)
+
+
+def test_frequent_table_comes_from_all_texts(spark, monkeypatch):
+    """A pre-token that only the last of many documents hold, often, is in it."""
+    monkeypatch.setattr(counting, "FREQUENT", 3)
+    texts = [(f"word{i} and",) for i in range(3000)] + [("rareword " * 5000,), (None,)]
+    table = counting.frequent_lengths(spark.createDataFrame(texts, "text string").repartition(3))
+    assert set(table) > {" rareword", " and"}
+    assert counting.frequent_lengths(spark.createDataFrame([], "text string")) == {}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 65_537])
 def test_feistel_is_a_permutation(n):
     order = training_order.Feistel(n, key=7)
