@@ -18,16 +18,35 @@ PARAGRAPH_END = (
     r"\n|(?<=[.!?\u2026\u037E\u0589\u061F\u06D4\u0964\u0965\u1362][\"'\u201D\u2019\u00BB)\]]?) "
     r"|(?<=[\u3002\uFF01\uFF1F\uFF61])(?![\u3002\uFF01\uFF1F\uFF61\u300D\u300F\uFF09\u201D\u2019])"
 )
-#: Longer sentences are cut too, every so many words from their beginning; a word without end is cut at 16 signs.
-SENTENCE_PART = r"\G( *+(?:[^ ]{1,16}+ *+){8})"
+#: A text's first sentence and sentences of more signs are cut further: behind one word in eight, or in words of over
+#: LONG_WORD signs behind one sign in sixteen. The hash of the word, or of the sign and the two next, says where.
+LONG_SENTENCE, LONG_WORD, WORDS, SIGNS = 256, 32, 8, 16
 
 _CELL = "struct<cell:bigint,cnt:bigint,key:bigint,chk:bigint,kind:int>"
 
 
+def _sentence_parts(sentence: Column) -> Column:
+    """A sentence cut where its content says, so that what is put in before or behind a part leaves it as it is."""
+
+    def marked(piece: Column, digest: Column, every: int) -> Column:
+        return F.when(digest.bitwiseAND(every - 1) == 0, F.concat(piece, F.lit("\n"))).otherwise(piece)
+
+    def signs(word: Column) -> Column:
+        each, n = F.split(word, ""), F.length(word)
+        next_two = F.zip_with(F.slice(each, 2, n), F.slice(each, 3, n), lambda d, e: F.concat(d, F.coalesce(e, F.lit(""))))
+        return F.array_join(F.zip_with(each, next_two, lambda c, de: marked(c, F.xxhash64(c, de), SIGNS)), "")
+
+    def word_or_signs(word: Column) -> Column:
+        return F.when(F.length(word) > LONG_WORD, signs(word)).otherwise(marked(word, F.xxhash64(word), WORDS))
+
+    return F.split(F.array_join(F.transform(F.split(sentence, " "), word_or_signs), " "), "\n")
+
+
 def paragraph_digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's paragraphs; null and empty texts have none."""
     sentences = F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END)
-    parts = F.transform(sentences, lambda s: F.split(F.regexp_replace(s, SENTENCE_PART, "$1\n"), "\n"))
+    long = lambda s, i: (i == 0) | (F.length(s) > LONG_SENTENCE)
+    parts = F.transform(sentences, lambda s, i: F.when(long(s, i), _sentence_parts(s)).otherwise(F.array(s)))
     pieces = F.filter(F.flatten(parts), lambda p: p != "")
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 

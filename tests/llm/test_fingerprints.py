@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from gleaner.llm import fingerprints
 from gleaner.llm.common import Scratch
@@ -22,8 +23,15 @@ def ends_sentence(text):
     return text[-1:] in STOPS and text != "" or len(text) > 1 and text[-1] in CLOSING and text[-2] in STOPS
 
 
+def hashed(*parts):
+    seed = 42
+    for part in parts:
+        seed = xxhash.xxh64_intdigest(part.encode(), seed=seed)
+    return seed
+
+
 def cut(text):
-    """Pieces by one walk over the text: lines, sentences, and long sentences every eight words of 16 signs at most."""
+    """Pieces by one walk over the text: lines and sentences; the first and those over 256 signs by their content."""
     pieces, piece = [], ""
     for i, c in enumerate(text):
         if c == "\n" or c == " " and ends_sentence(text[:i][-2:]):
@@ -36,12 +44,25 @@ def cut(text):
             piece = ""
     pieces.append(piece)
     out = set()
-    for p in pieces:
-        at = 0
-        while m := re.compile(r" *(?:[^ ]{1,16} *){8}").match(p, at):  # greedy: a word goes on to 16 signs
-            out.add(p[at : m.end()])
-            at = m.end()
-        out.add(p[at:])
+    for k, p in enumerate(pieces):
+        if k and len(p) <= 256:
+            out.add(p)
+            continue
+        part = ""
+        for n, word in enumerate(p.split(" ")):
+            part += " " * (n > 0)
+            if len(word) <= 32:
+                part += word
+                if hashed(word) % 8 == 0:
+                    out.add(part)
+                    part = ""
+                continue
+            for i, c in enumerate(word):
+                part += c
+                if hashed(c, *[word[i + 1 : i + 3]] * (i + 1 < len(word))) % 16 == 0:
+                    out.add(part)
+                    part = ""
+        out.add(part)
     return out - {""}
 
 
@@ -127,6 +148,18 @@ def test_sketch_counts_every_digest(spark):
     assert len(found) == 2
 
 
+def test_words_put_in_leave_the_other_parts(spark):
+    """A long sentence, or a run of signs without a space, loses few digests when something is put in near its start."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("opqrstuv"), 6)) for _ in range(400)]
+    signs = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 3000))
+    pairs = [(" ".join(words), " ".join(words[:9] + ["new"] + words[9:])), (signs, signs[:9] + "新" + signs[9:])]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    for r in df.select("k", *[fingerprints.paragraph_digests(c).alias(c) for c in "ab"]).collect():
+        a, b = set(r["a"]), set(r["b"])
+        assert len(a) > 25 and len(a - b) <= 2 and len(b - a) <= 3
+
+
 def test_kept_half_is_likeness_in_any_script(spark):
     """Texts of one line whose sentences end in other letters, digits or scripts, or that have no sentence ends."""
     rng = np.random.default_rng(6)
