@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import attention, cells, losses, metrics, sampling, scores
+from gleaner.operators import attention, cells, knn, losses, metrics, sampling, scores
 from gleaner.operators.aggregates import log_sum_exp
 from gleaner.operators.knn import block_counts, knn_pruned, knn_topk
 from gleaner.operators.skew import hot_keys, left_join_hot_right, skew_join
@@ -328,3 +328,24 @@ def test_cells_are_shuffled_once(vecs):
     q, c = df.selectExpr("id q_id", "vec q_vec"), df.selectExpr("id c_id", "vec c_vec")
     plan = knn_topk(q, c, 5, blocks=(3, 1))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan
+
+
+def test_a_task_takes_several_corpus_blocks():
+    """Each corpus block hands back k hits of every query: 30 of them made 3 billion hits of 500,000 queries."""
+    assert block_counts(512_820, 3_900_000, 210, 64, 12)[1] == 30
+    bq, bc = block_counts(512_820, 3_900_000, 210, 64, 12, run=8)
+    assert bc == 4 and bq * bc >= 12
+
+
+def test_scores_closer_than_single_precision(spark):
+    """Scores differ by less than single precision tells apart, and many tie; ids come in no order."""
+    rng = np.random.default_rng(5)
+    corpus = np.ones((5000, 8)) / math.sqrt(8) + rng.integers(0, 40, (5000, 1)) * 1e-9
+    queries = corpus[:300] * rng.uniform(0.5, 2, (300, 1))
+    as_rows = lambda m: [(i, v.tolist()) for i, v in enumerate(m)]
+    q = spark.createDataFrame(as_rows(queries), "q_id long, q_vec array<double>")
+    c = spark.createDataFrame(as_rows(corpus)[::-1], "c_id long, c_vec array<double>")
+    want = {(i, j): n for i, j, n in brute(queries, corpus, range(5000), 30)}
+    for blocks in ((2, 1), (1, 3)):
+        got = {(r["q_id"], r["c_id"]): r["rank"] for r in knn_topk(q, c, 30, blocks=blocks).collect()}
+        assert len(got) == len(want) and len(got.keys() & want.keys()) > 0.99 * len(want)  # a sum may round otherwise
