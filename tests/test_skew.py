@@ -349,3 +349,19 @@ def test_scores_closer_than_single_precision(spark):
     for blocks in ((2, 1), (1, 3)):
         got = {(r["q_id"], r["c_id"]): r["rank"] for r in knn_topk(q, c, 30, blocks=blocks).collect()}
         assert len(got) == len(want) and len(got.keys() & want.keys()) > 0.99 * len(want)  # a sum may round otherwise
+
+
+def test_pruned_search_moves_queries_once_per_cell(spark, monkeypatch):
+    """A query that no bound keeps from any block goes to each cell, not to each block."""
+    rng = np.random.default_rng(3)
+    q, c = _sides(spark, rng.standard_normal((300, 16)), rng.standard_normal((3000, 16)))
+    moved, plain = [], knn._in_stream
+
+    def counted(q, c, q_cells, c_cells, cells, *more):
+        moved.append((q.select(F.sum(F.size(q_cells))).first()[0], c.select(F.sum(F.size(c_cells))).first()[0], cells))
+        return plain(q, c, q_cells, c_cells, cells, *more)
+
+    monkeypatch.setattr(knn, "_in_stream", counted)
+    assert knn_pruned(q, c, 15, n_blocks=100).count() == 300 * 15
+    (begun, _, _), (further, corpus, n_cells) = moved
+    assert begun <= 300 * 4 and further <= 300 * n_cells and corpus <= 3000 * n_cells and n_cells <= 8
