@@ -330,6 +330,12 @@ def test_cells_are_shuffled_once(vecs):
     assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan
 
 
+def test_hits_a_task_holds_are_bounded():
+    for nq, nc, k in ((10**6, 10**6, 210), (615_000, 615_000, 100), (10**5, 10**5, 10_000)):
+        bq, _ = block_counts(nq, nc, k, 64, 12)
+        assert nq / bq * k * 16 <= cells.BLOCK_BYTES
+
+
 def test_a_task_takes_several_corpus_blocks():
     """Each corpus block hands back k hits of every query: 30 of them made 3 billion hits of 500,000 queries."""
     assert block_counts(512_820, 3_900_000, 210, 64, 12)[1] == 30
