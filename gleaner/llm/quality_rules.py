@@ -26,30 +26,56 @@ SCATTER = 600  # symbols; a band is sqrt(1 + SCATTER / n) times as wide for a te
 _SYMBOL_CHARS = str.maketrans("", "", "#*$%&|<>")
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of each ASCII code: 0 is the text's beginning, 1 white space and control, letters without case,
-    28 any digit, then one for each other sign."""
-    table = np.ones(128, dtype=np.int64)
-    others = 29
-    for code in range(33, 127):
+CAPITAL, DIGIT, SHORT_CODE, LONG_CODE = 63, 28, 61, 62  # symbols that others follow
+
+
+def _ascii_spelling() -> tuple[np.ndarray, np.ndarray]:
+    """First and second symbol of each ASCII code, -1 where there is no second: 0 is the text's beginning, 1 the space,
+    2 to 27 the letters, 29 to 60 the other signs; capitals, digits and control codes have two."""
+    first, second = np.empty(128, dtype=np.int64), np.full(128, -1, dtype=np.int64)
+    signs, controls = 29, 28
+    for code in range(128):
         char = chr(code)
-        if char.isalpha():
-            table[code] = 2 + ord(char.lower()) - ord("a")
+        if char == " ":
+            first[code] = 1
+        elif char.isalpha():
+            letter = 2 + ord(char.lower()) - ord("a")
+            first[code], second[code] = (CAPITAL, letter) if char.isupper() else (letter, -1)
         elif char.isdigit():
-            table[code] = 28
+            first[code], second[code] = DIGIT, 29 + int(char)
+        elif char.isprintable():
+            first[code], signs = signs, signs + 1
         else:
-            table[code], others = others, others + 1
-    return table
+            first[code], second[code], controls = CAPITAL, controls, controls + 1
+    return first, second
 
 
-TABLE = _symbol_table()
+FIRST, SECOND = _ascii_spelling()
 
 
 def symbols(text: str) -> np.ndarray:
-    """A text as symbols; code points beyond ASCII share the last three."""
+    """A text as symbols, which spell each code point: no two texts have the same.
+
+    Beyond ASCII a code point is its bits, six to a symbol: two after SHORT_CODE, three after LONG_CODE, or four after
+    CAPITAL and 0.
+    """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    later = codes >= 128
-    return np.where(later, SYMBOLS - 3 + codes % 3, TABLE[np.where(later, 0, codes)])
+    plain = codes < 128
+    ascii_codes = np.where(plain, codes, 0)
+    wide = np.where(codes < 1 << 12, 2, np.where(codes < 1 << 18, 3, 4))  # symbols for the bits
+    sizes = np.where(plain, 1 + (SECOND[ascii_codes] >= 0), 1 + wide + (wide == 4))
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype=np.int64)
+    out[starts] = np.where(plain, FIRST[ascii_codes], np.array([0, 0, SHORT_CODE, LONG_CODE, CAPITAL])[wide])
+    two = np.flatnonzero(plain & (sizes == 2))
+    out[starts[two] + 1] = SECOND[codes[two]]
+    later = np.flatnonzero(~plain)
+    if len(later):
+        out[starts[later[wide[later] == 4]] + 1] = 0
+        for i in range(4):
+            of = later[wide[later] > i]
+            out[starts[of] + sizes[of] - 1 - i] = codes[of] >> (i * SYMBOL_BITS) & (SYMBOLS - 1)
+    return out
 
 
 def gram_slabs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -229,7 +255,7 @@ def quality_rules(
             total += np.bincount(rows, model.value.score(grams), len(texts))
             n += np.bincount(rows, minlength=len(texts))
         entropy = -total / np.maximum(n, 1)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *stats, pa.array(n.astype(np.int64)), pa.array(entropy)], names)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *stats, pa.array([len(t) for t in texts], pa.int64()), pa.array(entropy)], names)
 
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "length", "entropy"]
     columns = [(id_col, "long", "doc_id"), (lang_col, "string", "lang"), (text_col, "string", "text")]

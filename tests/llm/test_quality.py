@@ -107,6 +107,29 @@ def test_rules_odd_and_empty(odd, odd_rows, empty):
     assert quality_rules.quality_rules(empty).collect() == []
 
 
+def test_symbols_spell_every_code_point():
+    """Letters beyond ASCII shared three symbols, capitals those of small letters, and all digits one."""
+    points = [*range(0x3000), *range(0x4E00, 0x4F00), 0xD800, *range(0xFF00, 0x10100), 0x1F600, 0x3FFFF, 0x40000, 0x10FFFF]
+    spelled = [tuple(quality_rules.symbols(chr(c))) for c in points]
+    assert len(set(spelled)) == len(points)
+    begun = {s[:i] for s in spelled for i in range(1, len(s))}
+    assert not begun & set(spelled)  # none begins another, so texts are told apart too
+    assert all(0 <= x < quality_rules.SYMBOLS for s in spelled for x in s)
+    text = "Ab 1\n\u00e9\u4e2d\U0010ffff"
+    assert quality_rules.symbols(text).tolist() == [x for c in text for x in quality_rules.symbols(c)]
+    assert quality_rules.symbols("").tolist() == []
+
+
+def test_other_letters_of_a_script_are_less_likely(spark):
+    """The same words with each letter three further on: by three classes of letters, they were as likely."""
+    words = "\u0432\u043e\u0434\u0430 \u0438 \u043b\u0435\u0441 \u0441\u0442\u043e\u044f\u0442 \u0443 \u0434\u043e\u043c\u0430 "
+    moved = "".join(c if c == " " else chr(ord(c) + 3) for c in words)
+    rows = [(i, words * 6 + "\u043c" * (i % 3), "ru") for i in range(40)] + [(99, moved * 6, "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["entropy"] for r in quality_rules.quality_rules(docs).collect()}
+    assert got[99] > max(e for i, e in got.items() if i != 99) + 0.1
+
+
 def test_long_texts_in_slabs(monkeypatch):
     text = "some text of a few words " * 20
     whole = [np.concatenate(c) for c in zip(*quality_rules.gram_slabs([text, "", text]))]
