@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -576,13 +578,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.max_token_len(training_rows(spark, sf_dir))
 
 
+@functools.cache
 def _make_byte_pair_counts():
-    """Token counts of a public byte-level tokenizer."""
+    """Token counts of a public byte-level tokenizer; the pieces a worker has met outlive the task."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return records.counts_by_pieces(
+        lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], special
+    )
 
 
 # No SQL: it can't split texts as the tokenizer's merges do. A test counts every text on its own.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -154,6 +155,54 @@ def whitespace_tokens(text: Column) -> Column:
 Tokenizer = Callable[[list[str]], Sequence[int]]
 
 
+MOST_PIECES = 400_000  # pieces a task remembers, the first it meets: common ones come early
+LONG_PIECE = 64  # longer ones are not remembered
+
+
+def counts_by_pieces(count: Tokenizer, special: Sequence[str] = ()) -> Tokenizer:
+    """The same counts, of a tokenizer that always parts a text before a single space between two other signs.
+
+    Byte-level tokenizers do. The pieces recur, so each is counted once and looked up from then on. Texts with one of
+    the special strings, which a tokenizer may find anywhere, are counted whole.
+    """
+    met, later = {}, {}  # counts of pieces, and of those after a space by what follows it
+
+    def cut(text: str) -> tuple[list[str], list[str]]:
+        parts = text.split(" ")
+        if parts == text.split():  # no other white space, and no run of spaces
+            return parts[:1], parts[1:]
+        return re.split(r"(?<=\S)(?= \S)", text), []
+
+    def ask(texts: list[tuple[list[str], list[str]]]) -> list[str]:
+        """Counts the pieces that were not met; those that are not to be remembered are handed back."""
+        new = {p for first, _ in texts for p in first if p not in met}
+        new_later = {p for _, rest in texts for p in rest if p not in later}
+        found = iter(count([*new, *(" " + p for p in new_later)]))
+        met.update(zip(new, found))
+        later.update(zip(new_later, found))
+        full = len(met) + len(later) > MOST_PIECES
+        return [p for p in (*new, *new_later) if full or len(p) > LONG_PIECE]
+
+    def counted(texts: list[str]) -> list[int]:
+        out, open_texts, open_places = [0] * len(texts), [], []
+        for i, text in enumerate(texts):
+            first, rest = ([text], []) if any(s in text for s in special) else cut(text)
+            try:
+                out[i] = sum(map(met.__getitem__, first)) + sum(map(later.__getitem__, rest))
+            except KeyError:
+                open_texts.append((first, rest))
+                open_places.append(i)
+        passing = ask(open_texts) if open_texts else []
+        for i, (first, rest) in zip(open_places, open_texts):
+            out[i] = sum(map(met.__getitem__, first)) + sum(map(later.__getitem__, rest))
+        for piece in passing:
+            met.pop(piece, None)
+            later.pop(piece, None)
+        return out
+
+    return counted
+
+
 def token_counts(make_tokenizer: Callable[[], Tokenizer], batch: int = 1000) -> Callable[[Column], Column]:
     """An expression for the longest of the token counts of a list of texts, null for an empty list.
 

@@ -117,3 +117,31 @@ def test_a_tokenizer_counts_many_texts_at_once(spark):
     assert tuple(records.max_token_len(odd, make_tokenizer=make).first()) == (1, 3)
     assert tuple(records.max_token_len(odd.limit(0), make_tokenizer=make).first()) == (None, None)
     assert tuple(records.max_token_len(odd).first()) == (1, 3)
+
+
+def test_counts_by_pieces_equal_the_library():
+    """Every piece goes to the library once, however often it comes; odd white space and special strings are as in it."""
+    from gleaner.catalog import record_queries
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [
+        "", " ", "a", " a", "a ", "two words", "two  words", "tab\there and\n there", "a \n b", "it's they'll 12 3,4 x-y",
+        "été 中文 中", "a b 　c", "x \x1c y", "a\x1fb c", "see <|endoftext|> end", "<|endoftext|>", "<|end oftext|>",
+        "word " * 50, " 's 's' s", "a\x85 b", "long" * 40 + " " + "long" * 40,
+    ]
+    rng = np.random.default_rng(0)
+    signs = list(" \t\n ab1'.,-é中\x1c")
+    texts += ["".join(rng.choice(signs, 30)) for _ in range(500)]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert record_queries._make_byte_pair_counts()(texts) == want
+    asked = []
+
+    def count(pieces):
+        asked.extend(pieces)
+        return [len(p) for p in pieces]
+
+    counted = records.counts_by_pieces(count)
+    assert counted(["to be or not to be", "to be"]) + counted(["not to be"]) == [18, 5, 9]
+    assert sorted(asked) == sorted(["to", " be", " or", " not", " to", "not"])
