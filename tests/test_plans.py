@@ -88,3 +88,9 @@ def test_cell_numbers_are_long(spark):
     large = block_counts(10**6, 10**9, 100, 1024, 1000, block_bytes=1 << 30)
     moved = [1024 * (10**6 * c + 10**9 * q) for q, c in (small, large)]
     assert moved[1] < moved[0] / 8  # copies fall with the block size
+
+
+def test_words_meet_in_the_partition_of_their_document(spark):
+    """The texts are shuffled, not their words, which take several times the room."""
+    text = plan(spark_entry.queries()["lexical_weights"](spark, SF_DIR))
+    assert text.count("Exchange") == 1 and above(text, "Generate", "Exchange hashpartitioning(doc_id")
