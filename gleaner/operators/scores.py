@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from gleaner.operators.cells import empty_like, parallelism
 from gleaner.operators.skew import HOT_ROWS, skew_join
+from gleaner.session import new_path
+from gleaner.sources.tables import table_roundtrip
 
 PAIR = ["q_id", "p_id"]
 TEMPERATURE = 1.0
 TOKEN_BLOCK = 512  # token vectors in one row
 MAP_TOKENS = 20_000  # tokens in one list, about
+CELL_BYTES = 128 << 20  # lists of a cell of pairs, counted anew for each pair
+ENTRY_BYTES = 16  # a code and a weight in a list
 HOT_PAIRS = HOT_ROWS // 100  # pairs of one document that a task may take, each with its token vectors
 
 
@@ -71,10 +76,17 @@ def lexical_weights(
     return kept.groupBy(doc, token).agg(F.max(F.greatest(F.col(weight), F.lit(0.0))).alias(weight))
 
 
-def _large(weights: DataFrame) -> DataFrame:
+def _sizes(weights: DataFrame) -> DataFrame:
+    """(_id, _n, _odd): tokens of each document, and whether a weight of it is null or not finite."""
+    w = F.col("_w").cast("double")
+    odd = F.coalesce(F.isnan(w) | (F.abs(w) == float("inf")), F.lit(True))
+    return weights.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), F.max(odd).alias("_odd"))
+
+
+def _large(sizes: DataFrame) -> DataFrame:
     """(_id, _bits): documents of more than MAP_TOKENS tokens, whose lists are cut in 2^_bits parts."""
-    sizes = weights.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAP_TOKENS)
-    return sizes.select("_id", F.ceil(F.log2(F.col("_n") / MAP_TOKENS)).cast("int").alias("_bits"))
+    bits = F.ceil(F.log2(F.col("_n") / MAP_TOKENS)).cast("int").alias("_bits")
+    return sizes.where(F.col("_n") > MAP_TOKENS).select("_id", bits)
 
 
 def _part(value: Column, bits: Column) -> Column:
@@ -106,16 +118,19 @@ def _packed(lists: pa.Array) -> pa.Array:
 
 def _shared_products(q: pa.Array, p: pa.Array) -> pa.Array:
     """Per row the sum over codes in both packed lists of the product of their weights; 0 where one is missing."""
-    out = np.zeros(len(q))
-    for i, (left, right) in enumerate(zip(q, p)):
-        if left.is_valid and right.is_valid:
-            (a, x), (b, y) = (_unpacked(s.as_buffer()) for s in (left, right))
-            if len(a) > len(b):
-                a, b, x, y = b, a, y, x
-            if len(a):
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                out[i] = np.dot(x, np.where(b[at] == a, y[at], 0.0))
-    return pa.array(out)
+    return pa.array([_shared_product(left.as_buffer(), right.as_buffer()) for left, right in zip(q, p)], pa.float64())
+
+
+def _shared_product(left: pa.Buffer | None, right: pa.Buffer | None) -> float:
+    if left is None or right is None:
+        return 0.0
+    (a, x), (b, y) = _unpacked(left), _unpacked(right)
+    if len(a) > len(b):
+        a, b, x, y = b, a, y, x
+    if not len(a):
+        return 0.0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return float(np.dot(x, np.where(b[at] == a, y[at], 0.0)))
 
 
 def _unpacked(packed: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +138,69 @@ def _unpacked(packed: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(packed, np.int64, n), np.frombuffer(packed, np.float64, n, 8 * n)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    return table_roundtrip(df, new_path(df.sparkSession, name))
+
+
+def _celled(pairs: DataFrame, q_sizes: DataFrame, p_sizes: DataFrame) -> DataFrame:
+    """The pairs with a _cell: runs of them in order of q_id, whose lists come to CELL_BYTES at most for each cell."""
+    q_n, p_n = (_renamed(s, **{f"{side}_id": "_id", f"_{side}n": "_n"}) for s, side in ((q_sizes, "q"), (p_sizes, "p")))
+    sided = skew_join(pairs, q_n, ["q_id"], "left", ["p_id"])
+    sided = skew_join(sided, p_n, ["p_id"], "left", ["q_id"], sized_by=pairs)
+    size = ENTRY_BYTES * (F.coalesce("_qn", F.lit(0)) + F.coalesce("_pn", F.lit(0)) + 1)
+    ranged = sided.select(*PAIR, size.alias("_size")).repartitionByRange(*PAIR)
+    ranged = _written(ranged.withColumn("_part", F.spark_partition_id().cast("long")), "pairs")
+    total = ranged.agg(F.sum("_size")).first()[0] or 0
+    most = max(1, min(CELL_BYTES, total // (4 * parallelism(pairs))))  # enough cells for the workers
+    until = Window.partitionBy("_part").orderBy(*PAIR).rowsBetween(Window.unboundedPreceding, 0)
+    run = F.floor((F.sum("_size").over(until) - F.col("_size")) / most)
+    return ranged.select(*PAIR, (F.col("_part") * 2**32 + run).alias("_cell"))
+
+
+def _lexical_in_cells(
+    pairs: DataFrame, qw: DataFrame, pw: DataFrame, q_sizes: DataFrame, p_sizes: DataFrame
+) -> DataFrame:
+    """(q_id, p_id, lexical) of pairs of documents of MAP_TOKENS tokens at most, not yet divided by the temperature.
+
+    A list goes once to each cell that has a pair of its document, not once to each pair; so no more is moved than
+    by a join of pairs and lists, and much less where pairs with near q_ids share passages or are one another's.
+    """
+    celled = _written(_celled(pairs, q_sizes, p_sizes), "cells")
+    one = qw is pw
+    sides = [("q", qw, PAIR)] if one else [("q", qw, PAIR[:1]), ("p", pw, PAIR[1:])]
+    streams = []
+    for at, (side, weights, ids) in enumerate(sides):
+        needed = celled.select("_cell", F.explode(F.array(*ids)).alias(f"{side}_id")).distinct()
+        # A document is in no more rows of these than there are cells.
+        lists = needed.join(_token_lists(weights, None, side).drop(f"_{side}p"), f"{side}_id")
+        own = [F.col(f"{side}_id").alias(c) if c in ids else F.lit(None).alias(c) for c in PAIR]
+        streams.append(lists.select("_cell", F.lit(at).alias("_turn"), *own, F.col(f"_{side}w").alias("_w")))
+    streams.append(celled.select("_cell", F.lit(2).alias("_turn"), *PAIR, F.lit(None).cast("binary").alias("_w")))
+    types = pairs.schema
+    schema = T.StructType([types["q_id"], types["p_id"], T.StructField("lexical", T.DoubleType())])
+    streams = [s.select("_cell", "_turn", *[F.col(c).cast(types[c].dataType) for c in PAIR], "_w") for s in streams]
+    names = empty_like(schema).schema
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: list[dict] = [{}, {}]
+        of_q, of_p = lists[0], lists[0 if one else 1]
+        for batch in batches:
+            turns = batch.column("_turn").to_numpy()
+            own = [batch.column(c).to_pylist() for c in PAIR]
+            first = int(np.searchsorted(turns, 2))
+            for i, packed in enumerate(batch.column("_w").slice(0, first)):
+                lists[turns[i]][own[turns[i]][i]] = packed.as_buffer()
+            found = [_shared_product(of_q.get(a), of_p.get(b)) for a, b in zip(own[0][first:], own[1][first:])]
+            columns = [batch.column(c).slice(first) for c in PAIR] + [pa.array(found, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=names)
+
+    stream = streams[0]
+    for other in streams[1:]:
+        stream = stream.unionByName(other)
+    stream = stream.repartition("_cell").sortWithinPartitions("_cell", "_turn")
+    return stream.groupBy("_cell").applyInArrow(products, schema)
+
+
 def score_lexical(
     q: DataFrame, p: DataFrame, pairs: DataFrame, id: str = "doc_id", token: str = "token",
     weight: str = "weight", temperature: float = TEMPERATURE,
@@ -130,39 +208,49 @@ def score_lexical(
     """Sum over shared tokens of the product of both weights; 0 for a pair that shares none.
 
     A token stands once per document, as lexical_weights leaves it. Work starts from the pairs, so a token
-    all documents share costs no more than any other. A pair meets both documents' token codes (64-bit hashes)
-    and weights in one row, as packed sorted lists that are merged in Arrow. The list of a document with more than
-    MAP_TOKENS tokens is cut in parts by code, and only the pairs it is in come in as many rows; without such
-    documents nothing is cut or counted for it.
+    all documents share costs no more than any other. Pairs are put in cells in order of q_id, and a cell gets the
+    list of each of its documents once: sorted token codes (64-bit hashes) and weights, which are merged in Arrow.
+    Weights of zero are left out of the lists, unless a weight is null or not finite. The list of a document with more
+    than MAP_TOKENS tokens is cut in parts by code, and only the pairs it is in come in as many rows.
     """
     pairs = pairs.select(*PAIR)
     products = F.arrow_udf(_shared_products, "double")
     qw = _renamed(q, _id=id, _t=token, _w=weight)
     pw = qw if p is q else _renamed(p, _id=id, _t=token, _w=weight)
-    q_large, p_large = _large(qw), _large(pw)
+    q_sizes = _written(_sizes(qw), "sizes")
+    p_sizes = q_sizes if p is q else _written(_sizes(pw), "sizes")
+    if q_sizes.where("_odd").isEmpty() and (p is q or p_sizes.where("_odd").isEmpty()):
+        qw = qw.where("_w != 0")
+        pw = qw if p is q else pw.where("_w != 0")
+    q_large, p_large = _large(q_sizes), _large(p_sizes)
     some = not q_large.isEmpty() or (p is not q and not p_large.isEmpty())
     if not some:
-        sided = skew_join(pairs, _token_lists(qw, None, "q").drop("_qp"), ["q_id"], "left", ["p_id"])
-        sided = skew_join(sided, _token_lists(pw, None, "p").drop("_pp"), ["p_id"], "left", ["q_id"], sized_by=pairs)
-        return sided.select(*PAIR, (products("_qw", "_pw") / temperature).alias("lexical"))
+        found = _lexical_in_cells(pairs, qw, pw, q_sizes, p_sizes)
+        return found.select(*PAIR, (F.col("lexical") / temperature).alias("lexical"))
     sided = skew_join(pairs, _renamed(q_large, q_id="_id", _qb="_bits"), ["q_id"], "left", ["p_id"])
     sided = skew_join(sided, _renamed(p_large, p_id="_id", _pb="_bits"), ["p_id"], "left", ["q_id"], sized_by=pairs)
+    sided = _written(sided, "pairs")
+    uncut = sided.where("_qb IS NULL AND _pb IS NULL").select(*PAIR)
+    small = [w.join(l, "_id", "left_anti") for w, l in ((qw, q_large), (pw, p_large))]
+    whole = _lexical_in_cells(uncut, small[0], small[0] if p is q else small[1], q_sizes, p_sizes)
+    whole = whole.select(*PAIR, (F.col("lexical") / temperature).alias("lexical"))
+    sided = sided.where("_qb IS NOT NULL OR _pb IS NOT NULL")
+    cut_pairs = sided.select(*PAIR)
     q_bits, p_bits = (F.coalesce(c, F.lit(0)) for c in ("_qb", "_pb"))
     parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(q_bits, p_bits))
     part = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
     sided = sided.select(*PAIR, q_bits.alias("_qb"), p_bits.alias("_pb"), part.alias("_j"))
     sided = sided.withColumn("_qp", _part(F.col("_j"), F.col("_qb"))).withColumn("_pp", _part(F.col("_j"), F.col("_pb")))
-    sided = sided.withColumn("_cut", F.greatest("_qb", "_pb") > 0).drop("_qb", "_pb")
+    sided = sided.drop("_qb", "_pb")
     # A (document, part) key is as hot as its document is among the pairs.
     sided = skew_join(
-        sided, _token_lists(qw, q_large, "q"), ["q_id", "_qp"], "left", ["p_id"], sized_by=pairs, hot_on=["q_id"]
+        sided, _token_lists(qw, q_large, "q"), ["q_id", "_qp"], "left", ["p_id"], sized_by=cut_pairs, hot_on=["q_id"]
     )
     sided = skew_join(
-        sided, _token_lists(pw, p_large, "p"), ["p_id", "_pp"], "left", ["q_id"], sized_by=pairs, hot_on=["p_id"]
+        sided, _token_lists(pw, p_large, "p"), ["p_id", "_pp"], "left", ["q_id"], sized_by=cut_pairs, hot_on=["p_id"]
     )
-    scored = sided.select(*PAIR, "_cut", (products("_qw", "_pw") / temperature).alias("lexical"))
-    whole = scored.where("NOT _cut").drop("_cut")
-    return whole.unionByName(scored.where("_cut").groupBy(*PAIR).agg(F.sum("lexical").alias("lexical")))
+    scored = sided.select(*PAIR, (products("_qw", "_pw") / temperature).alias("lexical"))
+    return whole.unionByName(scored.groupBy(*PAIR).agg(F.sum("lexical").alias("lexical")))
 
 
 def _token_blocks(tokens: DataFrame, side: str) -> DataFrame:

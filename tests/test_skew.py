@@ -236,6 +236,35 @@ def test_scores_with_hot_documents(spark, monkeypatch):
     assert len(plain[0]) == pairs.count()
 
 
+def test_a_list_goes_once_to_each_cell_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(d, f"t{t}", float(rng.integers(0, 3))) for d in range(200) for t in rng.choice(40, 12, replace=False)]
+    weights = spark.createDataFrame(rows, "doc_id long, token string, weight double")
+    pairs = [(q, q + i) for q in range(200) for i in range(8)] + [(3, 190), (3, 4), (None, 4), (4, None), (500, 1)]
+    asked = spark.createDataFrame(pairs, "q_id long, p_id long")
+    lists = {}
+    for d, t, w in rows:
+        lists.setdefault(d, {})[t] = w
+    want = sorted((str(q), str(p), sum(w * lists.get(p, {}).get(t, 0.0) for t, w in lists.get(q, {}).items())) for q, p in pairs)
+
+    def got(q, p):
+        return sorted((str(r["q_id"]), str(r["p_id"]), r["lexical"]) for r in scores.score_lexical(q, p, asked).collect())
+
+    assert got(weights, weights) == want == got(weights, weights.select("*"))
+    monkeypatch.setattr(scores, "CELL_BYTES", 50_000)  # some 128 pairs of two lists of 12 tokens
+    assert got(weights, weights) == want == got(weights, weights.select("*"))
+    sizes = scores._sizes(weights.selectExpr("doc_id AS _id", "token AS _t", "weight AS _w"))
+    near = asked.where("p_id BETWEEN q_id AND q_id + 7")
+    celled = scores._celled(near, sizes, sizes)
+    assert celled.count() == near.count()
+    needed = celled.select("_cell", F.explode(F.array("q_id", "p_id"))).distinct().count()
+    assert celled.select("_cell").distinct().count() > 8 and needed < 500  # 1,600 with one for each pair
+    # A weight that is no number reaches the score through a weight of zero too.
+    odd = spark.createDataFrame([(1, "a", 0.0), (2, "a", float("nan"))], "doc_id long, token string, weight double")
+    pair = spark.createDataFrame([(1, 2)], "q_id long, p_id long")
+    assert np.isnan(scores.score_lexical(odd, odd, pair).first()["lexical"])
+
+
 def test_qrels_map_in_parts(spark):
     qrels = spark.range(1000).select(
         F.when(F.col("id") < 600, "q0").otherwise(F.concat(F.lit("q"), F.col("id") % 9)).alias("qid"),
