@@ -11,18 +11,17 @@ from gleaner.llm.common import Scratch
 TABLES = 3  # every digest lies in one cell of each
 BITS = 3  # cells of a table of the printed sketch, as a power of two
 CHECK, ADDRESS = 7, 11  # seeds of a digest's check value and of its addresses
-ROUNDS = 8  # peeling rounds before a sketch counts as failed
+ROUNDS = 15  # peeling rounds, of one table after the other, before a sketch counts as failed
 DEALT = 200_000  # digests in a task
 #: A paragraph ends with its line and with every sentence, in any script; stops that no space follows are cut after.
-PARAGRAPH_END = (
-    r"\n|(?<=[.!?\u2026\u037E\u0589\u061F\u06D4\u0964\u0965\u1362][\"'\u201D\u2019\u00BB)\]]?) "
-    r"|(?<=[\u3002\uFF01\uFF1F\uFF61])(?![\u3002\uFF01\uFF1F\uFF61\u300D\u300F\uFF09\u201D\u2019])"
-)
+LINE_OR_SPACE_END = r"\n| (?<=[.!?\u2026\u037E\u0589\u061F\u06D4\u0964\u0965\u1362][\"'\u201D\u2019\u00BB)\]]? )"
+PARAGRAPH_END = LINE_OR_SPACE_END + r"|(?<=[\u3002\uFF01\uFF1F\uFF61])(?![\u3002\uFF01\uFF1F\uFF61\u300D\u300F\uFF09\u201D\u2019])"
+WIDE_STOPS = "\u3002\uFF01\uFF1F\uFF61"  # those that are cut after; without one only lines and spaces can be ends
 #: A text's first sentence and sentences of more signs are cut further: behind one word in eight, or in words of over
 #: LONG_WORD signs behind one sign in sixteen. The hash of the word, or of the sign and the two next, says where.
 LONG_SENTENCE, LONG_WORD, WORDS, SIGNS = 256, 32, 8, 16
 
-_CELL = "struct<cell:bigint,cnt:bigint,key:bigint,chk:bigint,kind:int>"
+_CELL = "struct<cell:bigint,cnt:bigint,key:bigint,chk:bigint>"
 
 
 def _sentence_parts(sentence: Column) -> Column:
@@ -44,7 +43,9 @@ def _sentence_parts(sentence: Column) -> Column:
 
 def paragraph_digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's paragraphs; null and empty texts have none."""
-    sentences = F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END)
+    whole = F.coalesce(text, F.lit(""))
+    wide = reduce(Column.__or__, [F.contains(whole, F.lit(stop)) for stop in WIDE_STOPS])
+    sentences = F.when(wide, F.split(whole, PARAGRAPH_END)).otherwise(F.split(whole, LINE_OR_SPACE_END))
     long = lambda s, i: (i == 0) | (F.length(s) > LONG_SENTENCE)
     parts = F.transform(sentences, lambda s, i: F.when(long(s, i), _sentence_parts(s)).otherwise(F.array(s)))
     pieces = F.filter(F.flatten(parts), lambda p: p != "")
@@ -103,12 +104,12 @@ def _next_ids(ids: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def edited_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, edited, next_digests): each text, and with its second half replaced.
+    """(some, id, first, text, edited, next_some, next_id): each text, and with its second half replaced.
 
     The last floor(n_chars / 2) code points give way to the first as many (or all) of the next document in
     ascending doc_id, null first; after the last comes the first. Rows that repeat a doc_id all have the next
-    larger id; of several rows there the smallest text is taken. Only the part of a text that its neighbour
-    needs is sent to it, with the digests of the whole.
+    larger id; of several rows there the smallest text, the first, is taken. Only the part of a text that its
+    neighbour needs is sent to it. some says whether a doc_id is not null, id is 0 where it is.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
@@ -123,46 +124,45 @@ def edited_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
         *[k.alias(a) for k, a in zip(key("doc_id"), ("to_some", "to_id"))],
         F.floor(F.col("n_chars") / 2).cast("int").alias("most"),
     )
-    giving = rows.join(needs, ["some", "id"])
     # Ties by text; several documents never have the same next one.
     smallest = F.row_number().over(Window.partitionBy("some", "id").orderBy("text"))
-    giving = giving.withColumn("place", smallest).where("place = 1")
+    rows = rows.withColumn("first", smallest == 1)
+    giving = rows.where("first").join(needs, ["some", "id"])
     given = giving.select(
         F.col("to_some").alias("some"), F.col("to_id").alias("id"),
-        F.substring("text", F.lit(1), F.col("most")).alias("head"), paragraph_digests(F.col("text")).alias("next_digests"),
+        F.substring("text", F.lit(1), F.col("most")).alias("head"),
+        F.col("some").alias("next_some"), F.col("id").alias("next_id"),
     )
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("head", F.lit(1), half))
-    both = rows.join(given, ["some", "id"])
-    return both.select(F.when(F.col("some"), F.col("id")).alias("doc_id"), "text", edited.alias("edited"), "next_digests")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("head", F.lit(1), half)).alias("edited")
+    return rows.join(given, ["some", "id"]).select("some", "id", "first", "text", edited, "next_some", "next_id")
 
 
-def _peeled(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """One peeling round over difference cells (cell >= 0); recovered digests are rows with cell -1.
+def _peeled(cells: DataFrame, keys: list[str], table: int) -> DataFrame:
+    """One peeling round over the difference cells (cell >= 0) of a table; digests found are counted in cells -1, -2.
 
-    A cell that holds one digest gives it away: it is taken out of all its cells. The same digest may stand
-    alone in several cells, so what is to be taken out is made distinct first.
+    A cell that holds one digest gives it away: it is taken out of its cells in the other tables. A digest lies in
+    one cell of a table, so none is taken out twice. Cell -1 counts the digests that mine has more, cell -2 those
+    that it lacks, so that the next rounds need not carry them.
     """
     key, cnt = F.col("key"), F.col("cnt")
-    alone = (F.col("cell") >= 0) & (F.abs(cnt) == 1) & (F.col("chk") == _check(key))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))
+    here = (F.col("cell") >= size * table) & (F.col("cell") < size * (table + 1))
+    alone = here & (F.abs(cnt) == 1) & (F.col("chk") == _check(key))
 
-    def row(cell: Column, count: Column, chk: Column, kind: int) -> Column:
-        parts = [cell.alias("cell"), count.alias("cnt"), key.alias("key"), chk.alias("chk"), F.lit(kind).alias("kind")]
-        return F.struct(*parts).cast(_CELL)
+    def row(cell: Column, count: Column, key: Column, chk: Column) -> Column:
+        return F.struct(cell.alias("cell"), count.alias("cnt"), key.alias("key"), chk.alias("chk")).cast(_CELL)
 
-    itself = row(F.col("cell"), cnt, F.col("chk"), 0)
-    removals = [row(_address(key, t, F.col("bits")), -cnt, F.col("chk"), 1) for t in range(TABLES)]
-    found = row(F.lit(-1).cast("long"), cnt, F.lit(0).cast("long"), 2)
-    made = F.when(alone, F.array(itself, *removals, found)).otherwise(F.array(itself))
+    none = F.lit(0).cast("long")
+    others = [row(_address(key, t, F.col("bits")), -cnt, key, F.col("chk")) for t in range(TABLES) if t != table]
+    found = row(F.when(cnt > 0, -1).otherwise(-2).cast("long"), F.lit(1).cast("long"), none, none)
+    made = F.when(alone, F.array(*others, found)).otherwise(F.array(row(F.col("cell"), cnt, key, F.col("chk"))))
     out = cells.select(*keys, F.explode(made).alias("x")).select(*keys, "x.*")
-    out = out.groupBy(*keys, "cell", "key", "kind").agg(F.max("cnt").alias("cnt"), F.max("chk").alias("chk"))
-    of = F.when(F.col("cell") < 0, key).otherwise(F.lit(0))
-    out = out.groupBy(*keys, "cell", of.alias("of")).agg(
+    out = out.groupBy(*keys, "cell").agg(
         F.sum("cnt").alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk")
     )
-    empty = (F.col("cell") >= 0) & (F.col("cnt") == 0) & (F.col("key") == 0) & (F.col("chk") == 0)
-    return out.where(~empty).drop("of")
+    return out.where("NOT (cell >= 0 AND cnt = 0 AND key = 0 AND chk = 0)")
 
 
 def sketch_differences(pairs: DataFrame, names: tuple[str, ...] = ("pair",)) -> DataFrame:
@@ -186,11 +186,12 @@ def sketch_differences(pairs: DataFrame, names: tuple[str, ...] = ("pair",)) ->
         F.sum("cnt").alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk")
     )
     cells = cells.where("cnt != 0 OR key != 0 OR chk != 0")
-    cells = reduce(lambda c, _: _peeled(c, keys), range(ROUNDS), cells)
+    cells = reduce(lambda c, i: _peeled(c, keys, i % TABLES), range(ROUNDS), cells)
     some = lambda c: F.count(F.when(c, 1))
+    of = lambda n: F.coalesce(F.sum(F.when(F.col("cell") == n, F.col("cnt"))), F.lit(0))
     return cells.groupBy(*names).agg(
-        some((F.col("cell") < 0) & (F.col("cnt") > 0)).alias("extra"),
-        some((F.col("cell") < 0) & (F.col("cnt") < 0)).alias("lacks"),
+        of(-1).alias("extra"),
+        of(-2).alias("lacks"),
         some(F.col("cell") >= 0).alias("left"),
     )
 
@@ -231,15 +232,23 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     next document. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    base = edited_documents(docs, scratch, id_col, text_col).select(
-        "doc_id",
+    both = edited_documents(docs, scratch, id_col, text_col)
+    base = both.select(
+        F.when(F.col("some"), F.col("id")).alias("doc_id"),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         paragraph_digests(F.col("text")).alias("own"),
         paragraph_digests(F.col("edited")).alias("edited"),
-        F.col("next_digests").alias("following"),
+        *["some", "id", "first", "next_some", "next_id"],
+    )
+    own = scratch.keep(base.withColumn("row", F.monotonically_increasing_id()))
+    scratch.release()  # the shuffles of the texts
+    # A text's digests are made once; the document before it gets them from here.
+    following = own.where("first").select(
+        F.col("some").alias("next_some"), F.col("id").alias("next_id"), F.col("own").alias("following")
     )
-    base = scratch.keep(base.withColumn("row", F.monotonically_increasing_id()))
+    base = scratch.keep(own.drop("some", "id", "first").join(following, ["next_some", "next_id"]).drop("next_some", "next_id"))
+    scratch.drop(own)
     scratch.release()
     dealt = dealt_out(base, "row", 3 * F.size("own") + F.size("edited") + F.size("following"))
     against = [F.struct(F.lit(k).alias("k"), F.col(c).alias("theirs")) for k, c in enumerate(("edited", "following"))]

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gleaner.llm import fingerprints
 from gleaner.llm.common import Scratch
@@ -175,3 +176,26 @@ def test_kept_half_is_likeness_in_any_script(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in fingerprints.document_fingerprints(df).collect()}
     assert all(0 < got[i]["near_edited"] < 1 and got[i]["near_next"] == 0 for i in range(len(texts)))
+
+
+def test_a_peeling_round_is_one_aggregate_and_carries_no_digest(spark):
+    pairs = spark.createDataFrame([(1, 6, list(range(40)), list(range(20, 55)))], "pair long, bits int, mine array<long>, theirs array<long>")
+    differences = fingerprints.sketch_differences(pairs.repartition(3, "pair"))
+    assert differences.collect()[0][1:] == (20, 15, 0)
+    plan = differences._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") <= fingerprints.ROUNDS + 2  # the sketch, the rounds and the counts
+    cells = spark.createDataFrame([(1, 3, 2, 1, 5)], "pair long, bits int, cell long, cnt long, key long")
+    cells = cells.withColumn("chk", fingerprints._check(F.col("key")))
+    cells = cells.unionByName(cells.selectExpr("pair", "bits", "-1L AS cell", "4L AS cnt", "0L AS key", "0L AS chk"))
+    got = {r["cell"]: r["cnt"] for r in fingerprints._peeled(cells, ["pair", "bits"], 0).collect()}
+    assert got[-1] == 5 and len(got) == 3  # taken out of two other tables, where it was not
+
+
+def test_ends_without_wide_stops_are_those_of_the_whole_pattern(spark):
+    texts = ["One. Two! (Three.) Four", 'A said "B." Then C.\nD', "", " . x", "1.5 is. ok", "e… f؟ g", "h。i. j！！k", "l. "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = r"\n|(?<=[.!?…;։؟۔।॥።][\"'”’»)\]]?) |(?<=[。！？｡])(?![。！？｡」』）”’])"
+    wide = df.select("t", F.split("t", old).alias("old"), F.split("t", fingerprints.PARAGRAPH_END).alias("new"), F.split("t", fingerprints.LINE_OR_SPACE_END).alias("plain"))
+    for r in wide.collect():
+        assert r["new"] == r["old"]
+        assert r["plain"] == r["old"] or set(r["t"]) & set(fingerprints.WIDE_STOPS)
