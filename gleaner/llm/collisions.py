@@ -62,21 +62,24 @@ def ties(first: list[tuple], second: list[tuple], alike: Callable) -> Iterator[t
                     queue.append(b)
 
 
-def tied(members: DataFrame, fetched: DataFrame, take: Callable, alike: Callable) -> DataFrame:
-    """Edges (u, v) between colliding entries that are alike.
-
-    fetched has one row for each par; take makes what alike compares from its other columns. Each task gets
-    two blocks of about BLOCK entries and hands back at most one edge for each entry.
-    """
+def paired(members: DataFrame) -> DataFrame:
+    """(band, p, q, first, par, one): for each of colliding's entries the tasks that compare it, two blocks of about
+    BLOCK entries of a band value each."""
     shares = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.select("band", "par", shares.alias("shares"))
+    dealt = members.select("band", "par", "one", shares.alias("shares"))
     block = F.pmod(F.xxhash64("par", F.lit(1)), F.col("shares").cast("long")).cast("int")
     dealt = dealt.withColumn("block", block)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     task = [F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")]
-    dealt = dealt.select("band", *task, (F.col("block") <= F.col("other")).alias("first"), "par").join(fetched, "par")
-    payload = [c for c in fetched.columns if c != "par"]
-    dealt = dealt.select("band", "p", "q", "first", "par", *payload)
+    return dealt.select("band", *task, (F.col("block") <= F.col("other")).alias("first"), "par", "one")
+
+
+def tied(rows: DataFrame, take: Callable, alike: Callable) -> DataFrame:
+    """Edges (u, v) between colliding entries that are alike.
+
+    rows are paired's (band, p, q, first, par) with other columns, of which take makes what alike compares. Each
+    task hands back at most one edge for each of its entries.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lists = None, ([], [])
@@ -99,5 +102,5 @@ def tied(members: DataFrame, fetched: DataFrame, take: Callable, alike: Callable
         u, v = ([e[i] for e in edges] for i in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    tasks = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    tasks = rows.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
     return tasks.mapInArrow(compare, "u long, v long")

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from gleaner.llm.common import ROW, Scratch, arrow_pass, signed, spans, within
-from gleaner.llm.collisions import colliding, sharing, tied
+from gleaner.llm.common import ROW, Scratch, arrow_pass, short_batches, signed, slices, spans, within
+from gleaner.llm.collisions import colliding, paired, sharing, tied
 from gleaner.llm.components import components
 from gleaner.llm.shingles import (
     SIMILARITY, WIDTH, bands_at, chain, identities, shingles, similar, tune_bands, word_hashes,
 )
 
+TASK = {"band": pa.int64(), "p": pa.int32(), "q": pa.int32(), "first": pa.bool_(), "par": pa.int64()}
+FETCHED = 1000  # sets of shingles that are handed on at once
 MIN_RUN = 20  # words that the repeated paragraphs of a run must have in all
 
 #: A sentence ends with its line or after its full stop, white space included.
@@ -103,31 +106,39 @@ def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_c
     members = colliding(reduce(DataFrame.unionByName, found), scratch)
     scratch.drop(*found)
     scratch.release()
-    # The shingles of those paragraphs that collide, read again from their first places.
-    wanted = members.select("par", "one.*").distinct().groupBy("doc_id", "text_hash")
-    wanted = wanted.agg(F.collect_list(F.struct("place", "span", "par")).alias("wanted"))
-    wanted = wanted.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    texts = _rows(docs, id_col, text_col)
-    same = texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])
-
-    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pars, sets = [], []
-        for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            cut = sentences(text)
-            listed_texts = ["".join(cut[w["place"] : w["place"] + w["span"]]) for w in listed]
-            found, counts = shingles(*word_hashes(listed_texts, {}))
-            ends = spans(counts)
-            pars += [w["par"] for w in listed]
-            sets += [np.unique(found[a:b]) for a, b in zip(ends, ends[1:])]
-        offsets = pa.array(spans(np.array([len(s) for s in sets])).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(sets))))
-        return pa.RecordBatch.from_arrays([pa.array(pars), lists], ["par", "shingles"])
-
-    fetched = arrow_pass(texts.join(wanted, same).select("text", "wanted"), fetch, "par long, shingles array<long>")
-    fetched = scratch.keep(fetched.dropDuplicates(["par"]))
-    scratch.release()  # the shuffle of the texts
-    edges = scratch.keep(tied(members, fetched, lambda found: found.values.to_numpy(), similar))
-    scratch.drop(members, fetched)
+    # The shingles of those paragraphs that collide, read again from their first places, go straight to the tasks that
+    # compare them: they are moved once, and no table holds them.
+    # Plain equal keys that stand for a null id too: the join and the window then share one shuffle of the texts.
+    key = lambda c: [F.col(c).isNotNull().alias("some"), F.coalesce(c, F.lit(0)).alias("id")]
+    task = F.struct("one.place", "one.span", "par", "band", "p", "q", "first").alias("task")
+    wanted = paired(members).select(*key("one.doc_id"), "one.text_hash", task)
+    wanted = wanted.groupBy("some", "id", "text_hash").agg(F.collect_list("task").alias("wanted"))
+    texts = _rows(docs, id_col, text_col).select(*key("doc_id"), "text_hash", "text").join(wanted, ["some", "id", "text_hash"])
+    # Of rows that repeat doc_id and text one is read.
+    one = F.row_number().over(Window.partitionBy("some", "id", "text_hash").orderBy("text_hash"))
+    texts = texts.withColumn("one", one).where("one = 1").select("text", "wanted")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                for text, listed in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    yield from shingles_for_tasks(sentences(text), listed)
+
+    def shingles_for_tasks(cut: list[str], listed: list[dict]) -> Iterator[pa.RecordBatch]:
+        places = {w["par"]: (w["place"], w["place"] + w["span"]) for w in listed}
+        found, counts = shingles(*word_hashes(["".join(cut[a:b]) for a, b in places.values()], {}))
+        ends = spans(counts)
+        sets = {par: signed(np.unique(found[a:b])).tobytes() for par, a, b in zip(places, ends, ends[1:])}
+        for at in range(0, len(listed), FETCHED):
+            some = listed[at : at + FETCHED]
+            columns = [pa.array([w[c] for w in some], kind) for c, kind in TASK.items()]
+            columns.append(pa.array([sets[w["par"]] for w in some], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [*TASK, "shingles"])
+
+    short_batches(docs.sparkSession)
+    fetched = texts.mapInArrow(fetch, "band long, p int, q int, first boolean, par long, shingles binary")
+    edges = scratch.keep(tied(fetched, lambda found: np.frombuffer(found.as_buffer(), np.int64), similar))
+    scratch.drop(members)
     scratch.release()
     return edges
 

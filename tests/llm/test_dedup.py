@@ -194,3 +194,17 @@ def test_sentences_in_lines_against_brute_force(spark):
     sets = [(at_, {tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for at_, w in units]
     want = {frozenset((a, b)) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if len(x & y) >= 0.8 * len(x | y)}
     assert got == want and len(want) == 30
+
+
+def test_shingles_of_paragraphs_are_in_no_table(spark, monkeypatch):
+    """They go from the texts straight to the tasks that compare them; rows that come twice are read once."""
+    from gleaner.llm import common, paragraph_dedup
+
+    line = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, line + " end"), (2, line + " last"), (2, line + " last"), (None, "x " + line + " end"), (4, "other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, keep = [], common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df, **o: kept.append(df.columns) or keep(self, df, **o))
+    got = {(r["doc_id"], r["n_removed"]) for r in paragraph_dedup.paragraph_removals(docs).collect()}
+    assert got == {(1, 0), (2, 1), (None, 1), (4, 0)}
+    assert kept and not [c for c in kept if "shingles" in c]
