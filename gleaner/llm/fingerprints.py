@@ -126,8 +126,9 @@ def edited_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     )
     # Ties by text; several documents never have the same next one.
     smallest = F.row_number().over(Window.partitionBy("some", "id").orderBy("text"))
+    # The join comes first: a limit below the shuffle of the texts would make it another one.
+    giving = rows.join(needs, ["some", "id"]).withColumn("place", smallest).where("place = 1")
     rows = rows.withColumn("first", smallest == 1)
-    giving = rows.where("first").join(needs, ["some", "id"])
     given = giving.select(
         F.col("to_some").alias("some"), F.col("to_id").alias("id"),
         F.substring("text", F.lit(1), F.col("most")).alias("head"),
