@@ -27,15 +27,20 @@ def colliding(banded: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def sharing(rows: DataFrame, n_bands: int, scratch: Scratch) -> list[DataFrame]:
-    """For each band, (par, one, band) of the rows (par, one, band_0, ...) whose value several of them share.
+    """For each band, (par, one, band) of the rows (par, one, line, band_0, ...) whose value several of them share.
 
+    A row and the row whose par is its line are left out where no other shares their value: they were compared before.
     One band is looked at after the other and its shuffles are released, so that disk never holds all bands.
     """
     found = []
     for i in range(n_bands):
-        banded = rows.select("par", "one", F.col(f"band_{i}").alias("band"))
-        several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-        several = scratch.keep_small(several)
+        banded = rows.select("par", "one", "line", F.col(f"band_{i}").alias("band"))
+        home = F.coalesce("line", "par")
+        several = banded.groupBy("band").agg(
+            F.count(F.lit(1)).alias("n"), F.count("line").alias("parts"), F.min(home).alias("least"), F.max(home).alias("most")
+        )
+        several = several.where("n > 1 AND NOT (n = 2 AND parts = 1 AND least = most)")
+        several = scratch.keep_small(several.select("band"))
         found.append(scratch.keep(banded.join(several, "band").select("par", "one", "band")))
         scratch.release()
     return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from gleaner.llm.common import ROW, Scratch, arrow_pass, short_batches, signed,
 from gleaner.llm.collisions import colliding, paired, sharing, tied
 from gleaner.llm.components import components
 from gleaner.llm.shingles import (
-    SIMILARITY, WIDTH, bands_at, chain, identities, shingles, similar, tune_bands, word_hashes,
+    SIMILARITY, WIDTH, bands_at, chain, identities, shingles, similar, similar_part, tune_bands, word_hashes,
 )
 
 TASK = {"band": pa.int64(), "p": pa.int32(), "q": pa.int32(), "first": pa.bool_(), "par": pa.int64()}
@@ -23,7 +23,7 @@ FETCHED = 1000  # sets of shingles that are handed on at once
 MIN_RUN = 20  # words that the repeated paragraphs of a run must have in all
 
 #: A sentence ends with its line or after its full stop, white space included.
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\r\f\v])|(?=\n)|\Z)[ \t\r\f\v]*\n*", re.DOTALL)
+_SENTENCE = re.compile(r"[^.!?\n]*+(?:[.!?]++(?![ \t\r\f\v])[^.!?\n]*+)*+(?:[.!?]++[ \t\r\f\v]++\n*+|\n++|\Z)")
 
 
 def sentences(text: str) -> list[str]:
@@ -32,23 +32,25 @@ def sentences(text: str) -> list[str]:
 
 
 def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, place, span, par, bands): the paragraphs of every text, of at least WIDTH words.
+    """(doc_id, text_hash, place, span, par, line, near, bands): the paragraphs of every text, of at least WIDTH words.
 
     A paragraph is a line, and each sentence of a line too, so that a passage put into the midst of another
     line still has paragraphs of its own. place is its first sentence, span the number of them, par a 64-bit
     hash of its words. Both have bands, a hash for each MinHash band; those whose shingles are too few to
     reach the similarity with another number have none and match as equals.
+
+    line is the par of the line that a sentence lies in, null for lines. near is true of a sentence that shares
+    a band with its line and is similar to it, which is told here, where both are at hand.
     """
     n_bands = tune_bands()
     least = math.ceil(SIMILARITY / (1 - SIMILARITY))  # of n and n + 1 shingles, n / (n + 1) must reach it
-    known: dict[bytes, int] = {}
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [sentences(t or "") for t in batch.column(2).to_pylist()]
         per_text = np.array([len(p) for p in parts], dtype=np.int64)
         flat = [p for ps in parts for p in ps]
         number, place = np.repeat(np.arange(len(parts)), per_text), within(per_text)
-        hashes, sizes = word_hashes(flat, known)
+        hashes, sizes = word_hashes(flat)
         # A line ends after a sentence with a line feed, and with the text.
         last = np.array([p.endswith("\n") for p in flat], dtype=bool)
         last[np.cumsum(per_text)[per_text > 0] - 1] = True
@@ -62,21 +64,33 @@ def paragraph_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         inner = np.flatnonzero(~alone & (sizes >= WIDTH))
         whole = np.flatnonzero(line_sizes >= WIDTH)
         owner = number[np.concatenate([inner, starts[whole]])]
-        par = np.concatenate([identities(hashes, sizes)[inner], identities(hashes, line_sizes)[whole]])
+        lines = identities(hashes, line_sizes)
+        par = np.concatenate([identities(hashes, sizes)[inner], lines[whole]])
+        line_of = np.repeat(np.arange(len(ends)), ends - starts[: len(ends)])[inner]
+        line = pa.array(np.concatenate([signed(lines[line_of]), np.zeros(len(whole), np.int64)]), mask=np.arange(len(par)) >= len(inner))
         first = place[np.concatenate([inner, starts[whole]])]
         span = np.concatenate([np.ones(len(inner), dtype=np.int64), (ends - starts)[whole]])
         # Lines and the sentences in them have their shingles in the same array, which is hashed once.
         counts = np.concatenate([sizes[inner], line_sizes[whole]]) - WIDTH + 1
         begins = words[np.concatenate([inner, starts[whole]])]
         banded = counts >= least
-        values = bands_at(chain(hashes, WIDTH), begins[banded], counts[banded], n_bands)
+        found = chain(hashes, WIDTH)
+        values = bands_at(found, begins[banded], counts[banded], n_bands)
+        # A line has more shingles than a sentence of it, so it has bands if the sentence has.
+        at, row = np.cumsum(banded) - 1, np.zeros(len(ends), dtype=np.int64)
+        row[whole] = len(inner) + np.arange(len(whole))
+        sentence = np.flatnonzero(banded[: len(inner)])
+        sentence = sentence[(values[at[sentence]] == values[at[row[line_of[sentence]]]]).any(axis=1)]
+        near = np.zeros(len(par), dtype=bool)
+        for i, j in zip(sentence, row[line_of[sentence]]):
+            near[i] = similar_part(found[begins[i] :][: counts[i]], found[begins[j] :][: counts[j]])
         lengths = np.where(banded, n_bands, 0)
         lists = pa.ListArray.from_arrays(pa.array(spans(lengths).astype(np.int32)), pa.array(signed(values.ravel())))
         owners = [batch.column(i).take(pa.array(owner)) for i in range(2)]
-        columns = [*owners, pa.array(first), pa.array(span), pa.array(signed(par)), lists]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "place", "span", "par", "bands"])
+        columns = [*owners, pa.array(first), pa.array(span), pa.array(signed(par)), line, pa.array(near), lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "place", "span", "par", "line", "near", "bands"])
 
-    schema = "doc_id long, text_hash long, place long, span long, par long, bands array<long>"
+    schema = "doc_id long, text_hash long, place long, span long, par long, line long, near boolean, bands array<long>"
     return arrow_pass(_rows(docs, id_col, text_col), cut, schema)
 
 
@@ -88,19 +102,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def different_paragraphs(table: DataFrame, scratch: Scratch) -> DataFrame:
-    """(par, one, band_0, ...): the different paragraphs that have bands, each with its first occurrence."""
-    different = table.where(F.size("bands") > 0).groupBy("par").agg(
-        F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_hash", "place", "span")).alias("one")
-    )
-    each = [F.col("bands")[i].alias(f"band_{i}") for i in range(tune_bands())]
-    return scratch.keep(different.select("par", "one", *each))
+    """(par, one, line, near, band_0, ...): the different paragraphs that have bands, each with one of its occurrences."""
+    places, bands = ["doc_id", "text_hash", "place", "span"], [f"band_{i}" for i in range(tune_bands())]
+    banded = table.where(F.size("bands") > 0).withColumns({b: F.col("bands")[i] for i, b in enumerate(bands)})
+    # All from the same row, column by column: structs and arrays would have to be sorted.
+    different = banded.groupBy("par").agg(*(F.first(c).alias(c) for c in [*places, "line", "near", *bands]))
+    return scratch.keep(different.select("par", F.struct(*places).alias("one"), "line", "near", *bands))
 
 
 def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """Edges (u, v) between the paragraphs of different_paragraphs of at least the similarity that share a band.
 
-    Those that share a band value are compared in blocks, however many share it. The table is deleted.
+    Those that share a band value are compared in blocks, however many share it; a line and a sentence of it that
+    share one with no other were compared where they were cut. The table is deleted.
     """
+    own = scratch.keep(table.where("near").select(F.col("par").alias("u"), F.col("line").alias("v")))
     found = sharing(table, tune_bands(), scratch)
     scratch.drop(table)
     members = colliding(reduce(DataFrame.unionByName, found), scratch)
@@ -126,7 +142,7 @@ def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_c
 
     def shingles_for_tasks(cut: list[str], listed: list[dict]) -> Iterator[pa.RecordBatch]:
         places = {w["par"]: (w["place"], w["place"] + w["span"]) for w in listed}
-        found, counts = shingles(*word_hashes(["".join(cut[a:b]) for a, b in places.values()], {}))
+        found, counts = shingles(*word_hashes(["".join(cut[a:b]) for a, b in places.values()]))
         ends = spans(counts)
         sets = {par: signed(np.unique(found[a:b])).tobytes() for par, a, b in zip(places, ends, ends[1:])}
         for at in range(0, len(listed), FETCHED):
@@ -137,7 +153,8 @@ def similar_paragraphs(docs: DataFrame, table: DataFrame, scratch: Scratch, id_c
 
     short_batches(docs.sparkSession)
     fetched = texts.mapInArrow(fetch, "band long, p int, q int, first boolean, par long, shingles binary")
-    edges = scratch.keep(tied(fetched, lambda found: np.frombuffer(found.as_buffer(), np.int64), similar))
+    edges = tied(fetched, lambda found: np.frombuffer(found.as_buffer(), np.int64), similar)
+    edges = scratch.keep(edges.unionByName(own))
     scratch.drop(members)
     scratch.release()
     return edges
@@ -153,7 +170,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = scratch.keep(paragraph_table(docs, id_col, text_col))
     different = different_paragraphs(whole, scratch)
     scratch.release()
-    table = scratch.keep(whole.drop("bands"))
+    table = scratch.keep(whole.drop("line", "near", "bands"))
     scratch.drop(whole)
     edges = similar_paragraphs(docs, different, scratch, id_col, text_col)
     roots = components(edges, scratch).withColumnsRenamed({"node": "par"})
@@ -179,18 +196,18 @@ def _removed(parts: list[str], places: list) -> set[int]:
     may = {i for p in places for i in range(p["place"], p["place"] + p["span"])}
     if not may:
         return may
-    sizes = [len(p.encode("utf-8", "surrogatepass").split()) for p in parts]
+    sizes = cache(lambda i: len(parts[i].encode("utf-8", "surrogatepass").split()))
     gone: set[int] = set()
     run: list[int] = []
     words = 0
     for i in sorted(may):
         between = range(run[-1] + 1, i) if run else ()
-        if any(sizes[j] >= WIDTH for j in between):
+        if any(sizes(j) >= WIDTH for j in between):
             if words >= MIN_RUN:
                 gone.update(run)
             run, words, between = [], 0, ()
         run += [*between, i]
-        words += sizes[i]
+        words += sizes(i)
     if words >= MIN_RUN:
         gone.update(run)
     return gone

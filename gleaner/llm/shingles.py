@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from gleaner.llm.common import spans, within
@@ -14,7 +16,6 @@ SIMILARITY = 0.8
 RECALL = 0.99  # of pairs just at the similarity
 ROWS = 2  # hashes in a band
 SEED = 42
-KNOWN = 100_000  # words whose hashes a task remembers before it starts anew
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -22,19 +23,17 @@ def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def word_hashes(parts: list[str], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each part); words are lower-cased in A-Z."""
-    split = [p.encode("utf-8", "surrogatepass").lower().split() for p in parts]
-    digest = xxhash.xxh64_intdigest
-    if len(known) > KNOWN:
-        known.clear()
-    found = []
-    for words in split:
-        for w in words:
-            if (h := known.get(w)) is None:
-                h = known[w] = digest(w, SEED)
-            found.append(h)
-    return np.array(found, dtype=np.uint64), np.array([len(w) for w in split], dtype=np.int64)
+    data = pa.array([p.encode("utf-8", "surrogatepass") for p in parts], pa.binary()).view(pa.string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(data))
+    words = split.flatten()
+    some = pc.not_equal(pc.binary_length(words), 0)  # white space at either end leaves an empty word there
+    before = spans(some.to_numpy(zero_copy_only=False))
+    different = words.filter(some).dictionary_encode()
+    plain = different.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in plain), np.uint64, len(plain))
+    return hashes[different.indices.to_numpy()], np.diff(before[split.offsets.to_numpy()])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,7 +48,7 @@ def chain(hashes: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.zeros(max(0, len(hashes) - width + 1), dtype=np.uint64)
         for i in range(width):
-            out = mix(out + np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - width + 1 + i])
+            out = mix(out + np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(out)])
     return out
 
 
@@ -103,3 +102,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     small, large = sorted((len(a), len(b)))
     return small >= least * large and jaccard(a, b) >= least
+
+
+def similar_part(part: np.ndarray, whole: np.ndarray, least: float = SIMILARITY) -> bool:
+    """similar of the shingles, repeats included, of a part of a paragraph and of the whole, which has all of them."""
+    large = len(set(whole.tolist()))
+    if len(part) < least * large:
+        return False
+    small = len(set(part.tolist()))
+    return small >= least * large and small / large >= least

@@ -208,3 +208,38 @@ def test_shingles_of_paragraphs_are_in_no_table(spark, monkeypatch):
     got = {(r["doc_id"], r["n_removed"]) for r in paragraph_dedup.paragraph_removals(docs).collect()}
     assert got == {(1, 0), (2, 1), (None, 1), (4, 0)}
     assert kept and not [c for c in kept if "shingles" in c]
+
+
+def test_sentences_meet_their_own_line_where_they_are_cut(spark, monkeypatch):
+    """A line and a sentence of it that share a band with no other go into no task; what is found stays the same."""
+    rng = np.random.default_rng(12)
+    said = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)) + "."
+    rows = list(enumerate(f"{said(40)} {said(n)}\n{said(20)}" for n in (5, 6, 8, 12, 25) * 4))
+    rows += [(20, rows[0][1].split("\n")[0] + "\n" + said(9)), (21, "three short words")]
+    compared = []
+    paired = paragraph_dedup.paired
+    monkeypatch.setattr(paragraph_dedup, "paired", lambda members: compared.append(members.count()) or paired(members))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.paragraph_removals(df).collect()}
+    assert [got[i] for i, _ in rows] == plain_removed(rows)
+    assert sum(n > 0 for n in got.values()) > 10
+    assert compared == [0]
+
+
+def test_fewer_words_than_a_shingle_in_all(spark):
+    df = spark.createDataFrame([(1, "three short words")], "doc_id long, text string").coalesce(1)
+    assert [r["kept_text"] for r in paragraph_dedup.paragraph_removals(df).collect()] == ["three short words"]
+
+
+@pytest.mark.parametrize("words, bytes_each, gone", [(60, 8, True), (60, 5, False), (100, 5, True)])
+def test_long_passages_go_by_bytes_not_words(spark, words, bytes_each, gone):
+    """A passage of over 50 words that two texts share goes from both if it has 400 bytes, else it stays."""
+    rng = np.random.default_rng(words)
+    said = lambda n, k: " ".join("".join(rng.choice(list("abcdefghij"), k - 1)) for _ in range(n))
+    passage = said(words, bytes_each)
+    assert (len(passage) >= 400) == gone
+    rows = [(i, f"{i}{said(40, 7)}!{passage}?{i}{said(30, 7)}") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = found(suffix_dedup.remove_repeats(df))
+    assert got == expected(rows)
+    assert [r[2] for r in got] == [(len(passage) + 2) * gone] * 2
