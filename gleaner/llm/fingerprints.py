@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -197,24 +198,32 @@ def sketch_differences(pairs: DataFrame, names: tuple[str, ...] = ("pair",)) ->
     )
 
 
-def recovered_differences(pairs: DataFrame, scratch: Scratch, names: tuple[str, ...] = ("pair",)) -> DataFrame:
+def recovered_differences(
+    pairs: DataFrame,
+    scratch: Scratch,
+    names: tuple[str, ...] = ("pair",),
+    pairs_of: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(names, extra, lacks) for all pairs (names, mine, theirs) that differ; sketches that fail are made larger.
 
     The first sketch has 1.5 to 3 cells for each digest of the two sides, and each retry four times the
-    cells of the last. Pairs come dealt by the first of the names; failed ones are dealt anew.
+    cells of the last. Pairs come dealt by the first of the names; those whose sketch failed are taken by
+    pairs_of, from where they are stored, so that the others are not shuffled again, and dealt anew.
     """
     total = F.size("mine") + F.size("theirs")
     bits = F.greatest(F.lit(BITS), F.ceil(F.log2(total / 2 + 1)).cast("int"))
-    left, done = pairs.withColumn("bits", bits), None
+    chosen = lambda rows: lambda failed: rows.join(failed, list(names), "left_semi")
+    left, pairs_of, done, more = pairs.withColumn("bits", bits), pairs_of or chosen(pairs), None, 0
     while True:
         tried = scratch.keep(sketch_differences(left, names))
         good = tried.where("left = 0").select(*names, "extra", "lacks")
         done = good if done is None else done.unionByName(good)
-        failed = tried.where("left > 0").select(*names)
+        failed = scratch.keep_small(tried.where("left > 0").select(*names))
         if failed.isEmpty():
             return done
-        left = scratch.keep(left.join(failed, list(names), "left_semi").withColumn("bits", F.col("bits") + 2))
-        left = dealt_out(left, names[0], F.size("mine") + F.size("theirs"))
+        more += 2
+        rows = scratch.keep(pairs_of(failed).withColumn("bits", bits + more))
+        left, pairs_of = dealt_out(rows, names[0], total), chosen(rows)
 
 
 def dealt_out(rows: DataFrame, key: str, digests: Column) -> DataFrame:
@@ -253,8 +262,16 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch.release()
     dealt = dealt_out(base, "row", 3 * F.size("own") + F.size("edited") + F.size("following"))
     against = [F.struct(F.lit(k).alias("k"), F.col(c).alias("theirs")) for k, c in enumerate(("edited", "following"))]
-    pairs = dealt.select("row", F.col("own").alias("mine"), F.explode(F.array(*against)).alias("a"))
-    found = recovered_differences(pairs.select("row", "mine", "a.*"), scratch, ("row", "k"))
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.select("row", F.col("own").alias("mine"), F.explode(F.array(*against)).alias("a")).select("row", "mine", "a.*")
+
+    def pairs_of(failed: DataFrame) -> DataFrame:
+        # Rows are chosen before they become two pairs each, and as they are stored.
+        return pairs(base.join(failed, "row", "left_semi")).join(failed, ["row", "k"], "left_semi")
+
+    found = recovered_differences(pairs(dealt), scratch, ("row", "k"), pairs_of)
+    scratch.release()  # the shuffles of the digests
     of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
     found = found.groupBy("row").agg(*[of(k, c) for k in (0, 1) for c in ("extra", "lacks")])
     prints = sketch_strings(dealt, "row", {"own": "fingerprint", "edited": "edited_fingerprint"})

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleaner.llm import fingerprints
+from gleaner.llm import common, fingerprints
 from gleaner.llm.common import Scratch
 from gleaner.llm.queries import op6_fingerprints
 
@@ -199,3 +199,34 @@ def test_ends_without_wide_stops_are_those_of_the_whole_pattern(spark):
     for r in wide.collect():
         assert r["new"] == r["old"]
         assert r["plain"] == r["old"] or set(r["t"]) & set(fingerprints.WIDE_STOPS)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_a_retry_does_not_shuffle_all_pairs_again(spark, monkeypatch, most):
+    """Rows of failed sketches are chosen as they are stored: by a broadcast, or by one shuffle before they are pairs."""
+    rng = np.random.default_rng(3)
+    texts = ["\n".join(f"line {i}" for i in rng.integers(0, 60, int(n))) for n in rng.integers(1, 120, 60)]
+    rows = list(enumerate(texts))
+    plans, keep = [], Scratch.keep
+
+    def kept(self, df, **options):
+        if {"mine", "theirs"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, **options)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    monkeypatch.setattr(fingerprints, "ROUNDS", 3)
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(fingerprints.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans
+    first = plans[0].split("== Initial Plan ==")[0]
+    assert "REPARTITION" not in first  # not dealt before the failed ones are chosen
+    assert ("Exchange hashpartitioning" in first) == (most == 0)
+    if most == 0:  # the arrays are shuffled before the explode, by the row alone
+        below = first[first.index("Generate") :]
+        assert "Exchange hashpartitioning(row#" in below and "following" in below
