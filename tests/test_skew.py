@@ -1,12 +1,15 @@
 """Hot keys, cut blocks and copies give the same results as the plain way."""
 
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import attention, cells, knn, losses, metrics, sampling, scores
+from gleaner.functions.digests import md5_many
+from gleaner.operators import attention, cells, knn, losses, metrics, negatives, sampling, scores
 from gleaner.operators.aggregates import log_sum_exp
 from gleaner.operators.knn import block_counts, knn_pruned, knn_topk
 from gleaner.operators.skew import hot_keys, left_join_hot_right, skew_join
@@ -400,3 +403,102 @@ def test_pruned_search_moves_queries_once_per_cell(spark, monkeypatch):
     assert knn_pruned(q, c, 15, n_blocks=100).count() == 300 * 15
     (begun, _, _), (further, corpus, n_cells) = moved
     assert begun <= 300 * 4 and further <= 300 * n_cells and corpus <= 3000 * n_cells and n_cells <= 8
+
+
+def brute_lists(q, c, k):
+    scores = np.rint(q.astype(np.float64) @ c.astype(np.float64).T * 1e10)
+    return {i: np.lexsort((np.arange(len(c)), -row))[:k].tolist() for i, row in enumerate(scores)}
+
+
+@pytest.mark.parametrize("blocks", [None, (1, 1), (3, 1), (2, 3)])
+@pytest.mark.parametrize("scaled", [False, True])
+def test_lists_of_hits_equal_brute_force(spark, monkeypatch, blocks, scaled):
+    """A query is one row, whatever the blocks, and a task lets go of ids that are no hits."""
+    monkeypatch.setattr(knn, "MOST_IDS", 300)
+    rng = np.random.default_rng(4)
+    q, c = rng.integers(-3, 4, (40, 10)).astype(np.float32), rng.integers(-3, 4, (900, 10)).astype(np.float32)  # many ties
+    if scaled:
+        q, c = q * rng.random((40, 1)).astype(np.float32), c * 10 ** rng.uniform(-4, 4, (900, 1)).astype(np.float32)
+    schema = "id long, vec array<float>"
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], schema).toDF("q_id", "q_vec")
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)] + [(900, None)], schema).toDF("c_id", "c_vec")
+    corpus = corpus.repartition(5).withColumn("name", F.concat(F.lit("n"), "c_id"))
+    found = knn_topk(queries, corpus, 7, blocks=blocks, lists="name").collect()
+    assert len(found) == 40
+    assert {r["q_id"]: r["hits"] for r in found} == {i: [f"n{x}" for x in hits] for i, hits in brute_lists(q, c, 7).items()}
+
+
+@pytest.mark.parametrize("dim,k", [(64, 5), (64, 210), (300, 5)])
+def test_rounded_products_miss_nothing(dim, k):
+    """Slabs in lanes and without find the same best rows, also where ids are let go in between."""
+    rng = np.random.default_rng(dim + k)
+    q, c = rng.normal(size=(30, dim)).astype(np.float32), rng.normal(size=(9000, dim)).astype(np.float32)
+    c[4000:4300] = q[rng.integers(0, 30, 300)] + rng.normal(size=(300, dim)).astype(np.float32) / 1000  # close scores
+    c[5000:5200] = 0
+    c[6000:6010] *= 1e6
+    q[7] = 0
+    corpus = knn._Corpus(pa.int64())
+    best, names, laned = knn._Best(q.astype(np.float64), k, True, corpus), [], 0
+    for at in range(0, 9000, 250):
+        slab = knn._Slab(c[at : at + 250])
+        before = corpus.n
+        corpus.add(pa.array(range(at, at + 250), pa.int64()))
+        best.add(slab, before)
+        laned += bool(best.parts and slab.lanes is not None)
+        if at % 1000 == 0:
+            corpus.shrink([best])
+            assert corpus.n <= 30 * k
+    row, col, *_ = best.cut()
+    ids = corpus.ids.combine_chunks().to_numpy()[col]
+    assert {i: ids[row == i].tolist() for i in range(30)} == brute_lists(q, c, k)
+    assert laned > 20
+
+
+def test_pairs_are_few_after_rounded_products(monkeypatch):
+    """Of normal vectors hardly any pair that is no hit is looked at in double precision."""
+    rng = np.random.default_rng(1)
+    q, c = rng.normal(size=(64, 64)), rng.normal(size=(30000, 64)).astype(np.float32)
+    corpus, asked = knn._Corpus(pa.int64()), []
+    plain = knn._Best._ask
+    monkeypatch.setattr(knn._Best, "_ask", lambda self, slab, first, row, col: asked.append(len(row)) or plain(self, slab, first, row, col))
+    monkeypatch.setattr(knn._Best, "_exact", None)
+    best = knn._Best(q, 10, True, corpus)
+    for at, end in knn._cuts(0, 30000, True):
+        corpus.add(pa.array(range(at, end), pa.int64()))
+        best.add(knn._Slab(c[at:end]), at)
+    assert sum(asked) < 64 * 30000 / 500
+
+
+def test_lists_are_cut_and_drawn_as_rows_are(spark):
+    ids = [(i % 50, f"t{i}") for i in range(2000)] + [(None, f"t{i}") for i in range(30)]
+    pairs = spark.createDataFrame(ids, "id long, text string").select("id", F.md5("text").alias("text_id"))
+    rows = spark.createDataFrame([(i, f"t{i}", [f"t{i + 50}", None, f"t{i + 100}"]) for i in range(45)] + [(44, None, ["t194"])],
+                                 "id long, query string, pos array<string>")
+    lists = pairs.groupBy("id").agg(F.transform(F.collect_list("text_id"), lambda t: F.unhex(t)).alias("hits"))
+
+    def found(df):
+        return sorted((str(r["id"]), r["text_id"]) for r in df.select("id", "text_id").collect())
+
+    by_row = negatives.sample_negatives(negatives.exclude_known(pairs, rows), 9)
+    by_list = negatives.sample_negatives(negatives.exclude_known(lists, rows, lists="hits"), 9, lists="hits")
+    assert found(by_list) == found(by_row)
+    ranked = sampling.rank_range(spark.createDataFrame([(list(range(40)),)], "hits array<int>"), 10, 30, lists="hits")
+    assert ranked.first()["hits"] == list(range(10, 30))
+
+
+def test_mining_makes_no_row_of_a_hit(spark, monkeypatch):
+    """Hits become rows only after n of them are drawn: at 210 a query they were sorted and joined one by one."""
+    from gleaner.plans import mining
+
+    sizes, plain = [], mining.sample_negatives
+    monkeypatch.setattr(mining, "sample_negatives", lambda cands, *a, **b: sizes.append(cands.count()) or plain(cands, *a, **b))
+    rows = spark.range(60).select("id", F.concat(F.lit("a b "), "id").alias("query"), F.array(F.concat(F.lit("b c "), "id")).alias("pos"))
+    assert mining.mine_hard_negatives(rows, lo=2, hi=30, n=5).where("size(neg) = 5").count() == 60
+    assert sizes == [60]
+
+
+def test_md5_of_many_strings():
+    rng = np.random.default_rng(0)
+    texts = [rng.bytes(int(n)) for n in rng.integers(0, 80, 5000)] + [b"", b"a" * 55, b"b" * 56, b"c" * 64]
+    found = md5_many(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    assert [bytes(row) for row in found] == [hashlib.md5(t).digest() for t in texts]
