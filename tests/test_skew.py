@@ -502,3 +502,16 @@ def test_md5_of_many_strings():
     texts = [rng.bytes(int(n)) for n in rng.integers(0, 80, 5000)] + [b"", b"a" * 55, b"b" * 56, b"c" * 64]
     found = md5_many(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
     assert [bytes(row) for row in found] == [hashlib.md5(t).digest() for t in texts]
+
+
+def test_lists_come_from_the_whole_corpus_for_any_k(spark, monkeypatch):
+    """Where there are queries for all workers; with few hits a query, two parts would move fewer vectors."""
+    cells = []
+    monkeypatch.setattr(knn, "_listed", lambda q, c, k, n: cells.append(n) or q)
+    workers = spark.sparkContext.defaultParallelism
+    q = spark.range(workers * knn.MIN_BLOCK).select(F.col("id").alias("q_id"), F.array(F.lit(1.0)).alias("q_vec"))
+    c = spark.range(40 * workers * knn.MIN_BLOCK).select(F.col("id").alias("c_id"), F.array(F.lit(1.0)).alias("c_vec"))
+    for k in (1, 30):
+        knn_topk(q, c, k, dim=64, lists="c_id")
+        assert block_counts(q.count(), c.count(), 1, 64, max(workers, 8), run=knn.RUN_BLOCKS)[1] > 1
+    assert cells == [workers, workers]
